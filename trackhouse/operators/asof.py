@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackhouse.operators.timeline import Timeline, attach, fit_width
@@ -125,24 +125,23 @@ def look_ahead(
 
 
 def frame_look_ahead(
-    window, t_us: str, values: Sequence[str], horizon_us: int, max_gap_us: int
-) -> dict[str, Column]:
+    window: WindowSpec, t_us: str, values: Sequence[str], horizon_us: int, max_gap_us: int
+) -> list[Column]:
     """The same lookup inside one chunk whose rows are at most ``max_gap_us`` apart.
 
     The first row at or after the target lies within one gap of it, so a range frame
     ``[h, h + gap]`` finds it; with its predecessor it brackets the target. Needs columns
-    ``_prev_<t_us>`` and ``_prev_<value>``.
+    ``_prev_<t_us>`` and ``_prev_<value>``. Returns one column per value.
     """
     frame = window.rangeBetween(horizon_us, horizon_us + max_gap_us)
     names = [t_us, f"_prev_{t_us}", *values, *[f"_prev_{v}" for v in values]]
     hit = F.first(F.struct(*names)).over(frame)
+    at, before = hit[t_us], hit[f"_prev_{t_us}"]
     target = F.col(t_us) + F.lit(horizon_us)
-    span = hit[t_us] - hit[f"_prev_{t_us}"]
-    share = F.when(hit[t_us] == target, F.lit(1.0)).otherwise(
-        (target - hit[f"_prev_{t_us}"]) / span
-    )
-    out = {}
-    for v in values:
-        before, after = F.coalesce(hit[f"_prev_{v}"], hit[v]), hit[v]
-        out[v] = before + share * (after - before)
-    return out
+    share = (target - before) / (at - before)
+    return [
+        F.when(at == target, hit[v])
+        .otherwise(hit[f"_prev_{v}"] + share * (hit[v] - hit[f"_prev_{v}"]))
+        .alias(v)
+        for v in values
+    ]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -30,23 +31,34 @@ def weights(window: int, order: int, derivative: int) -> np.ndarray:
     return read @ fit
 
 
-def _table(widest: int, order: int, derivative: int) -> Column:
-    """Weights by ``[case, offset + widest - 1]``; windows and positions are numbered in order."""
+def weight_table(spark, widest: int = WINDOW, order: int = ORDER) -> DataFrame:
+    """``_case, _w, _d``: the weights of every window length and position, zero-padded.
+
+    Its size is fixed by ``widest`` (75 rows at 15), so it may always be broadcast.
+    """
     rows = []
-    for w in range(order + 2 - (order + 1) % 2, widest + 1, 2):
-        for position, row in enumerate(weights(w, order, derivative)):
-            padded = np.zeros(2 * widest - 1)
+    for w in range(_smallest(order), widest + 1, 2):
+        values, rates = weights(w, order, 0), weights(w, order, 1)
+        for position in range(w):
             at = widest - 1 - position
-            padded[at : at + w] = row
-            rows.append("array(" + ",".join(f"{float(v)!r}D" for v in padded) + ")")
-    return F.expr("array(" + ",".join(rows) + ")")
+            padded = np.zeros((2, 2 * widest - 1))
+            padded[0, at : at + w] = values[position]
+            padded[1, at : at + w] = rates[position]
+            rows.append((len(rows), padded[0].tolist(), padded[1].tolist()))
+    return spark.createDataFrame(rows, "_case int, _w array<double>, _d array<double>")
+
+
+def _smallest(order: int) -> int:
+    """The shortest odd window that is longer than the order."""
+    return order + 2 - (order + 1) % 2
 
 
 def smooth(
     df: DataFrame,
-    window: WindowSpec,
+    partition: Sequence[str],
+    at: str,
     values: dict[str, tuple[str, str]],
-    dt: Column,
+    dt: str,
     *,
     index: str = "seg_index",
     total: str = "seg_rows",
@@ -56,42 +68,32 @@ def smooth(
     """Add the smoothed value and its rate of change for each entry of ``values``.
 
     ``values`` maps column -> (smoothed, derivative). ``index`` and ``total`` place the row in
-    its segment; ``window`` must give every row its neighbours, from a halo layout if need be.
-    Segments shorter than the polynomial needs get NULL.
+    its segment. Rows are read in order of ``at`` inside ``partition``, which must hold every
+    row's neighbours, from a halo layout if need be. Segments too short for a fit give NULL.
     """
     n, i = F.col(total), F.col(index)
     width = F.least(F.lit(widest), n - 1 + n % 2).cast("int")
     start = F.greatest(F.lit(0), F.least(i - F.floor((width - 1) / 2), n - width))
-    smallest = order + 2 - (order + 1) % 2
-    # Windows are smallest, smallest + 2, ...: the rows before window w number
-    # (w^2 - 2w + 1 - (smallest - 1)^2) / 4.
-    earlier = F.floor(((width - 1) * (width - 1) - (smallest - 1) ** 2) / 4)
-    case = (earlier + i - start).cast("int")
-    enough = n >= order + 2
-    df = df.withColumn("_case", F.when(enough, case))
-    df = df.withColumn("_w", F.get(_table(widest, order, 0), F.col("_case"))).withColumn(
-        "_d", F.get(_table(widest, order, 1), F.col("_case"))
-    )
-
-    def neighbour(col: str, k: int) -> Column:
-        if k == 0:
-            return F.col(col)
-        shift = F.lead(col, k, 0.0) if k > 0 else F.lag(col, -k, 0.0)
-        return shift.over(window)
+    # Rows of the weight table before window length w: smallest + (smallest + 2) + ... + (w - 2).
+    earlier = F.floor(((width - 1) * (width - 1) - (_smallest(order) - 1) ** 2) / 4)
+    case = F.when(n >= order + 2, (earlier + i - start).cast("int"))
 
+    over = f"over (partition by {', '.join(f'`{c}`' for c in partition)} order by `{at}`)"
     offsets = range(-(widest - 1), widest)
-    names = {c: [f"_{c}{j}" for j in range(len(offsets))] for c in values}
-    df = df.select(
-        "*", *[neighbour(c, k).alias(name) for c in values for k, name in zip(offsets, names[c])]
+    neighbours, names = [], {}
+    for c in values:
+        names[c] = [f"_{c}{j}" for j in range(len(offsets))]
+        for k, name in zip(offsets, names[c]):
+            shift = f"{'lead' if k > 0 else 'lag'}(`{c}`, {abs(k)}, 0.0D) {over}" if k else f"`{c}`"
+            neighbours.append(F.expr(shift).alias(name))
+    # The weights join after the windows, so that window buffers do not carry them.
+    wide = df.select("*", *neighbours, case.alias("_case")).join(
+        F.broadcast(weight_table(df.sparkSession, widest, order)), "_case", "left"
     )
     results = []
     for c, (smoothed, rate) in values.items():
-        def dot(w: str) -> Column:
-            total_ = F.lit(0.0)
-            for j, name in enumerate(names[c]):
-                total_ = total_ + F.get(F.col(w), F.lit(j)) * F.col(name)
-            return total_
-
-        results += [dot("_w").alias(smoothed), (dot("_d") / dt).alias(rate)]
-    keep = [c for c in df.columns if not any(c in group for group in names.values())]
-    return df.select(*[c for c in keep if c not in ("_case", "_w", "_d")], *results)
+        terms = list(enumerate(names[c]))
+        value = " + ".join(f"_w[{j}] * `{name}`" for j, name in terms)
+        slope = " + ".join(f"_d[{j}] * `{name}`" for j, name in terms)
+        results += [F.expr(value).alias(smoothed), F.expr(f"({slope}) / `{dt}`").alias(rate)]
+    return wide.select(*df.columns, *results)

@@ -191,10 +191,16 @@ def number_rows(df: DataFrame, tl: Timeline, out: str, total: str | None = None)
     )
 
 
-def running(df: DataFrame, tl: Timeline, aggregates: dict[str, tuple[str, str]]) -> DataFrame:
+def running(
+    df: DataFrame,
+    tl: Timeline,
+    aggregates: dict[str, tuple[str, str]],
+    *,
+    exclusive: bool = False,
+) -> DataFrame:
     """Running ``sum``/``max``/``min``/``count`` from the first row of the key to this one.
 
-    ``aggregates`` maps output -> (function, column).
+    ``aggregates`` maps output -> (function, column). ``exclusive`` leaves the row itself out.
     """
     df = tl.cut(df)
     merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -206,8 +212,9 @@ def running(df: DataFrame, tl: Timeline, aggregates: dict[str, tuple[str, str]])
         parts = parts.withColumn(f"_before_{out}", merge[fn](f"_{out}").over(tl.chunks_before()))
     parts = parts.drop(*[f"_{out}" for out in aggregates])
     result = attach(df, parts, tl.group)
+    frame = tl.forward().rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     for out, (fn, col) in aggregates.items():
-        here, before = base[fn](col).over(tl.upto_here()), F.col(f"_before_{out}")
+        here, before = base[fn](col).over(frame), F.col(f"_before_{out}")
         if fn in ("sum", "count"):
             both = F.coalesce(here + before, here, before)
         else:

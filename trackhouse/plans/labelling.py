@@ -88,13 +88,14 @@ def smoothed_track(synced: DataFrame, rules: Rules = Rules()) -> DataFrame:
     east, north = geo.local_metres(
         F.col("lat"), F.col("lon"), F.col("seg_lat0"), F.col("seg_lon0")
     )
-    rows = rows.withColumn("enu_x_raw", east).withColumn("enu_y_raw", north)
+    rows = rows.withColumns({"enu_x_raw": east, "enu_y_raw": north})
     return (
         smooth(
             rows,
-            tl.forward(),
+            tl.group,
+            tl.order,
             {"enu_x_raw": ("enu_x", "vx"), "enu_y_raw": ("enu_y", "vy")},
-            F.col("dt"),
+            "dt",
         )
         .withColumn("sg_speed", F.hypot("vx", "vy"))
         .drop("seg_lat0", "seg_lon0", "_row")
@@ -158,18 +159,21 @@ def label(track: DataFrame, units: DataFrame | None = None, rules: Rules = Rules
     rows = _held_heading(rows, tl)
 
     ordered = Window.partitionBy(*tl.group).orderBy("t_us")
-    for c in ("t_us", "enu_x", "enu_y"):
-        rows = rows.withColumn(f"_prev_{c}", F.lag(c).over(ordered))
+    axes = ["enu_x", "enu_y"]
+    rows = rows.withColumns({f"_prev_{c}": F.lag(c).over(ordered) for c in ("t_us", *axes)})
+    gap_us = rules.us(rules.max_gap_s)
+    ahead = [
+        frame_look_ahead(ordered, "t_us", axes, rules.us(h), gap_us) for h in rules.horizons_s
+    ]
+    rows = rows.withColumns({f"_to{k}": F.struct(*hit) for k, hit in enumerate(ahead)})
     points = []
-    for k, h in enumerate(rules.horizons_s):
-        ahead = frame_look_ahead(
-            ordered, "t_us", ["enu_x", "enu_y"], rules.us(h), rules.us(rules.max_gap_s)
-        )
-        rows = rows.withColumn(f"_x{k}", ahead["enu_x"]).withColumn(f"_y{k}", ahead["enu_y"])
-        forward, left = geo.to_ego(
-            F.col(f"_x{k}") - F.col("enu_x"), F.col(f"_y{k}") - F.col("enu_y"), F.col("heading_rad")
+    for k in range(len(ahead)):
+        found = F.col(f"_to{k}")
+        points.append(
+            geo.to_ego(
+                found["enu_x"] - F.col("enu_x"), found["enu_y"] - F.col("enu_y"), F.col("heading_rad")
+            )
         )
-        points.append((forward, left))
     rows = rows.where(F.col("_own"))
     last = len(points) - 1
     past_end = F.col("t_us") + rules.us(max(rules.horizons_s)) > F.col("seg_end")
