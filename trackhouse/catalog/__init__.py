@@ -6,7 +6,7 @@ from importlib import import_module
 
 from trackhouse.catalog.base import ORACLES, QUERIES
 
-MODULES = ("alignment",)
+MODULES = ("alignment", "scalars", "joins", "aggregates", "ordered", "tracks")
 
 
 def _load() -> None:

@@ -62,10 +62,15 @@ SEGMENT_SQL = """
 """
 
 
-def segmented(spark, sf_dir):
+def segmented_timeline(spark, sf_dir):
+    """Segmented events and the timeline they were cut by."""
     e = events(spark, sf_dir)
     tl = timeline(e, ["user_id"], "ts_us", ties=["event_id"])
-    return segment_rows(assign_segments(e, tl, GAP_US), tl, firsts=["value"])
+    return segment_rows(assign_segments(e, tl, GAP_US), tl, firsts=["value"]), tl
+
+
+def segmented(spark, sf_dir):
+    return segmented_timeline(spark, sf_dir)[0]
 
 
 @query(

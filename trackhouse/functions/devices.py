@@ -32,15 +32,11 @@ def _all(line: Column, pattern: str, group: int, kind: str) -> Column:
 
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of parallel arrays in which a repeated key keeps its last value."""
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    later = F.transform(
-        pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))
+    later_first, of = F.reverse(keys), F.reverse(values)
+    names = F.array_distinct(later_first)
+    return F.map_from_arrays(
+        names, F.transform(names, lambda k: F.get(of, F.array_position(later_first, k).cast("int") - 1))
     )
-    kept = F.filter(
-        later,
-        lambda p: ~F.exists(later, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])),
-    )
-    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
 
 
 def telemetry_columns(line: Column) -> list[Column]:

@@ -46,7 +46,7 @@ def order_checks(
         F.coalesce(F.bool_or(dt <= 0), F.lit(False)).alias("time_not_advancing"),
     )
     steps = stepped.withColumn("_dt", dt).where(F.col("_dt").isNotNull())
-    medians = exact_quantiles(steps, [route], "_dt", {"median_dt": 0.5})
+    medians = exact_quantiles(steps, [route], "_dt", {"median_dt": 0.5}, width=tolerance / 1000)
     return (
         flags.join(medians, route, "left")
         .join(duplicate_keys(df, [route], [frame]), route)

@@ -53,8 +53,13 @@ def exact_quantiles(
             low, high = F.floor(exact).cast("bigint"), F.ceil(exact).cast("bigint")
             share = exact - F.floor(exact)
         wanted += [
-            F.struct(F.lit(name).alias("name"), low.alias("rank"), (1 - share).alias("weight")),
-            F.struct(F.lit(name).alias("name"), high.alias("rank"), share.alias("weight")),
+            F.struct(
+                F.lit(name).alias("name"),
+                rank.alias("rank"),
+                F.lit(side).alias("side"),
+                share.alias("share"),
+            )
+            for side, rank in (("low", low), ("high", high))
         ]
     targets = (
         ranked.withColumn("_want", F.explode(F.array(*wanted)))
@@ -78,15 +83,19 @@ def exact_quantiles(
                 )
             ),
         )
-        .select(*keys, value, "_hit.name", "_hit.weight")
+        .select(*keys, value, "_hit.*")
     )
     # At most two rows per key and quantile are left here.
-    return hits.groupBy(*keys).agg(
-        *[
-            F.sum(F.when(F.col("name") == name, F.col(value) * F.col("weight"))).alias(name)
-            for name in probabilities
-        ]
-    )
+    results = []
+    for name in probabilities:
+        at_side = lambda side, n=name: F.max(
+            F.when((F.col("name") == n) & (F.col("side") == side), F.col(value))
+        )
+        weight = F.max(F.when(F.col("name") == name, F.col("share")))
+        span = at_side("high") - at_side("low")
+        # Without a share the element itself is the answer, in its own type's precision.
+        results.append((at_side("low") + weight * span).alias(name))
+    return hits.groupBy(*keys).agg(*results)
 
 
 def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackhouse.operators.ranking import exact_quantiles
-from trackhouse.operators.timeline import Timeline, number_rows, previous, timeline
+from trackhouse.operators.timeline import number_rows, timeline
 
 # Fixed values.
 SNIFF_ROWS = 4000
@@ -28,26 +27,31 @@ def first_rows(df: DataFrame, keys: Sequence[str], position: str, n: int = SNIFF
     return numbered.where(F.col("_nth") <= n).select(*df.columns)
 
 
-def measure_rates(df: DataFrame, keys: Sequence[str], t: str, seconds: float = 1.0) -> DataFrame:
+def measure_rates(
+    df: DataFrame, keys: Sequence[str], t: str, position: str, seconds: float = 1.0
+) -> DataFrame:
     """First, last, span, median positive step and rate of each table's time column.
 
+    Only the first ``SNIFF_ROWS`` rows of a table count, which bounds every group below.
     ``t`` is NULL where a time did not parse; ``seconds`` is the length of one unit of ``t``.
     The median is the upper one: the element at half the count of the sorted steps.
     """
     keys = list(keys)
-    facts = df.groupBy(*keys).agg(
+    df = first_rows(df, keys, position)
+    by_time = Window.partitionBy(*keys).orderBy(F.col(t).asc_nulls_last())
+    step = F.col(t) - F.lag(t).over(by_time)
+    steps = F.sort_array(F.collect_list(F.when(F.col("_step") > 0, F.col("_step"))))
+    facts = df.withColumn("_step", step).groupBy(*keys).agg(
         F.count(t).alias("parsed"),
         F.count(F.when(F.col(t).isNull(), 1)).alias("unparsed"),
         F.min(t).alias("_first"),
         F.max(t).alias("_last"),
+        steps.alias("_steps"),
     )
-    times = df.where(F.col(t).isNotNull()).select(*keys, t)
-    steps = previous(times, timeline(times, keys, t), {t: "_before"})
-    steps = steps.withColumn("step", F.col(t) - F.col("_before")).where("step > 0")
-    medians = exact_quantiles(steps, keys, "step", {"_median": 0.5}, upper=True)
+    middle = F.get("_steps", F.floor(F.size("_steps") / 2).cast("int"))
     median = F.col("_median") * seconds
     return (
-        facts.join(medians, keys, "left")
+        facts.withColumn("_median", middle)
         .withColumn("first", F.col("_first") * seconds)
         .withColumn("last", F.col("_last") * seconds)
         .withColumn("span_s", F.round(F.col("last") - F.col("first"), 3))
@@ -59,7 +63,7 @@ def measure_rates(df: DataFrame, keys: Sequence[str], t: str, seconds: float = 1
                 F.col("_median").isNull(), "timestamps do not advance"
             ),
         )
-        .drop("_first", "_last", "_median")
+        .drop("_first", "_last", "_median", "_steps")
     )
 
 
@@ -112,9 +116,3 @@ def propose_tolerances(obd: DataFrame, route: str = "route") -> DataFrame:
         F.col("median_dt_s").alias("measured_median_dt_s"),
         F.col("hz").alias("measured_hz"),
     )
-
-
-__all__ = [
-    "Timeline", "first_rows", "measure_rates", "nearest_offset", "propose_offsets",
-    "propose_tolerances",
-]

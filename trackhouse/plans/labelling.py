@@ -25,6 +25,8 @@ MAX_GAP_S = 0.34
 VAL_FRACTION = 0.15
 UNIT_LEAST_ROWS = 20
 UNIT_LEAST_SEGMENT = 60
+#: Value chunk for the exact median of speed ratios, which lie around 1 or 3.6.
+RATIO_CHUNK = 1e-5
 UNIT_BANDS = (("m/s", 0.7, 1.4, 1.0), ("km/h", 2.9, 4.3, geo.KMH_TO_MPS))
 
 
@@ -119,7 +121,9 @@ def speed_units(track: DataFrame) -> DataFrame:
 def decide_units(df: DataFrame, route: str, segment: str, size: str, ratio: str) -> DataFrame:
     """``unit`` and ``scale`` per route from the median ratio of its segments."""
     usable = df.where(F.col(ratio).isNotNull())
-    medians = exact_quantiles(usable, [route, segment], ratio, {"median": 0.5})
+    medians = exact_quantiles(
+        usable, [route, segment], ratio, {"median": 0.5}, width=RATIO_CHUNK
+    )
     counts = usable.groupBy(route, segment).agg(
         F.count(F.lit(1)).alias("n"), F.max(size).alias("size")
     )
@@ -227,10 +231,14 @@ def _held_heading(rows: DataFrame, tl: Timeline) -> DataFrame:
 
 
 def temporal_split(
-    kept: DataFrame, keys: list[str], t: str, fraction: float = VAL_FRACTION
+    kept: DataFrame,
+    keys: list[str],
+    t: str,
+    fraction: float = VAL_FRACTION,
+    width: float | None = None,
 ) -> DataFrame:
     """Add ``cutoff`` and ``split``: the last ``fraction`` of each key by time is ``val``."""
-    cutoffs = exact_quantiles(kept, keys, t, {"cutoff": 1.0 - fraction})
+    cutoffs = exact_quantiles(kept, keys, t, {"cutoff": 1.0 - fraction}, width=width)
     return kept.join(cutoffs, keys).withColumn(
         "split", F.when(F.col(t) >= F.col("cutoff"), "val").otherwise("train")
     )
@@ -251,7 +259,8 @@ def run(synced: DataFrame, rules: Rules = Rules()) -> Labelled:
     units = speed_units(track)
     fixes = durable(label(track, units, rules))
     kept = fixes.where(F.col("drop_reason").isNull()).drop("drop_reason")
-    return Labelled(fixes, temporal_split(kept, ["route"], "t", rules.val_fraction), units)
+    frames = temporal_split(kept, ["route"], "t", rules.val_fraction, rules.chunk_s)
+    return Labelled(fixes, frames, units)
 
 
 def drop_totals(fixes: DataFrame, by: list[str], reason: str = "drop_reason") -> DataFrame:
