@@ -134,8 +134,8 @@ def frame_look_ahead(
     ``_prev_<t_us>`` and ``_prev_<value>``. Returns one column per value.
     """
     frame = window.rangeBetween(horizon_us, horizon_us + max_gap_us)
-    names = [t_us, f"_prev_{t_us}", *values, *[f"_prev_{v}" for v in values]]
-    hit = F.first(F.struct(*names)).over(frame)
+    # Plain columns: a struct would be copied for every row that enters the frame.
+    hit = {c: F.first(c).over(frame) for v in (t_us, *values) for c in (v, f"_prev_{v}")}
     at, before = hit[t_us], hit[f"_prev_{t_us}"]
     target = F.col(t_us) + F.lit(horizon_us)
     share = (target - before) / (at - before)

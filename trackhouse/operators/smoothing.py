@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +33,26 @@ def weights(window: int, order: int, derivative: int) -> np.ndarray:
 
 
 def weight_table(spark, widest: int = WINDOW, order: int = ORDER) -> DataFrame:
-    """``_case, _w, _d``: the weights of every window length and position, zero-padded.
+    """``_case, _w0.., _d0..``: the weights of every window length and position, zero-padded.
 
-    Its size is fixed by ``widest`` (75 rows at 15), so it may always be broadcast.
+    Its size is fixed by ``widest`` (75 rows at 15, one more for "too short"), so it may always
+    be broadcast. Scalar, non-null columns keep the generated code of the sums small.
     """
-    rows = []
+    span = 2 * widest - 1
+    rows = [np.zeros(2 * span)]
     for w in range(_smallest(order), widest + 1, 2):
         values, rates = weights(w, order, 0), weights(w, order, 1)
         for position in range(w):
             at = widest - 1 - position
-            padded = np.zeros((2, 2 * widest - 1))
-            padded[0, at : at + w] = values[position]
-            padded[1, at : at + w] = rates[position]
-            rows.append((len(rows), padded[0].tolist(), padded[1].tolist()))
-    return spark.createDataFrame(rows, "_case int, _w array<double>, _d array<double>")
+            padded = np.zeros(2 * span)
+            padded[at : at + w] = values[position]
+            padded[span + at : span + at + w] = rates[position]
+            rows.append(padded)
+    table = np.array(rows)
+    names = [f"_w{j}" for j in range(span)] + [f"_d{j}" for j in range(span)]
+    fields = [pa.field("_case", pa.int32(), False), *[pa.field(n, pa.float64(), False) for n in names]]
+    columns = [np.arange(-1, len(rows) - 1, dtype=np.int32), *table.T]
+    return spark.createDataFrame(pa.table(columns, schema=pa.schema(fields)))
 
 
 def _smallest(order: int) -> int:
@@ -76,7 +83,8 @@ def smooth(
     start = F.greatest(F.lit(0), F.least(i - F.floor((width - 1) / 2), n - width))
     # Rows of the weight table before window length w: smallest + (smallest + 2) + ... + (w - 2).
     earlier = F.floor(((width - 1) * (width - 1) - (_smallest(order) - 1) ** 2) / 4)
-    case = F.when(n >= order + 2, (earlier + i - start).cast("int"))
+    enough = n >= order + 2
+    case = F.when(enough, earlier + i - start).otherwise(-1).cast("int")
 
     over = f"over (partition by {', '.join(f'`{c}`' for c in partition)} order by `{at}`)"
     offsets = range(-(widest - 1), widest)
@@ -84,16 +92,20 @@ def smooth(
     for c in values:
         names[c] = [f"_{c}{j}" for j in range(len(offsets))]
         for k, name in zip(offsets, names[c]):
-            shift = f"{'lead' if k > 0 else 'lag'}(`{c}`, {abs(k)}, 0.0D) {over}" if k else f"`{c}`"
-            neighbours.append(F.expr(shift).alias(name))
+            there = f"coalesce(`{c}`, 0.0D)"
+            shift = f"{'lead' if k > 0 else 'lag'}({there}, {abs(k)}, 0.0D) {over}"
+            neighbours.append(F.expr(shift if k else there).alias(name))
     # The weights join after the windows, so that window buffers do not carry them.
     wide = df.select("*", *neighbours, case.alias("_case")).join(
-        F.broadcast(weight_table(df.sparkSession, widest, order)), "_case", "left"
+        F.broadcast(weight_table(df.sparkSession, widest, order)), "_case"
     )
     results = []
     for c, (smoothed, rate) in values.items():
         terms = list(enumerate(names[c]))
-        value = " + ".join(f"_w[{j}] * `{name}`" for j, name in terms)
-        slope = " + ".join(f"_d[{j}] * `{name}`" for j, name in terms)
-        results += [F.expr(value).alias(smoothed), F.expr(f"({slope}) / `{dt}`").alias(rate)]
+        value = " + ".join(f"_w{j} * `{name}`" for j, name in terms)
+        slope = " + ".join(f"_d{j} * `{name}`" for j, name in terms)
+        results += [
+            F.when(enough, F.expr(value)).alias(smoothed),
+            F.when(enough, F.expr(slope) / F.col(dt)).alias(rate),
+        ]
     return wide.select(*df.columns, *results)
