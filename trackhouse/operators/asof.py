@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackhouse.operators.timeline import Timeline, attach, fit_width
 
@@ -33,9 +36,21 @@ def bracket(
     both = tl.cut(rows.unionByName(points, allowMissingColumns=True))
     at_point = F.when(F.col("_point").isNotNull(), F.col(t))
 
+    # Value by value, so that the aggregate can hash: one over structs would sort its input.
     ends = both.groupBy(*tl.group).agg(
-        F.min_by("_point", at_point).alias("_first"), F.max_by("_point", at_point).alias("_last")
+        F.min(at_point).alias("_t0"),
+        F.max(at_point).alias("_t1"),
+        *[F.min_by(F.col(f"_point.{v}"), at_point).alias(f"_{v}0") for v in values],
+        *[F.max_by(F.col(f"_point.{v}"), at_point).alias(f"_{v}1") for v in values],
     )
+
+    def end(i: int) -> Column:
+        parts = [F.col(f"_{v}{i}").alias(v) for v in values]
+        return F.when(
+            F.col(f"_t{i}").isNotNull(), F.struct(F.col(f"_t{i}").alias("t"), *parts)
+        )
+
+    ends = ends.select(*tl.group, end(0).alias("_first"), end(1).alias("_last"))
     ends = (
         ends.withColumn("_before", F.last("_last", ignorenulls=True).over(tl.chunks_before()))
         .withColumn("_after", F.last("_first", ignorenulls=True).over(tl.chunks_after()))
@@ -124,24 +139,34 @@ def look_ahead(
     return got.groupBy(*keys, row_id).agg(F.sort_array(F.collect_list("_ahead")).alias("ahead"))
 
 
-def frame_look_ahead(
-    window: WindowSpec, t_us: str, values: Sequence[str], horizon_us: int, max_gap_us: int
-) -> list[Column]:
-    """The same lookup inside one chunk whose rows are at most ``max_gap_us`` apart.
+def chunk_look_ahead(
+    df: DataFrame,
+    group: Sequence[str],
+    t: str,
+    values: Sequence[str],
+    horizons: Sequence[int],
+    end: str,
+) -> DataFrame:
+    """The same lookup where a chunk already holds its look-ahead (``halo_by_time``).
 
-    The first row at or after the target lies within one gap of it, so a range frame
-    ``[h, h + gap]`` finds it; with its predecessor it brackets the target. Needs columns
-    ``_prev_<t_us>`` and ``_prev_<value>``. Returns one column per value.
+    Adds ``<value>_<k>`` for horizon number k, NULL where ``t + h`` is past ``end``. One Arrow
+    batch per chunk and two interpolation calls per horizon: five range frames over the same rows
+    took several times as long.
     """
-    frame = window.rangeBetween(horizon_us, horizon_us + max_gap_us)
-    # Plain columns: a struct would be copied for every row that enters the frame.
-    hit = {c: F.first(c).over(frame) for v in (t_us, *values) for c in (v, f"_prev_{v}")}
-    at, before = hit[t_us], hit[f"_prev_{t_us}"]
-    target = F.col(t_us) + F.lit(horizon_us)
-    share = (target - before) / (at - before)
-    return [
-        F.when(at == target, hit[v])
-        .otherwise(hit[f"_prev_{v}"] + share * (hit[v] - hit[f"_prev_{v}"]))
-        .alias(v)
-        for v in values
-    ]
+    names = [f"{v}_{k}" for k in range(len(horizons)) for v in values]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def ahead(chunk: pa.Table) -> pa.Table:
+        at = chunk[t].to_numpy()
+        order = np.argsort(at, kind="stable")
+        for k, h in enumerate(horizons):
+            target = at + h
+            inside = target <= chunk[end].to_numpy()
+            for v in values:
+                known = chunk[v].to_numpy()[order]
+                found = np.interp(target, at[order], known)
+                column = pa.array(found, mask=~inside | np.isnan(found))
+                chunk = chunk.append_column(f"{v}_{k}", column)
+        return chunk
+
+    return df.groupBy(*group).applyInArrow(ahead, schema)

@@ -87,7 +87,8 @@ def segment_rows(
             F.count(F.when(mine, 1)).alias("_n"),
             F.min(F.when(mine, F.col("_row"))).alias("_row0"),
             F.max(F.when(mine, F.col(tl.order))).alias("_end"),
-            F.min_by(F.struct(tl.order, *firsts), position).alias("_head"),
+            F.min(F.when(mine, F.col(tl.order))).alias("_start"),
+            *[F.min_by(c, position).alias(f"_{c}0") for c in firsts],
         )
         .where(F.col("_n") > 0)
     )
@@ -97,9 +98,9 @@ def segment_rows(
         parts.withColumn("seg_rows", F.sum("_n").over(whole))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
         .withColumn("seg_end", F.max("_end").over(whole))
-        .withColumn("_head", F.min_by("_head", F.col(f"_head.{tl.order}")).over(whole))
+        .withColumns({f"seg_{c}0": F.min_by(f"_{c}0", "_start").over(whole) for c in firsts})
         .where(F.col("seg_rows") >= least_rows)
-        .drop("_n", "_end")
+        .drop("_n", "_end", "_start", *[f"_{c}0" for c in firsts])
     )
     more = []
     if extra is not None:
@@ -108,5 +109,5 @@ def segment_rows(
     joined = df.join(facts, group).withColumn(
         "seg_index", F.col("_before") + F.col("_row") - F.col("_row0")
     )
-    heads = [F.col(f"_head.{c}").alias(f"seg_{c}0") for c in firsts]
+    heads = [f"seg_{c}0" for c in firsts]
     return joined.select(*df.columns, "seg_index", "seg_rows", "seg_end", *heads, *more)

@@ -45,8 +45,11 @@ class Timeline:
         return df.withColumn(self.chunk, self.chunk_of(F.col(self.order)))
 
     def position(self) -> Column:
-        """A comparable value that orders rows inside a key."""
-        return F.struct(self.order, *self.ties)
+        """A comparable value that orders rows inside a key.
+
+        Without ties it is the plain column: aggregates over structs cannot hash and sort instead.
+        """
+        return F.struct(self.order, *self.ties) if self.ties else F.col(self.order)
 
     def forward(self) -> WindowSpec:
         return Window.partitionBy(*self.group).orderBy(self.order, *self.ties)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackhouse.functions import geometry as geo
-from trackhouse.operators.asof import frame_look_ahead, interpolate
+from trackhouse.operators.asof import chunk_look_ahead, interpolate
 from trackhouse.operators.ranking import exact_quantiles
 from trackhouse.operators.segments import assign_segments, segment_rows
 from trackhouse.operators.smoothing import REACH, SHORTEST, smooth
@@ -63,9 +63,9 @@ def synchronise(gps: DataFrame, obd: DataFrame, tolerances: DataFrame | None, ru
 
 
 def smoothed_track(synced: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Segments, local metres, smoothed position and velocity, with border copies kept.
+    """Segments, local metres, smoothed position and velocity, and positions ahead.
 
-    Input: ``route, frame, t, lat, lon, obd_speed``. ``_own`` marks the rows that count.
+    Input: ``route, frame, t, lat, lon, obd_speed``.
     """
     tl = rules.timeline
     base = synced.withColumn("t_us", F.round(F.col("t") * 1e6).cast("bigint"))
@@ -78,30 +78,32 @@ def smoothed_track(synced: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.lag("segment").over(tl.forward()) == F.col("segment"),
         F.col("t_us") - F.lag("t_us").over(tl.forward()),
     )
-    # Steps are whole microseconds up to the gap limit, so the state of this exact median is
-    # bounded by that many distinct values whatever the length of the segment.
+    # Steps are whole microseconds up to the gap limit, so counting equal steps first bounds the
+    # state of this exact median by that many distinct values, whatever the segment's length.
     medians = (
         marked.withColumn("_step", step)
-        .where(F.col("_own"))
+        .where(F.col("_own") & F.col("_step").isNotNull())
+        .groupBy("route", "segment", "_step")
+        .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("route", "segment")
-        .agg((F.percentile("_step", F.lit(0.5)) / 1e6).alias("dt"))
+        .agg((F.percentile("_step", F.lit(0.5), F.col("_n")) / 1e6).alias("dt"))
     )
     rows = segment_rows(marked, tl, own="_own", firsts=["lat", "lon"], extra=medians)
     east, north = geo.local_metres(
         F.col("lat"), F.col("lon"), F.col("seg_lat0"), F.col("seg_lon0")
     )
     rows = rows.withColumns({"enu_x_raw": east, "enu_y_raw": north})
-    return (
-        smooth(
-            rows,
-            tl.group,
-            tl.order,
-            {"enu_x_raw": ("enu_x", "vx"), "enu_y_raw": ("enu_y", "vy")},
-            "dt",
-        )
-        .withColumn("sg_speed", F.hypot("vx", "vy"))
-        .drop("seg_lat0", "seg_lon0", "_row")
-    )
+    track = smooth(
+        rows,
+        tl.group,
+        tl.order,
+        {"enu_x_raw": ("enu_x", "vx"), "enu_y_raw": ("enu_y", "vy")},
+        "dt",
+    ).drop("seg_lat0", "seg_lon0", "_row", "dt", "lat", "lon", "seg_index")
+    horizons = [rules.us(h) for h in rules.horizons_s]
+    track = chunk_look_ahead(track, tl.group, "t_us", ["enu_x", "enu_y"], horizons, "seg_end")
+    # Copies have served: from here on only own rows are kept.
+    return track.where(F.col("_own")).drop("_own").withColumn("sg_speed", F.hypot("vx", "vy"))
 
 
 def speed_units(track: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def speed_units(track: DataFrame) -> DataFrame:
     The longest segment that gives a clear answer decides; ``unit`` is NULL when none does.
     """
     rows = track.where(
-        F.col("_own") & (F.col("seg_rows") >= UNIT_LEAST_SEGMENT) & F.col("obd_speed").isNotNull()
+        (F.col("seg_rows") >= UNIT_LEAST_SEGMENT) & F.col("obd_speed").isNotNull()
     )
     ratio = F.when(
         (F.col("sg_speed") > 2.0) & (F.col("obd_speed") > 0), F.col("obd_speed") / F.col("sg_speed")
@@ -156,29 +158,20 @@ def label(track: DataFrame, units: DataFrame | None = None, rules: Rules = Rules
     rows = rows.withColumn("speed_mps", fused).withColumn(
         "_angle",
         F.when(
-            F.col("_own") & (F.col("speed_mps") >= geo.HEADING_MIN_SPEED),
+            F.col("speed_mps") >= geo.HEADING_MIN_SPEED,
             geo.heading(F.col("vx"), F.col("vy")),
         ),
     )
     rows = _held_heading(rows, tl)
 
-    ordered = Window.partitionBy(*tl.group).orderBy("t_us")
-    axes = ["enu_x", "enu_y"]
-    rows = rows.withColumns({f"_prev_{c}": F.lag(c).over(ordered) for c in ("t_us", *axes)})
-    gap_us = rules.us(rules.max_gap_s)
-    ahead = [
-        frame_look_ahead(ordered, "t_us", axes, rules.us(h), gap_us) for h in rules.horizons_s
-    ]
-    rows = rows.withColumns({f"_to{k}": F.struct(*hit) for k, hit in enumerate(ahead)})
-    points = []
-    for k in range(len(ahead)):
-        found = F.col(f"_to{k}")
-        points.append(
-            geo.to_ego(
-                found["enu_x"] - F.col("enu_x"), found["enu_y"] - F.col("enu_y"), F.col("heading_rad")
-            )
+    points = [
+        geo.to_ego(
+            F.col(f"enu_x_{k}") - F.col("enu_x"),
+            F.col(f"enu_y_{k}") - F.col("enu_y"),
+            F.col("heading_rad"),
         )
-    rows = rows.where(F.col("_own"))
+        for k in range(len(rules.horizons_s))
+    ]
     last = len(points) - 1
     past_end = F.col("t_us") + rules.us(max(rules.horizons_s)) > F.col("seg_end")
     reason = F.when(F.col("seg_rows") < SHORTEST, "segment_too_short").otherwise(
