@@ -103,17 +103,20 @@ TRACK_SQL = f"""
     "waypoint_labels",
     TRACK_SQL
     + """SELECT rs.route, rs.segment, count(*) AS frames, count(*) FILTER (t >= cutoff) AS val, round(avg(speed), 4) AS speed_mps,
-         round(avg(heading), 4) AS heading_rad, round(avg(wp_x0), 4) AS wp_x0, round(avg(wp_x4), 4) AS wp_x4, round(avg(wp_y4), 4) AS wp_y4
+         round(avg(cos(heading)), 4) AS heading_cos, round(avg(sin(heading)), 4) AS heading_sin, round(avg(wp_x0), 4) AS wp_x0, round(avg(wp_x4), 4) AS wp_x4, round(avg(wp_y4), 4) AS wp_y4
          FROM rs JOIN co USING (route) WHERE drop_reason IS NULL GROUP BY ALL""",
 )
 def waypoint_labels(spark, sf_dir):
     """Per route and segment: kept frames, validation frames, mean speed, heading, waypoints."""
     frames = labelled(spark, sf_dir).frames
-    means = {"speed_mps", "heading_rad", "wp_x0", "wp_x4", "wp_y4"}
+    # A heading of exactly half a turn may carry either sign; its sine and cosine do not.
+    angle = F.col("heading_rad")
     return frames.groupBy("route", "segment").agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if(F.col("split") == "val").alias("val"),
-        *[F.round(F.avg(c), 4).alias(c) for c in sorted(means)],
+        F.round(F.avg(F.cos(angle)), 4).alias("heading_cos"),
+        F.round(F.avg(F.sin(angle)), 4).alias("heading_sin"),
+        *[F.round(F.avg(c), 4).alias(c) for c in ("speed_mps", "wp_x0", "wp_x4", "wp_y4")],
     )
 
 
