@@ -6,7 +6,7 @@ from importlib import import_module
 
 from trackhouse.catalog.base import ORACLES, QUERIES
 
-MODULES = ("alignment", "scalars", "joins", "aggregates", "ordered", "tracks")
+MODULES = ("alignment", "scalars", "joins", "aggregates", "ordered", "tracks", "files")
 
 
 def _load() -> None:

@@ -18,8 +18,11 @@ def write_document(rows: DataFrame, path: str, *, key: str | None = None) -> Non
         (rows.orderBy(key) if key else rows).write.mode("overwrite").json(path)
 
 
-def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
+def read_document(
+    spark: SparkSession, path: str, schema: str | None = None, *, whole_file: bool = False
+) -> DataFrame:
+    """JSON lines, or with ``whole_file`` documents that span lines."""
+    reader = spark.read.option("multiLine", str(whole_file).lower())
     return (reader.schema(schema) if schema else reader).json(path)
 
 

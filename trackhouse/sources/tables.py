@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackhouse.functions.text import clock_seconds, integer, number
@@ -11,20 +12,25 @@ from trackhouse.operators.roles import match_roles, table_kinds
 DELIMITERS = (",", ";", "\t")
 
 
-def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def raw_lines(
+    spark: SparkSession, paths: str | list[str], *, glob: str | None = None
+) -> DataFrame:
     """Every line with its file, its place in the file and whether it is the first.
 
     ``pos`` grows with the place of the line: the block's offset in the file, then the order
     inside the block.
     """
     meta = "_metadata"
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     return (
-        spark.read.option("recursiveFileLookup", "true").text(paths)
+        reader.text(paths)
         .select(
             F.col(f"{meta}.file_path").alias("path"),
             F.col(f"{meta}.file_block_start").alias("_block"),
             (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_nth"),
-            F.regexp_replace("value", "^﻿|\r$", "").alias("line"),
+            F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
         )
         .withColumn("pos", F.struct("_block", "_nth"))
         .drop("_nth")
@@ -63,11 +69,17 @@ def sniff(lines: DataFrame) -> DataFrame:
     )
 
 
-def empty_tables(files: DataFrame) -> DataFrame:
-    """Tables of length 0, which the line reader cannot see."""
-    return files.where((F.col("kind") == "table") & (F.col("length") == 0)).select(
-        "path", F.lit("file is empty").alias("error")
+def empty_tables(spark: SparkSession, root: str, tables: DataFrame, glob: str) -> DataFrame:
+    """Tables of length 0. Spark's scans skip them, so they are told from the file index.
+
+    Only names of table files pass through the driver, where the file index holds them anyway.
+    """
+    listed = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
     )
+    names = pa.table({"path": pa.array(listed.inputFiles(), pa.string())})
+    missing = spark.createDataFrame(names).join(tables.select("path"), "path", "left_anti")
+    return missing.select("path", F.lit("file is empty").alias("error"))
 
 
 def headers(tables: DataFrame) -> DataFrame:
@@ -103,7 +115,7 @@ def records(lines: DataFrame, tables: DataFrame) -> DataFrame:
     return body.select("path", "pos", "columns", parsed.alias("cells"))
 
 
-def field(name) -> F.Column:
+def field(name: Column) -> Column:
     """Text of the column called ``name`` in a record row."""
     at = F.size("columns") - F.array_position(F.reverse("columns"), name)
     return F.when(F.array_contains("columns", name), F.get("cells", at.cast("int")))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_waypoints(frames: DataFrame, path: str) -> None:
@@ -58,7 +59,7 @@ def feature_cache(
         if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER" not in str(exc):
             raise
     kept = frames.withColumn("is_val", F.col("split") == "val").select("frame_path", "is_val", *columns)
-    schema = kept.schema.add("features", "array<float>")
+    schema = T.StructType([*kept.schema.fields, T.StructField("features", T.ArrayType(T.FloatType()))])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -49,13 +49,24 @@ def align(
     Both sides carry a watermark, so state is bounded by ``reach_s`` and the lateness. A fix
     without any sample in reach comes out with NULL.
     """
-    f = fixes.select(route, row_id, F.col(at).alias("_at")).withWatermark("_at", late)
+    # Joining on the route alone would put a busy route into one task: the time slot splits it.
+    # A sample is offered to its own slot and to both neighbours, which covers the reach.
+    slot = lambda c: F.floor(F.unix_micros(c) / (reach_s * 1e6)).cast("bigint")
+    f = fixes.select(
+        route, row_id, F.col(at).alias("_at"), slot(at).alias("_slot")
+    ).withWatermark("_at", late)
     s = samples.select(
-        F.col(route).alias("_route"), F.col(at).alias("_s"), F.col(value).alias("_v")
+        F.col(route).alias("_route"),
+        F.col(at).alias("_s"),
+        F.col(value).alias("_v"),
+        F.explode(F.array(slot(at) - 1, slot(at), slot(at) + 1)).alias("_of"),
     ).withWatermark("_s", late)
     span = F.expr(f"interval {reach_s} seconds")
-    near = (F.col(route) == F.col("_route")) & (F.col("_s") >= F.col("_at") - span) & (
-        F.col("_s") <= F.col("_at") + span
+    near = (
+        (F.col(route) == F.col("_route"))
+        & (F.col("_slot") == F.col("_of"))
+        & (F.col("_s") >= F.col("_at") - span)
+        & (F.col("_s") <= F.col("_at") + span)
     )
     before, after = F.col("_s") <= F.col("_at"), F.col("_s") >= F.col("_at")
     when = F.col("_s")
