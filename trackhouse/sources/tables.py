@@ -78,7 +78,11 @@ def empty_tables(spark: SparkSession, root: str, tables: DataFrame, glob: str) -
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
     )
     names = pa.table({"path": pa.array(listed.inputFiles(), pa.string())})
-    missing = spark.createDataFrame(names).join(tables.select("path"), "path", "left_anti")
+    # The index and the scan spell the scheme differently ("file:/" and "file:///").
+    plain = F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("_plain")
+    missing = spark.createDataFrame(names).select("path", plain).join(
+        tables.select(plain), "_plain", "left_anti"
+    )
     return missing.select("path", F.lit("file is empty").alias("error"))
 
 
