@@ -19,6 +19,7 @@ from trackhouse.operators import inventory as inv
 from trackhouse.operators import rates
 from trackhouse.operators.governance import UNCONFIRMED
 from trackhouse.operators.pairing import capped_listing, first_of, pair
+from trackhouse.session import durable
 from trackhouse.sources import tables as tab
 from trackhouse.sources.files import annotated_tree, file_tree
 
@@ -52,7 +53,8 @@ def discover(spark: SparkSession, root: str) -> Discovery:
         return F.regexp_replace(F.regexp_replace(rel, r"^\Q" + base + r"\E/", ""), r"/?[^/]*$", "")
 
     lines = tab.raw_lines(spark, root, glob=TABLE_GLOB)
-    sniffed = tab.sniff(lines)
+    # One row per table, read by every later step, at the cost of a pass over all lines.
+    sniffed = durable(tab.sniff(lines))
     roles, kinds = tab.describe(sniffed)
     tables = sniffed.join(kinds, "path", "left").withColumn("route", route_of(place(F.col("path"))))
     times = roles.where("role = 'time'").select("path", F.col("column").alias("_time"))
@@ -61,7 +63,7 @@ def discover(spark: SparkSession, root: str) -> Discovery:
     stamped = head.select(
         "path", F.col("pos._nth").alias("nth"), clock_seconds(tab.field(F.col("_time"))).alias("t")
     )
-    measured = rates.measure_rates(stamped, ["path"], "t", "nth")
+    measured = durable(rates.measure_rates(stamped, ["path"], "t", "nth"))
     dirs = inv.directory_summary(files).withColumn("route", route_of(F.col("dir")))
     images = dirs.where("kind = 'image'").withColumn(
         "side", stereo_side(F.element_at(F.split("dir", "/"), -1))
