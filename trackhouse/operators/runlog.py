@@ -84,24 +84,41 @@ def eta_minutes(df: DataFrame, tl: Timeline, epoch: str, secs: str, epochs: int)
 def rolling_history(
     df: DataFrame, tl: Timeline, value: str, *, rows: int = HISTORY_ROWS, block: int = 20_000
 ) -> DataFrame:
-    """Mean, extremes and count over the last ``rows`` samples of a series."""
+    """Mean, extremes and count over the last ``rows`` samples of a series.
+
+    A sliding frame would visit ``rows`` values per row. Cut into runs of ``rows``, the last
+    ``rows`` samples are the end of one run and the start of the next, and both are running
+    aggregates: one from the front, one from the back.
+    """
     numbered = number_rows(df, tl, "_nth", "_of").drop(tl.chunk)
     numbered = numbered.withColumn("_index", F.col("_nth") - 1)
     laid = halo_by_rows(numbered, "_index", "_of", max(block, rows), rows - 1, "_block", "_own")
-    back = (
-        Window.partitionBy(*tl.keys, "_block").orderBy("_index").rowsBetween(-(rows - 1), 0)
+    laid = laid.withColumn("_run", F.floor(F.col("_index") / rows))
+    keys = [*tl.keys, "_block"]
+    fold = {"n": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    start = Window.partitionBy(*keys, "_run").orderBy("_index").rowsBetween(
+        Window.unboundedPreceding, 0
     )
-    return (
-        laid.withColumns(
-            {
-                "history_n": F.count(value).over(back),
-                "history_avg": F.avg(value).over(back),
-                "history_min": F.min(value).over(back),
-                "history_max": F.max(value).over(back),
-            }
-        )
-        .where(F.col("_own"))
-        .select(*df.columns, "history_n", "history_avg", "history_min", "history_max")
+    end = Window.partitionBy(*keys, "_run").orderBy(F.col("_index").desc()).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    ends = laid.withColumns({f"_end_{k}": f(value).over(end) for k, f in fold.items()})
+    both = ends.withColumns({f"_start_{k}": f(value).over(start) for k, f in fold.items()})
+    # The run before counts from the oldest row in reach on; a full run needs no other.
+    back = Window.partitionBy(*keys).orderBy("_index")
+    partial = F.col("_index") % rows != rows - 1
+    both = both.withColumns(
+        {f"_old_{k}": F.when(partial, F.lag(f"_end_{k}", rows - 1).over(back)) for k in fold}
+    )
+    add = lambda k: F.coalesce(F.col(f"_start_{k}") + F.col(f"_old_{k}"), f"_start_{k}", f"_old_{k}")
+    history = {
+        "history_n": add("n"),
+        "history_avg": add("sum") / F.nullif(add("n"), F.lit(0)),
+        "history_min": F.least("_start_min", "_old_min"),
+        "history_max": F.greatest("_start_max", "_old_max"),
+    }
+    return both.where(F.col("_own")).select(
+        *df.columns, *[c.alias(name) for name, c in history.items()]
     )
 
 
