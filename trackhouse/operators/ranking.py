@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackhouse.operators.timeline import Timeline, attach, fit_width
+from trackhouse.operators.timeline import Timeline, fit_width
 from trackhouse.session import durable
 
 
@@ -146,5 +146,3 @@ def seeded_sample(df: DataFrame, key: Sequence[str], k: int, seed: int) -> DataF
         df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k).orderBy(*key)
     )
 
-
-__all__ = ["attach", "evenly_spaced", "exact_quantiles", "global_rank", "seeded_sample"]
