@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackhouse.llm import packing, repeats, tokens
+from trackhouse.llm import minhash, packing, repeats, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(docs, TOKENIZER)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query("op2_minhash_dedup")
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the component of its near copies."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
