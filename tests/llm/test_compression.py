@@ -62,13 +62,13 @@ def test_toxicity_held_out(spark, held):
 
 
 def test_corner_cases(spark):
-    rows = [(1, None, "a"), (2, "", "a"), (3, "12 !!", "a"), (4, "wort " * 20000, "b"), (None, "ein wort", "b"), (4, "zwei", None)]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "12 !!", "a"), (4, "wort " * 20000, "b"), (None, "zwei wort ein wort", "b"), (4, "zwei", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     model = language.Model(("a", "b"), (language.dictionary(["x y z"]), language.dictionary(["ein wort zwei"])))
     out = language.predict(docs, model).collect()
     assert len(out) == 6
     assert {r.doc_id: r.lang_pred for r in out if r.doc_id in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"}
-    assert all(r.lang_pred == "b" and not r.rejected for r in out if r.text == "ein wort")
+    assert all(r.lang_pred == "b" and not r.rejected for r in out if r.text == "zwei wort ein wort")
     assert all(r.lang_pred in ("a", "b") for r in out if r.doc_id == 4)
     assert language.predict(docs.limit(0), model).count() == 0
     bare = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
