@@ -29,6 +29,8 @@ WINDOW = 96
 #: A stretch of the shared words before each window: the compressor then never falls back to
 #: storing a short window as it is, which would hide small savings.
 CARRIER = 48
+#: zstandard does not index the last bytes of a dictionary; these take their place.
+TAIL = b"\0" * 16
 SETTINGS = THOROUGH | {"min_match": 4}
 COMMON_WORDS = 4000
 MARKERS = 200
@@ -87,7 +89,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     # The markers stand nearest to the window, in both as long, so that the shared words lie as far.
     ends = ["".join(reversed(m)).encode() for m in marks]
     width = max(map(len, ends))
-    return shared + ends[0].rjust(width), shared + ends[1].rjust(width)
+    return tuple(shared + e.rjust(width) + TAIL for e in ends)
 
 
 @lru_cache(maxsize=2)
