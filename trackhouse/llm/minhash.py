@@ -37,6 +37,8 @@ BITS = 4
 LONGS = -(-HASHES * BITS // 64)
 #: Chance of dropping a pair at the threshold by its estimate.
 MISS = 1e-10
+#: Pivots of a bucket that meet its members in the first round; eight times as many in each later one.
+PIVOTS = 4
 SLICE = 1 << 20
 
 
@@ -243,10 +245,10 @@ def _link(
     # A first pass joins most members: each meets only the smallest pivot of its buckets.
     first = members.groupBy("doc").agg(F.min("pivot").alias("b")).where("b < doc").select(F.col("doc").alias("a"), "b")
     edges = durable(edges.unionByName(confirmed(_ordered(first))).distinct())
+    labels = durable(components(edges))
     members = members.select("key", "doc")
-    pivots = 2
+    pivots = PIVOTS
     while True:
-        labels = durable(components(edges))
         labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
             "key", "doc", F.coalesce("component", "doc").alias("component")
         )
@@ -258,16 +260,29 @@ def _link(
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
         few = open_members.join(largest, "key").where(F.col("component") != F.col("largest"))
         cell = F.pmod(F.xxhash64("doc"), F.lit(pivots))
-        chosen = durable(few.groupBy("key", cell.alias("cell")).agg(F.min("doc").alias("pivot")).select("key", "pivot"))
-        own = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-        met = (
-            open_members.join(chosen, "key")
-            .join(own, "pivot", "left")
-            .where(F.col("component") != F.coalesce("pivot_component", "pivot"))
-            .select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+        chosen = few.groupBy("key", cell.alias("cell")).agg(
+            F.min(F.struct(F.col("doc").alias("pivot"), F.col("component").alias("own"))).alias("least")
         )
-        edges = durable(edges.unionByName(confirmed(_ordered(met))))
-        members = open_members.join(chosen.withColumnRenamed("pivot", "doc"), ["key", "doc"], "left_anti").select("key", "doc")
-        pivots *= 2
+        chosen = durable(chosen.select("key", "least.pivot", "least.own"))
+        met = open_members.join(chosen, "key").where("component != own").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+        edges = durable(confirmed(_ordered(met)))
+        if not edges.isEmpty():
+            labels = durable(_merged(labels, edges))
+        met_all = chosen.select("key", F.col("pivot").alias("doc"))
+        members = open_members.join(met_all, ["key", "doc"], "left_anti").select("key", "doc")
+        pivots *= 8
     sets.unpersist()
     return labels
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after new edges: only the components that these tie together are worked on."""
+    ends = edges
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias("c"))
+        ends = ends.join(named, end, "left").withColumn(f"{end}_component", F.coalesce("c", end)).drop("c")
+    tied = components(ends.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    tied = durable(tied)
+    moved = labels.join(tied.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+    moved = moved.select("node", F.coalesce("now", "component").alias("component"))
+    return moved.unionByName(tied.join(labels, "node", "left_anti"))
