@@ -124,8 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     # Only short rows are counted and chosen; the texts follow for the chosen ones alone.
     marked = labels.where(quoted(label).isin(0, 1)).select(quoted(id_col).alias("id"), quoted(label).cast("int").alias("label"))
     chosen = bounded_sample(marked, "id", "label", MOST).distinct()
-    texts = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(chosen, "id")
-    rows = texts.select("label", "text", F.pmod(F.xxhash64("id"), F.lit(5)).alias("part")).collect()
+    # The chosen ids are bounded by ``MOST``, so they are sent to the texts, not the texts to them.
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = texts.select("label", "text", F.pmod(F.xxhash64("id"), F.lit(5)).alias("part")).limit(2 * sum(MOST.values())).collect()
     folded = [(r.label, (r.text or "").encode().translate(FOLD), r.part) for r in rows]
     base = (sum(y for y, _, _ in folded) + 0.5) / (len(folded) + 1)
     if len({y for y, _, _ in folded}) < 2:
