@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackhouse.llm import language, minhash, packing, repeats, tokens, toxicity
+from trackhouse.llm import language, media, minhash, packing, repeats, tokens, toxicity, urls
 from trackhouse.llm.compression import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,35 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(remainder("doc_id", 4) != 2))
     guessed = language.predict(docs.select("doc_id", "text"), model)
     return guessed.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query("op9_matroska")
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a Matroska file and read back, as digests and features."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = media.read_back(media.store(docs, keep_text=False))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+@query("op10_link_trust")
+def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rule, or by what reaches its host over links."""
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
