@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackhouse.llm import language, media, minhash, packing, repeats, tokens, toxicity, urls
+from trackhouse.llm import language, licenses, media, minhash, packing, repeats, tokens, toxicity, urls
 from trackhouse.llm.compression import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,12 @@ RULES = [
 def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict by rule, or by what reaches its host over links."""
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and covered templates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
