@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackhouse.llm import language, licenses, media, minhash, packing, repeats, tokens, toxicity, urls
+from trackhouse.llm import embeddings, language, licenses, media, minhash, packing, repeats, tokens, toxicity, urls
 from trackhouse.llm.compression import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+@query("op7_embedding_dedup")
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component within its label."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
