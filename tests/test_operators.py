@@ -140,6 +140,9 @@ def test_weights_and_scores(spark):
     skew = spark.createDataFrame([(0, 10_000_000)] + [(i, 1) for i in range(1, 8)], "train_id int, n bigint")
     w = [r.weight for r in histograms.class_weights(skew).collect()]
     assert max(w) <= 10 * min(w) + 1e-9
+    part = skew.where("train_id < 5")
+    w = {r.train_id: r.weight for r in histograms.class_weights(part, column="train_id", classes=range(8)).collect()}
+    assert sorted(w) == list(range(8)) and w[7] == pytest.approx(10 * min(w.values()))
     with pytest.raises(ValueError):
         histograms.require_pixels(counts.where("false"))
     pred = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (255, 1), (2, 2)], "t int, p int")
@@ -149,9 +152,16 @@ def test_weights_and_scores(spark):
 
 def test_rates_offsets_and_text(spark):
     rows = [("g", i, 32400 + i / 15) for i in range(50)] + [("e", 0, None)]
-    r = rates.measure_rates(spark.createDataFrame(rows, "k string, p long, t double"), ["k"], "t", "p").toPandas().set_index("k")
+    r = rates.measure_rates(spark.createDataFrame(rows, "k string, p long, t double"), ["k"], "t").toPandas().set_index("k")
     assert r.loc["g"].hz == pytest.approx(15, abs=0.01) and r.loc["g"].error is None
     assert r.loc["e"].error == "fewer than two parseable timestamps"
+    # All rows count: the step changes after the first four thousand.
+    long = [("k", float(i if i < 4000 else 4000 + (i - 4000) * 3)) for i in range(10_000)]
+    late = rates.measure_rates(spark.createDataFrame(long, "k string, t double"), ["k"], "t").first()
+    assert (late.parsed, late.median_dt_s, late["last"]) == (10_000, 3.0, 4000 + 5999 * 3)
+    only = spark.createDataFrame([("x(y",), ("XB",), ("nothing",)], "line string")
+    kept = lambda wanted: {r.line for r in only.where(text.log_matches(F.col("line"), wanted)).collect()}
+    assert kept("/x(?=b)/") == {"XB"} and kept("/(?P<x>b)/") == set() and kept("x(") == {"x(y"}
     cases = {"09-00-31-289685": 32431.289685, "00-00-01-5": 1.5, "00-00-01-500000": 1.5, "01:02:03": 3723.0,
              "01:02:03.5": 3723.5, "1234.5": 1234.5, "": None, "  ": None, "not a time": None, "nan": None}
     df = spark.createDataFrame(list(cases.items()), "s string, want double")

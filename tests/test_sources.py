@@ -107,14 +107,27 @@ def test_discover_confirm_and_label(spark):
     out = scratch() + "/wp"
     waypoints.write_waypoints(done.frames, out)
     assert waypoints.read_waypoints(spark, out, "d0").count() == len(frames)
-    calls = []
+    assert waypoints.read_waypoints(spark, out).schema["route"].dataType.simpleString() == "string"
 
     def score(pdf):
         return pd.Series([[float(v)] for v in pdf.speed_mps])
 
+    def torn(pdf):
+        return pd.Series([None] * len(pdf))
+
     withpath = waypoints.read_waypoints(spark, out).withColumn("frame_path", F.col("frame").cast("string"))
-    cache = waypoints.feature_cache(withpath, scratch() + "/c", score, ["speed_mps"])
-    assert cache.count() == len(frames) and not calls
+    place = scratch() + "/c"
+    for _ in range(2):  # a failed build leaves nothing that a second call would take
+        with pytest.raises(ValueError, match="could not be read"):
+            waypoints.feature_cache(withpath, place, torn, ["speed_mps"])
+    cache = waypoints.feature_cache(withpath, place, score, ["speed_mps"])
+    assert cache.count() == len(frames) and cache.where("features IS NULL").isEmpty()
+    # A second call reads what the first wrote; other frames and other scorers do not.
+    assert waypoints.feature_cache(withpath, place, torn, ["speed_mps"]).count() == len(frames)
+    fewer = withpath.where("frame > 40")
+    assert waypoints.feature_cache(fewer, place, score, ["speed_mps"]).count() == fewer.count()
+    with pytest.raises(ValueError, match="could not be read"):
+        waypoints.feature_cache(withpath, place, torn, ["speed_mps"], version="2")
 
 
 def test_confirmations_survive_only_unchanged(spark):
@@ -129,7 +142,7 @@ def test_confirmations_survive_only_unchanged(spark):
     edited = gov.set_field(fields, "d0", "gps.time", column="image_idx")
     row = edited.where("field = 'gps.time'").first()
     assert (row.proposed, row.confidence, row.state) == ("image_idx", "manual", "confirmed")
-    with pytest.raises(ValueError, match="Available"):
+    with pytest.raises(ValueError, match="the columns are"):
         gov.set_field(fields, "d0", "gps.time", column="nope")
 
 

@@ -97,6 +97,16 @@ def test_throttle_stream_equals_batch(spark):
         assert sorted(want[want.run == run].ts) == kept
 
 
+def test_throttle_stream_orders_the_whole_micro_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        pdf = pd.DataFrame({"run": "a", "ts": [80.0, 60.0, 20.0, 40.0, 30.0, 16.0]})
+        got = drain(runs.throttle(stream_of(spark, pdf), "run", "ts"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got.ts) == [16.0, 40.0, 60.0, 80.0]
+
+
 def test_stale_alert_and_recovery(spark):
     base = pd.Timestamp("2024-01-01")
     at = lambda *s: [base + pd.Timedelta(seconds=x) for x in s]

@@ -15,9 +15,7 @@ def r6(col):
 
 
 _RATE_SQL = """
-    WITH f AS (SELECT event_type, event_id, user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE epoch_us(ts) END AS t,
-                      row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth FROM events),
-    s AS (SELECT * FROM f WHERE nth <= 4000),
+    WITH s AS (SELECT event_type, event_id, user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE epoch_us(ts) END AS t FROM events),
     d AS (SELECT event_type, t - lag(t) OVER (PARTITION BY event_type ORDER BY t) AS d FROM s WHERE t IS NOT NULL),
     m AS (SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC) AS md FROM d WHERE d > 0 GROUP BY event_type)
 """
@@ -33,7 +31,7 @@ _RATE_SQL = """
 def sample_rate(spark, sf_dir):
     t = F.when(F.col("event_id") % 13 != 0, F.col("ts_us"))
     rows = events(spark, sf_dir).withColumn("t", t)
-    out = rates.measure_rates(rows, ["event_type"], "t", "event_id", seconds=1e-6)
+    out = rates.measure_rates(rows, ["event_type"], "t", seconds=1e-6)
     return out.select(
         "event_type", "parsed", "unparsed", r6(F.col("first")).alias("first"), "span_s", "median_dt_s", "hz"
     )
@@ -57,9 +55,8 @@ def suffix_histogram(spark, sf_dir):
 @query(
     "d2_top_levels",
     """WITH p AS (SELECT DISTINCT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host,
-                split_part(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/', 3) AS leaf FROM pages),
-       k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY leaf) AS r FROM p)
-       SELECT host, string_agg(leaf, ',' ORDER BY leaf) AS names FROM k WHERE r <= 10 GROUP BY host""",
+                split_part(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/', 3) AS leaf FROM pages)
+       SELECT host, leaf, count(*) OVER (PARTITION BY host) AS names FROM p""",
 )
 def top_levels(spark, sf_dir):
     bare = F.regexp_replace("url", r"^https?://", "")
@@ -67,7 +64,7 @@ def top_levels(spark, sf_dir):
         F.split_part(bare, F.lit("/"), F.lit(1)).alias("host"),
         F.split_part(F.regexp_replace(bare, r"[?#].*$", ""), F.lit("/"), F.lit(3)).alias("leaf"),
     )
-    return inventory.top_levels(parts, "host", "leaf").select("host", F.array_join("names", ",").alias("names"))
+    return inventory.top_levels(parts, "host", "leaf")
 
 
 @query(
@@ -351,7 +348,7 @@ _OFFSET_SQL = """
 
 def _rates(spark, sf_dir, kind):
     rows = events(spark, sf_dir).where(F.col("event_type") == kind)
-    return rates.measure_rates(rows, ["user_id"], "ts_us", "event_id", seconds=1e-6)
+    return rates.measure_rates(rows, ["user_id"], "ts_us", seconds=1e-6)
 
 
 @query(
@@ -411,13 +408,13 @@ def latency_percentiles(spark, sf_dir):
 
 @query(
     "d23_combined_budget",
-    """WITH p AS (SELECT event_type, median(value) AS p50 FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
+    """WITH p AS (SELECT event_type, median(value) AS p50 FROM events GROUP BY 1),
        t AS (SELECT sum(p50) AS t FROM p)
        SELECT round(t, 6) AS total_ms, round(33.0::DOUBLE - t, 6) AS headroom_ms,
        CASE WHEN t <= 26.4 THEN 'ok' WHEN t <= 33 THEN 'warn' ELSE 'err' END AS status FROM t""",
 )
 def combined_budget(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_type IN ('view', 'click')")
+    rows = events(spark, sf_dir)
     medians = exact_quantiles(rows, ["event_type"], "value", {"p50": 0.5})
     return latency.combined_budget(medians).select(
         r6(F.col("total_ms")).alias("total_ms"), r6(F.col("headroom_ms")).alias("headroom_ms"), "status"
@@ -467,7 +464,7 @@ def parity_gate(spark, sf_dir):
     WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
     SELECT user_id, count(*) FILTER (r > 8) AS measured_batches, round(avg(value) FILTER (r > 8), 6) AS secs_per_batch,
            round(avg(value) FILTER (r > 8) * 875, 4) AS secs_per_epoch, round(avg(value) FILTER (r > 8) * 875 * 220 / 3600, 4) AS total_hours
-    FROM n WHERE r <= 48 GROUP BY user_id
+    FROM n GROUP BY user_id HAVING count(*) FILTER (r > 8) > 0
     """,
 )
 def rate_projection(spark, sf_dir):

@@ -137,8 +137,8 @@ def unknown_ids(spark, sf_dir):
 
 _LABELS_SQL = """
     WITH labels_ AS (SELECT DISTINCT p_name AS name, CAST(length(p_name) AS INTEGER) AS level3_id FROM part),
-    groups_ AS (SELECT DISTINCT CAST(p_size % 4 AS INTEGER) AS train_id, replace(upper(p_name), ' ', '-') AS member
-                FROM part WHERE p_size % 3 = 0
+    groups_ AS (SELECT DISTINCT CAST(p_size % 4 AS INTEGER) AS train_id,
+                       replace(upper(CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_brand || p_name END), ' ', '-') AS member FROM part
                 UNION SELECT 9, 'no such-' || p_brand FROM part),
     n AS (SELECT *, lower(translate(name, ' -_', '')) AS normalized FROM labels_),
     w AS (SELECT *, lower(translate(member, ' -_', '')) AS normalized FROM groups_),
@@ -151,10 +151,10 @@ def _labels_and_groups(spark, sf_dir):
     labels = p.select(
         F.col("p_name").alias("name"), F.length("p_name").alias("level3_id")
     ).distinct()
-    member = F.replace(F.upper("p_name"), F.lit(" "), F.lit("-"))
+    named = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.concat("p_brand", "p_name"))
+    member = F.replace(F.upper(named), F.lit(" "), F.lit("-"))
     groups = (
-        p.where(F.col("p_size") % 3 == 0)
-        .select((F.col("p_size") % 4).alias("train_id"), member.alias("member"))
+        p.select((F.col("p_size") % 4).alias("train_id"), member.alias("member"))
         .union(p.select(F.lit(9).alias("train_id"), F.concat(F.lit("no such-"), "p_brand").alias("member")))
         .distinct()
         .withColumn("group", F.concat(F.lit("g"), "train_id"))
@@ -246,7 +246,7 @@ def nearest_offset(spark, sf_dir):
 @query(
     "c10_prediction_truth",
     """
-    WITH p AS (SELECT doc_id FROM labels), t AS (SELECT doc_id FROM documents WHERE n_chars > 500)
+    WITH p AS (SELECT doc_id FROM labels), t AS (SELECT doc_id FROM documents)
     SELECT (SELECT count(*) FROM p JOIN t USING (doc_id)) AS matched,
            (SELECT count(*) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM t)) AS left_only,
            (SELECT count(*) FROM t WHERE doc_id NOT IN (SELECT doc_id FROM p)) AS right_only,
@@ -254,7 +254,7 @@ def nearest_offset(spark, sf_dir):
     """,
 )
 def prediction_truth(spark, sf_dir):
-    truth = table(spark, sf_dir, "documents").where("n_chars > 500").select("doc_id")
+    truth = table(spark, sf_dir, "documents").select("doc_id")
     return pairing.misses(table(spark, sf_dir, "labels").select("doc_id"), truth, ["doc_id"])
 
 
@@ -264,7 +264,7 @@ def prediction_truth(spark, sf_dir):
     WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch
                FROM events WHERE event_type = 'purchase'),
     s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
-                 count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'view' AND event_id % 2 = 0)
+                 count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'view')
     SELECT e.event_id, e.user_id, e.epoch, s.value AS aligned FROM e LEFT JOIN s
     ON e.user_id = s.user_id AND s.i = least(e.epoch, s.n - 1)
     """,
@@ -276,8 +276,24 @@ def epoch_alignment(spark, sf_dir):
     buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts_us")
     numbered = number_rows(buys, timeline(buys, ["user_id"], "ts_us", ties=["event_id"]), "n")
     epochs = numbered.select("event_id", "user_id", (F.col("n") - 1).alias("epoch"))
-    views = e.where("event_type = 'view' AND event_id % 2 = 0")
-    return runlog.align_to_epochs(epochs, views, ["user_id"], "epoch", "ts_us", "value", "aligned")
+    views = e.where("event_type = 'view'")
+    return runlog.align_to_epochs(epochs, views, ["user_id"], "epoch", "ts_us", "value", "aligned", ties=["event_id"])
+
+
+@query(
+    "c11_carried_epoch",
+    """
+    WITH s AS (SELECT user_id, epoch_us(ts) // 3600000000 AS epoch, arg_max(value, (ts, event_id)) AS aligned
+               FROM events WHERE event_type = 'view' GROUP BY ALL)
+    SELECT e.event_id, e.user_id, epoch_us(e.ts) // 3600000000 AS epoch, s.aligned
+    FROM events e LEFT JOIN s ON e.user_id = s.user_id AND epoch_us(e.ts) // 3600000000 = s.epoch WHERE event_type = 'purchase'
+    """,
+)
+def carried_epoch(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("epoch", F.floor(F.col("ts_us") / 3_600_000_000))
+    buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "epoch")
+    views = e.where("event_type = 'view'")
+    return runlog.align_by_epoch(buys, views, ["user_id"], "epoch", ["ts_us", "event_id"], "value", "aligned")
 
 
 @query(
@@ -335,14 +351,14 @@ def union_all(spark, sf_dir):
 @query(
     "g2_set_difference",
     """SELECT 'unlabelled' AS side, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-       UNION ALL SELECT 'odd_label', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500)""",
+       UNION ALL SELECT 'unlabelled_page', page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def set_difference(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
     a = docs.select("doc_id").subtract(labels)
-    b = labels.subtract(docs.where("n_chars > 500").select("doc_id"))
+    b = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")).subtract(labels)
     tag = lambda df, side: df.select(F.lit(side).alias("side"), "doc_id")
-    return tag(a, "unlabelled").union(tag(b, "odd_label"))
+    return tag(a, "unlabelled").union(tag(b, "unlabelled_page"))
 
 
 @query(

@@ -186,7 +186,10 @@ def evenly_spaced(spark, sf_dir):
     return ranking.evenly_spaced(docs, ["source", "doc_id"], 24).select("doc_id")
 
 
-@query("f4_seeded_sample")
+@query(
+    "f4_seeded_sample",
+    "SELECT event_id, value FROM events ORDER BY md5('216:' || event_id), event_id LIMIT 20",
+)
 def seeded_sample(spark, sf_dir):
     return ranking.seeded_sample(events(spark, sf_dir).select("event_id", "value"), ["event_id"], 20, 216)
 
@@ -242,7 +245,7 @@ def hard_rows(spark, sf_dir):
     "b25_left_camera",
     """
     WITH d AS (SELECT user_id AS route, event_id, event_type || event_id AS path, CASE event_type WHEN 'click' THEN 'left' WHEN 'view' THEN 'right' END AS side
-               FROM events WHERE (event_id + user_id) % 40 = 0),
+               FROM events),
     c AS (SELECT route, count(*) AS dirs, count(*) FILTER (side = 'left') AS lefts, min(path) FILTER (side = 'left') AS l, min(path) AS any FROM d GROUP BY 1)
     SELECT route, dirs, CASE WHEN lefts > 0 THEN 'left' WHEN dirs = 1 THEN 'only' ELSE 'ambiguous' END AS state,
            CASE WHEN lefts > 0 THEN l WHEN dirs = 1 THEN "any" END AS path FROM c
@@ -250,8 +253,7 @@ def hard_rows(spark, sf_dir):
 )
 def left_camera(spark, sf_dir):
     side = F.when(F.col("event_type") == "click", "left").when(F.col("event_type") == "view", "right")
-    # One directory in forty events; the rest of the events are the files inside.
-    dirs = events(spark, sf_dir).where((F.col("event_id") + F.col("user_id")) % 40 == 0).select(
+    dirs = events(spark, sf_dir).select(
         F.col("user_id").alias("route"), F.concat("event_type", "event_id").alias("path"), side.alias("side")
     )
     return inventory.left_camera(dirs).select("route", "dirs", "state", "path")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Suffixes, markers and words the data sets use.
@@ -130,17 +132,23 @@ def safe_tag(tag: Column) -> Column:
     return F.regexp_replace(tag, r"[^\p{L}\p{N}_-]", "-")
 
 
+def _valid_pattern(pattern: str) -> bool:
+    """Whether the engine that will run ``pattern`` takes it: Java's, not Python's."""
+    session = SparkSession.active()
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def log_matches(line: Column, wanted: str) -> Column:
     """A log filter: ``/regex/``, else a case-insensitive substring; empty keeps all."""
     wanted = wanted.strip()
     if not wanted:
         return F.lit(True)
     if len(wanted) >= 2 and wanted.startswith("/") and wanted.endswith("/"):
-        try:
-            re.compile(wanted[1:-1])
-        except re.error:
-            pass
-        else:
+        if _valid_pattern(wanted[1:-1]):
             return line.rlike("(?i)" + wanted[1:-1])
     return F.contains(F.lower(line), F.lit(wanted.lower()))
 

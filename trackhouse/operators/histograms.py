@@ -27,8 +27,29 @@ def frequencies(counts: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame
     )
 
 
-def class_weights(counts: DataFrame, n: str = "n", cap: float = WEIGHT_CAP) -> DataFrame:
-    """Weight per class of one split's counts, at most ``cap`` times the least weight."""
+def with_classes(counts: DataFrame, column: str, classes: Sequence[int], n: str = "n") -> DataFrame:
+    """``counts`` of one split with a row of 0 for every class that it lacks."""
+    spark = counts.sparkSession
+    kind = counts.schema[column].dataType
+    every = spark.createDataFrame([(c,) for c in classes], "c int").select(F.col("c").cast(kind).alias(column))
+    lacking = every.join(counts.select(column), column, "left_anti").withColumn(n, F.lit(0).cast(counts.schema[n].dataType))
+    return counts.unionByName(lacking, allowMissingColumns=True)
+
+
+def class_weights(
+    counts: DataFrame,
+    n: str = "n",
+    cap: float = WEIGHT_CAP,
+    column: str | None = None,
+    classes: Sequence[int] | None = None,
+) -> DataFrame:
+    """Weight per class of one split's counts, at most ``cap`` times the least weight.
+
+    With ``column`` and ``classes``, a class that was never seen is rare beyond measure and gets
+    the capped weight.
+    """
+    if column is not None and classes is not None:
+        counts = with_classes(counts, column, classes, n)
     everything = Window.partitionBy(F.lit(1))
     weighted = counts.withColumn("_total", F.sum(n).over(everything)).withColumn(
         "weight",
@@ -42,7 +63,7 @@ def class_weights(counts: DataFrame, n: str = "n", cap: float = WEIGHT_CAP) -> D
 def require_pixels(counts: DataFrame, n: str = "n") -> DataFrame:
     """The counts again, or an error when nothing was labelled."""
     if not counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]:
-        raise ValueError("cannot compute class weights: no labelled pixels were counted")
+        raise ValueError("no class has a labelled pixel, so weights have nothing to go by")
     return counts
 
 

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackhouse.operators.pairing import first_of
+from trackhouse.operators.ranking import global_rank
 from trackhouse.operators.timeline import number_rows, timeline
 
-# Fixed values.
-SECOND_LEVEL_NAMES = 10
+#: Example names of a directory; its counts are always whole.
 EXAMPLE_NAMES = 3
 
 
@@ -22,27 +23,27 @@ def suffix_histogram(files: DataFrame, suffix: str = "suffix", size: str = "leng
     )
 
 
-def directory_summary(files: DataFrame) -> DataFrame:
-    """Per directory and kind: files, bytes and up to three example names."""
+def directory_summary(files: DataFrame, examples: int = EXAMPLE_NAMES) -> DataFrame:
+    """Per directory and kind: files, bytes and up to ``examples`` names."""
     order = Window.partitionBy("dir", "kind").orderBy("name")
-    examples = (
+    named = (
         files.withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= EXAMPLE_NAMES)
+        .where(F.col("_r") <= examples)
         .groupBy("dir", "kind")
         .agg(F.sort_array(F.collect_list("name")).alias("examples"))
     )
     counts = files.groupBy("dir", "kind").agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
     )
-    return counts.join(examples, ["dir", "kind"])
+    return counts.join(named, ["dir", "kind"])
 
 
-def top_levels(paths: DataFrame, first: str, second: str, cap: int = SECOND_LEVEL_NAMES) -> DataFrame:
-    """Names of the second directory level below each first-level name, the first ``cap``."""
+def top_levels(paths: DataFrame, first: str, second: str) -> DataFrame:
+    """Every name of the second directory level below each first-level name, a row each; ``names``
+    is how many there are."""
     pairs = paths.select(first, second).where(F.col(second).isNotNull()).distinct()
-    order = Window.partitionBy(first).orderBy(second)
-    kept = pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cap)
-    return kept.groupBy(first).agg(F.sort_array(F.collect_list(second)).alias("names"))
+    counts = pairs.groupBy(first).agg(F.count(F.lit(1)).alias("names"))
+    return pairs.join(counts, first)
 
 
 def split_counts(files: DataFrame, split: str, sequence: str) -> DataFrame:
@@ -57,7 +58,14 @@ def members_by_route(df: DataFrame, route: str, order: str) -> DataFrame:
 
     Kept as rows: a route's list may be as long as the data.
     """
-    numbered = number_rows(df, timeline(df, [route], order), "position")
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        numbered = number_rows(df, timeline(df, [route], order), "position")
+    else:
+        # Names have no width to cut by: rank the table as a whole, then count from each route's start.
+        ranked = global_rank(df, [route, order], "_at")
+        starts = ranked.groupBy(route).agg(F.min("_at").alias("_start"))
+        numbered = ranked.join(starts, ranked[route].eqNullSafe(starts[route])).drop(starts[route])
+        numbered = numbered.withColumn("position", F.col("_at") - F.col("_start") + 1)
     return numbered.withColumn("is_first", F.col("position") == 1).select(
         *df.columns, "position", "is_first"
     )

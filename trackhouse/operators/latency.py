@@ -12,7 +12,6 @@ from trackhouse.operators.ranking import exact_quantiles
 
 # Fixed values.
 WARMUP_BATCHES = 8
-TIMED_BATCHES = 40
 PERCENTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
@@ -48,20 +47,26 @@ def project_rate(
     batches_per_epoch: int,
     epochs: int,
     warmup: int = WARMUP_BATCHES,
-    timed: int = TIMED_BATCHES,
+    timed: int | None = None,
 ) -> DataFrame:
     """Mean of the batches after the warm-up, scaled to an epoch and to the whole run.
 
-    Rows past the timed ones are cut by rank before the shuffle as well.
+    All batches count, or the first ``timed`` ones where given. The end of the warm-up is found by
+    rank, which keeps a few rows per key before the shuffle; the rest is a plain aggregate.
     """
+    keys = list(keys)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    steady = df.withColumn("_nth", nth).where(F.col("_nth") <= warmup + timed)
+    spot = F.struct(*order)
+    edges = df.select(*keys, spot.alias("_spot"), nth.alias("_nth")).where(F.col("_nth") <= warmup + (timed or 0))
+    edges = edges.groupBy(*keys).agg(
+        F.max(F.when(F.col("_nth") <= warmup, F.col("_spot"))).alias("_warm"), F.max("_spot").alias("_end")
+    )
+    steady = df.withColumn("_spot", spot).join(edges, keys).where(F.col("_spot") > F.col("_warm"))
+    if timed is not None:
+        steady = steady.where(F.col("_spot") <= F.col("_end"))
     return (
         steady.groupBy(*keys)
-        .agg(
-            F.count(F.when(F.col("_nth") > warmup, 1)).alias("measured_batches"),
-            F.avg(F.when(F.col("_nth") > warmup, F.col(secs))).alias("secs_per_batch"),
-        )
+        .agg(F.count(F.lit(1)).alias("measured_batches"), F.avg(secs).alias("secs_per_batch"))
         .withColumn("secs_per_epoch", F.col("secs_per_batch") * batches_per_epoch)
         .withColumn("total_hours", F.col("secs_per_epoch") * epochs / 3600.0)
     )

@@ -143,6 +143,6 @@ def evenly_spaced(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
 def seeded_sample(df: DataFrame, key: Sequence[str], k: int, seed: int) -> DataFrame:
     """``k`` pseudo-random rows that depend only on the key and the seed, in key order."""
     return (
-        df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k).orderBy(*key)
+        df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), *key).limit(k).orderBy(*key)
     )
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackhouse.operators.timeline import number_rows, timeline
+from trackhouse.operators.ranking import exact_quantiles
+from trackhouse.operators.timeline import previous, timeline
 
-# Fixed values.
-SNIFF_ROWS = 4000
+# Fixed values; the offsets and their labels are output.
 SPEC_TOLERANCE_S = 0.100
 KNOWN_OFFSETS = (
     (19800, "UTC+5:30 (IST): OBD logged in UTC while GPS logged local Indian time"),
@@ -21,39 +21,27 @@ KNOWN_OFFSETS = (
 )
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], position: str, n: int = SNIFF_ROWS) -> DataFrame:
-    """The first ``n`` rows of every table in file order."""
-    numbered = number_rows(df, timeline(df, keys, position), "_nth")
-    return numbered.where(F.col("_nth") <= n).select(*df.columns)
+def measure_rates(df: DataFrame, keys: Sequence[str], t: str, seconds: float = 1.0) -> DataFrame:
+    """First, last, span, median positive step and rate of each table's time column, over all rows.
 
-
-def measure_rates(
-    df: DataFrame, keys: Sequence[str], t: str, position: str, seconds: float = 1.0
-) -> DataFrame:
-    """First, last, span, median positive step and rate of each table's time column.
-
-    Only the first ``SNIFF_ROWS`` rows of a table count, which bounds every group below.
     ``t`` is NULL where a time did not parse; ``seconds`` is the length of one unit of ``t``.
-    The median is the upper one: the element at half the count of the sorted steps.
+    The median is the upper one: the element at half the count of the sorted steps. Equal times are
+    folded first, since only steps that advance count, and steps are taken per time chunk.
     """
     keys = list(keys)
-    df = first_rows(df, keys, position)
-    by_time = Window.partitionBy(*keys).orderBy(F.col(t).asc_nulls_last())
-    step = F.col(t) - F.lag(t).over(by_time)
-    steps = F.sort_array(F.collect_list(F.when(F.col("_step") > 0, F.col("_step"))))
-    facts = df.withColumn("_step", step).groupBy(*keys).agg(
+    facts = df.groupBy(*keys).agg(
         F.count(t).alias("parsed"),
         F.count(F.when(F.col(t).isNull(), 1)).alias("unparsed"),
-        F.min(t).alias("_first"),
-        F.max(t).alias("_last"),
-        steps.alias("_steps"),
+        (F.min(t) * seconds).alias("first"),
+        (F.max(t) * seconds).alias("last"),
     )
-    middle = F.get("_steps", F.floor(F.size("_steps") / 2).cast("int"))
+    times = df.where(F.col(t).isNotNull()).select(*keys, t).distinct()
+    stepped = previous(times, timeline(times, keys, t, least=1e-6), {t: "_before"})
+    steps = stepped.select(*keys, (F.col(t) - F.col("_before")).alias("_step"))
+    medians = exact_quantiles(steps, keys, "_step", {"_median": 0.5}, upper=True)
     median = F.col("_median") * seconds
     return (
-        facts.withColumn("_median", middle)
-        .withColumn("first", F.col("_first") * seconds)
-        .withColumn("last", F.col("_last") * seconds)
+        facts.join(medians, keys, "left")
         .withColumn("span_s", F.round(F.col("last") - F.col("first"), 3))
         .withColumn("median_dt_s", F.round(median, 6))
         .withColumn("hz", F.round(1.0 / median, 3))
@@ -63,7 +51,7 @@ def measure_rates(
                 F.col("_median").isNull(), "timestamps do not advance"
             ),
         )
-        .drop("_first", "_last", "_median", "_steps")
+        .drop("_median")
     )
 
 

@@ -49,11 +49,18 @@ def stale_runs(df: DataFrame, run: str, ts: str, status: str, order: str, now, a
 
 
 def align_to_epochs(
-    epochs: DataFrame, scalars: DataFrame, keys: Sequence[str], epoch: str, order: str, value: str, out: str
+    epochs: DataFrame,
+    scalars: DataFrame,
+    keys: Sequence[str],
+    epoch: str,
+    order: str,
+    value: str,
+    out: str,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """The i-th recorded value for epoch i; epochs past the last value take the last one."""
     keys = list(keys)
-    numbered = number_rows(scalars, timeline(scalars, keys, order), "_nth")
+    numbered = number_rows(scalars, timeline(scalars, keys, order, ties=ties), "_nth")
     points = numbered.select(
         *keys, (F.col("_nth") - 1).alias(epoch), F.col(value).alias("_value")
     ).withColumn("_side", F.lit(0))
@@ -64,6 +71,15 @@ def align_to_epochs(
     )
 
 
+def align_by_epoch(
+    epochs: DataFrame, scalars: DataFrame, keys: Sequence[str], epoch: str, order: Sequence[str], value: str, out: str
+) -> DataFrame:
+    """The last value recorded under each epoch number; NULL where the epoch recorded none."""
+    on = [*keys, epoch]
+    last = scalars.groupBy(*on).agg(F.max_by(value, F.struct(*order)).alias(out))
+    return epochs.join(last, on, "left").select(*epochs.columns, out)
+
+
 def running_best(
     df: DataFrame, tl: Timeline, value: str, *, highest: bool = True
 ) -> DataFrame:

@@ -58,12 +58,9 @@ def discover(spark: SparkSession, root: str) -> Discovery:
     roles, kinds = tab.describe(sniffed)
     tables = sniffed.join(kinds, "path", "left").withColumn("route", route_of(place(F.col("path"))))
     times = roles.where("role = 'time'").select("path", F.col("column").alias("_time"))
-    # Rows of the first block are enough: only the first few thousand of a table are measured.
-    head = tab.records(lines.where("pos._block = 0"), sniffed).join(times, "path")
-    stamped = head.select(
-        "path", F.col("pos._nth").alias("nth"), clock_seconds(tab.field(F.col("_time"))).alias("t")
-    )
-    measured = durable(rates.measure_rates(stamped, ["path"], "t", "nth"))
+    rows = tab.records(lines, sniffed).join(times, "path")
+    stamped = durable(rows.select("path", clock_seconds(tab.field(F.col("_time"))).alias("t")))
+    measured = durable(rates.measure_rates(stamped, ["path"], "t"))
     dirs = inv.directory_summary(files).withColumn("route", route_of(F.col("dir")))
     images = dirs.where("kind = 'image'").withColumn(
         "side", stereo_side(F.element_at(F.split("dir", "/"), -1))

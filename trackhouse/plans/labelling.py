@@ -237,6 +237,10 @@ def temporal_split(
     )
 
 
+#: Routes that an error names; it always tells how many there are.
+LISTED = 20
+
+
 @dataclass(frozen=True)
 class Labelled:
     """Result of a labelling run; both tables are already written once."""
@@ -246,10 +250,34 @@ class Labelled:
     units: DataFrame
 
 
-def run(synced: DataFrame, rules: Rules = Rules()) -> Labelled:
-    """The whole plan. The track and the labels are written once and read by what follows."""
+def unknown_units(track: DataFrame, units: DataFrame, bus_routes: DataFrame | None = None) -> DataFrame:
+    """Routes that have bus data but no unit for its speed; most often their clock offset is wrong.
+
+    ``bus_routes`` names the routes that have bus tables, matched or not; without it only routes
+    with matched samples are known to have bus data.
+    """
+    had = track.where(F.col("obd_speed").isNotNull()).select("route")
+    if bus_routes is not None:
+        had = had.unionByName(bus_routes.select("route"))
+    return had.distinct().join(units.where("unit IS NOT NULL"), "route", "left_anti")
+
+
+def run(
+    synced: DataFrame, rules: Rules = Rules(), *, bus_routes: DataFrame | None = None, require_units: bool = True
+) -> Labelled:
+    """The whole plan. The track and the labels are written once and read by what follows.
+
+    With ``require_units``, bus speeds whose unit cannot be told stop the run rather than vanish.
+    """
     track = durable(smoothed_track(synced, rules))
     units = speed_units(track)
+    if require_units:
+        open_routes = unknown_units(track, units, bus_routes)
+        first = [r.route for r in open_routes.orderBy("route").limit(LISTED).collect()]
+        if first:
+            raise ValueError(
+                f"{open_routes.count()} routes have bus speeds in no known unit (check their clock offset), e.g. {first}"
+            )
     fixes = durable(label(track, units, rules))
     kept = fixes.where(F.col("drop_reason").isNull()).drop("drop_reason")
     frames = temporal_split(kept, ["route"], "t", rules.val_fraction, rules.chunk_s)

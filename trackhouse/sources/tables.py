@@ -54,6 +54,7 @@ def sniff(lines: DataFrame) -> DataFrame:
     best = F.array_max(F.array(*counts))
     tables = lines.groupBy("path").agg(
         F.min_by("line", "pos").alias("header"),
+        F.min("pos").alias("header_pos"),
         (F.count_if(F.trim("line") != "") - 1).alias("rows"),
     )
     return (
@@ -103,7 +104,7 @@ def records(lines: DataFrame, tables: DataFrame) -> DataFrame:
     The delimiter and the stripped header found by the sniff are used here too, so tables with
     any of the delimiters read the same. Table facts are one row per file.
     """
-    known = tables.where("error IS NULL").select("path", "header", "delimiter", "columns")
+    known = tables.where("error IS NULL").select("path", "header_pos", "delimiter", "columns")
     # from_csv takes its separator as a literal: one branch per possible delimiter.
     widest = known.agg(F.max(F.size("columns"))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(widest))
@@ -115,7 +116,8 @@ def records(lines: DataFrame, tables: DataFrame) -> DataFrame:
             F.col("delimiter") == d, row
         )
     # A repeated header name keeps its last column, as a dict reader does.
-    body = lines.join(known, "path").where((F.col("line") != F.col("header")) & (F.trim("line") != ""))
+    # Only the first line is the header; a later line that repeats it is data, as the count has it.
+    body = lines.join(known, "path").where((F.col("pos") != F.col("header_pos")) & (F.trim("line") != ""))
     return body.select("path", "pos", "columns", parsed.alias("cells"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,7 +27,10 @@ def write_waypoints(frames: DataFrame, path: str) -> None:
 
 
 def read_waypoints(spark: SparkSession, path: str, route: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    """Frames as written. Route names come from folder names and stay text: ``001`` is no number."""
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
+    schema = T.StructType([*stored.fields, T.StructField("route", T.StringType())])
+    df = spark.read.schema(schema).parquet(path)
     return df if route is None else df.where(F.col("route") == route)
 
 
@@ -43,21 +47,26 @@ def feature_cache(
     path: str,
     score: Callable[[pd.DataFrame], pd.Series],
     columns: list[str],
+    version: str = "1",
 ) -> DataFrame:
     """Per-frame features next to speed, targets and the split flag, computed once.
 
     ``score`` turns a batch of frames into one feature list each, None where a frame cannot be
-    read. A cache that holds as many rows as there are frames is used as it is.
+    read; ``version`` names the scorer. A cache belongs to its frames and version: its folder is
+    named by their count and an order-free hash. It is written aside, checked, then renamed, so a
+    folder of that name is whole.
     """
     spark = frames.sparkSession
-    wanted = frames.count()
-    try:
-        stored = spark.read.parquet(path)
-        if stored.count() == wanted:
-            return stored
-    except Exception as exc:  # no cache yet, or a torn one: rebuild
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER" not in str(exc):
-            raise
+    facts = frames.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("frame_path", "split", *columns).cast("decimal(38,0)")).alias("sum"),
+    ).first()
+    name = f"{facts['n']}-{hashlib.sha256(f'{facts["sum"]}:{version}:{columns}'.encode()).hexdigest()[:16]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = lambda *parts: hadoop.Path("/".join([path.rstrip("/"), *parts]))
+    fs = place(name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place(name)):
+        return spark.read.parquet(f"{path.rstrip('/')}/{name}")
     kept = frames.withColumn("is_val", F.col("split") == "val").select("frame_path", "is_val", *columns)
     schema = T.StructType([*kept.schema.fields, T.StructField("features", T.ArrayType(T.FloatType()))])
 
@@ -65,10 +74,13 @@ def feature_cache(
         for pdf in batches:
             yield pdf.assign(features=score(pdf))
 
-    kept.mapInPandas(scored, schema).write.mode("overwrite").parquet(path)
-    cache = spark.read.parquet(path)
-    bad = cache.where("features IS NULL")
-    if not bad.isEmpty():
+    aside = f"{path.rstrip('/')}/_writing-{name}"
+    kept.mapInPandas(scored, schema).write.mode("overwrite").parquet(aside)
+    bad = spark.read.parquet(aside).where("features IS NULL")
+    count = bad.count()
+    if count:
         examples = [r.frame_path for r in bad.select("frame_path").orderBy("frame_path").limit(3).collect()]
-        raise ValueError(f"{bad.count()} frames could not be read, e.g. {examples}")
-    return cache
+        raise ValueError(f"{count} frames could not be read, e.g. {examples}")
+    if not fs.rename(place(f"_writing-{name}"), place(name)) and not fs.exists(place(name)):
+        raise OSError(f"the feature cache could not be published as {path}/{name}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{name}")

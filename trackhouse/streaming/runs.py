@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +19,16 @@ def throttle(stream: DataFrame, run: str, ts: str, every: float = HEARTBEAT_S) -
 
     def passing(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0.0
-        for pdf in batches:
-            keep = []
-            for t in sorted(pdf[ts]):
-                if t - last >= every:
-                    last = t
-                    keep.append(t)
-            if keep:
-                yield pd.DataFrame({run: key[0], ts: keep})
+        # A micro-batch of a run may come in several Arrow batches: order all of it first.
+        times = np.sort(np.concatenate([pdf[ts].to_numpy(float) for pdf in batches]))
+        keep = []
+        at = _next_beat(times, last, every)
+        while at < len(times):
+            last = float(times[at])
+            keep.append(last)
+            at = _next_beat(times, last, every)
+        if keep:
+            yield pd.DataFrame({run: key[0], ts: keep})
         state.update((last,))
 
     return stream.select(run, ts).groupBy(run).applyInPandasWithState(
@@ -33,14 +36,26 @@ def throttle(stream: DataFrame, run: str, ts: str, every: float = HEARTBEAT_S) -
     )
 
 
+def _next_beat(times: np.ndarray, last: float, every: float) -> int:
+    """The first of the sorted ``times`` that lies ``every`` or more after ``last``."""
+    at = int(np.searchsorted(times, last + every))
+    while at > 0 and times[at - 1] - last >= every:
+        at -= 1
+    while at < len(times) and times[at] - last < every:
+        at += 1
+    return at
+
+
 def stale_alerts(
-    stream: DataFrame, run: str, at: str, status: str, after: float = STALE_S
+    stream: DataFrame, run: str, at: str, status: str, after: float = STALE_S, line: str | None = None
 ) -> DataFrame:
     """``(run, since, state)``: ``stale`` after a silence of a running run, ``live`` at its next event.
 
     ``at`` is an event-time column with a watermark; a timer per run fires when the watermark
-    passes the last event plus ``after``.
+    passes the last event plus ``after``. The latest status is that of the last line where ``line``
+    names the place of a row in its log, else that of the latest time.
     """
+    order = line or at
     schema = f"{run} string, since timestamp, state string"
 
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,11 +64,13 @@ def stale_alerts(
             state.update((last, current, True))
             yield pd.DataFrame({run: [key[0]], "since": [pd.Timestamp(last, unit="ms")], "state": ["stale"]})
             return
-        before, running, news = last, current == "running", []
+        before, running, news, spot = last, current == "running", [], None
         for pdf in batches:
-            pdf = pdf.sort_values(at)
-            known = pdf[status].dropna()
-            current = known.iloc[-1] if len(known) else current
+            known = pdf[pdf[status].notna()]
+            if len(known):
+                top = known.loc[known[order].idxmax()]
+                if spot is None or top[order] > spot:
+                    spot, current = top[order], top[status]
             news.append(int(pdf[at].min().value // 1_000_000))
             last = max(last, int(pdf[at].max().value // 1_000_000))
         # The event that ends a silence may arrive before the timer of that silence fired.
@@ -68,7 +85,7 @@ def stale_alerts(
         if current == "running" and due > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(due)
 
-    return stream.select(F.col(run).cast("string"), at, status).groupBy(run).applyInPandasWithState(
+    return stream.select(F.col(run).cast("string"), at, status, *([line] if line else [])).groupBy(run).applyInPandasWithState(
         watch, schema, "last long, status string, stale boolean", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
