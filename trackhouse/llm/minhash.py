@@ -5,10 +5,11 @@ low ``BITS`` bits of all minima, packed into longs, tell by counting bits how si
 pair is once chance agreement of low bits is taken out. Pairs that could reach the threshold are
 compared on their full sets.
 
-Equal sets are folded first. A bucket of a band is never expanded into all its pairs: a few pivots
-of each bucket meet its other members, linked members fall into one component, and only members of
-different components meet later pivots. A pivot that has met its whole bucket leaves it, so in the
-end every pair of a bucket was compared or lies in one component.
+Equal sets are folded first. Then every document meets the most central member of its buckets, the
+one that shares most buckets, and what links falls into components. Only members of different
+components are left to compare: in a bucket, those outside its largest component meet the others,
+by counting bits in blocks of bounded size, and only pairs that could be links come out, each from
+the first band that it shares. These are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ from trackhouse.session import durable
 
 #: Bands of rows of minima: a pair of similarity 0.8 shares no band with probability 6e-7.
 BANDS, ROWS = 36, 5
-HASHES = BANDS * ROWS
+#: All minima: those of the bands, and more for the estimate alone.
+HASHES = 768
 #: Bits kept of a minimum, and longs that hold them all.
-BITS = 4
+BITS = 2
 LONGS = -(-HASHES * BITS // 64)
 #: Chance of dropping a pair at the threshold by its estimate.
-MISS = 1e-10
-#: Pivots of a bucket that meet its members in the first round; eight times as many in each later one.
-PIVOTS = 4
+MISS = 1e-6
+#: Members of a block that is compared at once, and rows of a unit of work.
+CHUNK, UNIT = 256, 4096
 SLICE = 1 << 20
 
 
@@ -90,10 +92,11 @@ def _signatures(runs: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     minima = np.empty((len(first), HASHES), np.uint32)
     for k in range(HASHES):
         minima[:, k] = np.minimum.reduceat(base * odd[k] + add[k], first)
-    rows = W.mixed(minima.astype(np.uint64) + np.arange(HASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    used = np.arange(BANDS * ROWS, dtype=np.uint64)
+    rows = W.mixed(minima[:, : BANDS * ROWS].astype(np.uint64) + used * np.uint64(0x9E3779B97F4A7C15))
     keys = np.zeros((len(first), BANDS), np.uint64)
     for r in range(ROWS):
-        keys = W.mixed(keys * np.uint64(0xD6E8FEB86659FD93) + rows[:, r::ROWS])
+        keys = W.mixed(keys * np.uint64(0xD6E8FEB86659FD93) + rows[:, r :: ROWS])
     low = np.zeros((len(first), LONGS * 64 // BITS), np.uint64)
     low[:, :HASHES] = minima & np.uint32((1 << BITS) - 1)
     shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
@@ -181,11 +184,6 @@ def full_sets(docs: DataFrame, id_col: str, text: str, length: int, wanted: Data
     return texts.join(wanted, "doc", "left_semi").mapInArrow(run, schema)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, the smaller document first."""
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 4, percent: int = 80
 ) -> DataFrame:
@@ -219,62 +217,135 @@ def _link(
     """``(node, component)`` of the class representatives that are linked with others."""
     reps = folded.select(F.col("rep").alias("doc"), "x", "y")
     heads = known.join(reps, ["doc", "x", "y"], "left_semi")
-    bands = heads.select("doc", F.explode("keys").alias("key"))
-    filled = bands.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last")
-    members = durable(bands.join(filled.select("key", "pivot"), "key"))
-    wanted = members.select("doc").distinct()
+    bands = heads.select("doc", F.posexplode("keys").alias("band", "key"))
+    filled = bands.groupBy("band", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    members = durable(bands.join(filled.select("band", "key"), ["band", "key"]))
+    degrees = members.groupBy("doc").agg(F.count("*").alias("degree"))
     # Folded sets may share an id (rows that repeat one); each keeps its own signature.
-    signatures = durable(heads.join(wanted, "doc", "left_semi").select("doc", "sig"))
+    signatures = durable(heads.join(degrees, "doc", "left_semi").select("doc", "sig", "keys"))
+    wanted = degrees.select("doc")
     sets = full_sets(docs, id_col, text, length, wanted).repartition("doc").persist(StorageLevel.DISK_ONLY)
-    least = least_matches(percent / 100)
     # An id with several texts ties their classes together.
     tied = known.join(folded, ["x", "y"]).select("doc", "rep")
     several = tied.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last")
-    edges = tied.join(several, "doc").select(F.col("rep").alias("a"), "b").where("a != b")
+    ties = tied.join(several, "doc").select(F.col("rep").alias("a"), "b").where("a != b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = signatures.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a"))
-        two = signatures.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"))
-        close = pairs.join(one, "a").join(two, "b").where(matches(F.col("sig_a"), F.col("sig_b")) >= least)
+    def compared(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("doc").alias("a"), F.col("items").alias("set_a"))
         two = sets.select(F.col("doc").alias("b"), F.col("items").alias("set_b"))
         common = F.size(F.array_intersect("set_a", "set_b"))
         united = F.size("set_a") + F.size("set_b") - common
-        return close.select("a", "b").join(one, "a").join(two, "b").where(100 * common >= percent * united).select("a", "b")
-
-    # A first pass joins most members: each meets only the smallest pivot of its buckets.
-    first = members.groupBy("doc").agg(F.min("pivot").alias("b")).where("b < doc").select(F.col("doc").alias("a"), "b")
-    edges = durable(edges.unionByName(confirmed(_ordered(first))).distinct())
-    labels = durable(components(edges))
-    members = members.select("key", "doc")
-    pivots = PIVOTS
-    while True:
-        labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "doc", F.coalesce("component", "doc").alias("component")
-        )
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        open_members = durable(labelled.join(mixed.select("key"), "key"))
-        if open_members.isEmpty():
-            break
-        sizes = open_members.groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-        few = open_members.join(largest, "key").where(F.col("component") != F.col("largest"))
-        cell = F.pmod(F.xxhash64("doc"), F.lit(pivots))
-        chosen = few.groupBy("key", cell.alias("cell")).agg(
-            F.min(F.struct(F.col("doc").alias("pivot"), F.col("component").alias("own"))).alias("least")
-        )
-        chosen = durable(chosen.select("key", "least.pivot", "least.own"))
-        met = open_members.join(chosen, "key").where("component != own").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-        edges = durable(confirmed(_ordered(met)))
-        if not edges.isEmpty():
-            labels = durable(_merged(labels, edges))
-        met_all = chosen.select("key", F.col("pivot").alias("doc"))
-        members = open_members.join(met_all, ["key", "doc"], "left_anti").select("key", "doc")
-        pivots *= 8
+        return pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), united.alias("united"))
+
+    linked = 100 * F.col("common") >= percent * F.col("united")
+    least = least_matches(percent / 100)
+    spot = F.struct("degree", (-F.col("doc")).alias("rank"))
+    central = members.join(degrees, "doc").groupBy("band", "key").agg(F.max(spot).alias("top"))
+    met = members.join(central, ["band", "key"]).groupBy("doc").agg(F.max("top").alias("top"))
+    met = met.select(F.col("doc").alias("a"), (-F.col("top.rank")).alias("b"))
+    stars = durable(compared(met.where("a != b")))
+    joined = stars.where(linked).select("a", "b")
+    labels = durable(components(durable(ties.unionByName(joined).distinct())))
+    # How far a document is from its centre bounds its distance from others around that centre.
+    far = stars.select(F.col("a").alias("doc"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("united")).alias("distance"))
+    centred = signatures.join(far, "doc", "left").withColumns(
+        {"centre": F.coalesce("centre", "doc"), "distance": F.coalesce("distance", F.lit(0.0))}
+    )
+    rest = _across(members, labels, centred, least, 1 - percent / 100)
+    edges = durable(compared(rest.distinct()).where(linked).select("a", "b"))
+    if not edges.isEmpty():
+        labels = durable(_merged(labels, edges))
     sets.unpersist()
     return labels
 
 
+def _across(members: DataFrame, labels: DataFrame, signatures: DataFrame, least: int, reach: float) -> DataFrame:
+    """Pairs ``(a, b)`` that share a bucket, lie in different components and could be links.
+
+    The members of a bucket outside its largest component are cut into chunks, and so are all its
+    members; each pair of chunks is compared in one task, as bits. Jaccard distance is a metric, so
+    two documents whose distances from one centre differ by more than ``reach`` are passed over.
+    """
+    labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "band", "key", "doc", F.coalesce("component", "doc").alias("component")
+    )
+    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    held = durable(labelled.join(mixed.select("band", "key"), ["band", "key"]))
+    sizes = held.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
+    facts = sizes.groupBy("band", "key").agg(
+        F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")
+    )
+    chunks = facts.select(
+        "band", "key", F.col("top.component").alias("largest"),
+        F.ceil((F.col("all") - F.col("top.size")) / CHUNK).cast("int").alias("n_left"),
+        F.ceil(F.col("all") / CHUNK).cast("int").alias("n_right"),
+    )
+    placed = held.join(chunks, ["band", "key"]).withColumn("outside", F.col("component") != F.col("largest"))
+    chunk = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    count_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["band", "key", "doc", "component", "outside", "left", "right", "side"]
+    lefts = placed.where("outside").withColumn("left", chunk("n_left")).withColumn("right", count_to("n_right")).withColumn("side", F.lit(0))
+    rights = placed.withColumn("right", chunk("n_right")).withColumn("left", count_to("n_left")).withColumn("side", F.lit(1))
+    work = lefts.select(names).unionByName(rights.select(names))
+    units = max(1, -(-work.count() // UNIT))
+    unit = F.pmod(F.xxhash64("band", "key", "left", "right"), F.lit(units))
+    work = work.withColumn("unit", unit).join(signatures, "doc")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(at: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        columns = {c: np.asarray(table.column(c)) for c in ("band", "key", "doc", "component", "outside", "left", "right", "side", "centre", "distance")}
+        order = np.lexsort(tuple(columns[c] for c in ("side", "right", "left", "key", "band")))
+        columns = {c: v[order] for c, v in columns.items()}
+        sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(-1, LONGS)[order].view(np.uint64)
+        keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)[order]
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for c in ("band", "key", "left", "right"):
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        heads = np.append(np.flatnonzero(new), len(order))
+        found: list[np.ndarray] = []
+        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
+            cut = a + int(np.searchsorted(columns["side"][a:b], 1))
+            if a < cut < b:
+                found.append(_candidates(columns, sig, keys, slice(a, cut), slice(cut, b), least, reach))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
+
+    return work.groupBy("unit").applyInArrow(run, "a long, b long")
+
+
+def _candidates(
+    columns: dict, sig: np.ndarray, keys: np.ndarray, left: slice, right: slice, least: int, reach: float
+) -> np.ndarray:
+    """Pairs of one bucket's chunks that could be links, the smaller document first."""
+    x, y = columns["doc"][left], columns["doc"][right]
+    apart = columns["component"][left][:, None] != columns["component"][right][None, :]
+    # Two members outside the largest component meet twice: once is enough.
+    apart &= (x[:, None] < y[None, :]) | ~columns["outside"][right][None, :]
+    centre, distance = columns["centre"], columns["distance"]
+    spread = np.abs(distance[left][:, None] - distance[right][None, :]) > reach + 1e-9
+    apart &= ~(spread & (centre[left][:, None] == centre[right][None, :]))
+    i, j = np.nonzero(apart)
+    band = int(columns["band"][left.start])
+    if band:
+        first = np.ones(len(i), bool)
+        for k in range(band):
+            first &= keys[left][i, k] != keys[right][j, k]
+        i, j = i[first], j[first]
+    ones = np.uint64(int("".join(["0" * (BITS - 1) + "1"] * (64 // BITS)), 2))
+    differ = np.zeros(len(i), np.int64)
+    for k in range(LONGS):
+        z = sig[left][i, k] ^ sig[right][j, k]
+        step = 1
+        while step < BITS:
+            z |= z >> np.uint64(step)
+            step *= 2
+        differ += np.bitwise_count(z & ones)
+    near = HASHES - differ >= least
+    p, q = x[i[near]], y[j[near]]
+    return np.column_stack([np.minimum(p, q), np.maximum(p, q)])
+
+
 def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` after new edges: only the components that these tie together are worked on."""
     ends = edges
