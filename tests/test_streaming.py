@@ -97,6 +97,20 @@ def test_throttle_stream_equals_batch(spark):
         assert sorted(want[want.run == run].ts) == kept
 
 
+def test_throttle_splits_a_hot_run(spark, monkeypatch):
+    monkeypatch.setattr(runlog, "fit_width", lambda *a, **k: 1.0)
+    rng = np.random.default_rng(2)
+    beats = np.sort(np.concatenate([rng.uniform(0, 3000, 6000), np.arange(0, 3000, 15.0)]))
+    pdf = pd.DataFrame({"run": ["hot"] * len(beats) + ["b"] * 3, "ts": [*beats, 3.0, 20.0, 20.0]})
+    want = runlog.throttle(spark.createDataFrame(pdf), "run", "ts").toPandas()
+    last, kept = 0.0, []
+    for x in beats:
+        if x - last >= 15:
+            last = x
+            kept.append(x)
+    assert sorted(want[want.run == "hot"].ts) == kept and list(want[want.run == "b"].ts) == [20.0]
+
+
 def test_throttle_stream_orders_the_whole_micro_batch(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
     try:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackhouse.operators.segments import assign_segments
 from trackhouse.operators.timeline import (
     Timeline,
+    fit_width,
     halo_by_rows,
     hold_last,
     number_rows,
@@ -144,34 +146,76 @@ def non_finite(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.isnan(v) | (F.abs(v) == float("inf")))
 
 
+def _next_beats(times: np.ndarray, every: float) -> np.ndarray:
+    """For each of the sorted ``times`` the first one that lies ``every`` or more after it."""
+    after = np.searchsorted(times, times + every)
+    n = len(times)
+    # Rounding of the sum may put the border one off from the difference that counts.
+    back = np.maximum(after - 1, 0)
+    after = np.where((after > 0) & (times[back] - times >= every), back, after)
+    inside = np.minimum(after, n - 1)
+    return np.where((after < n) & (times[inside] - times < every), after + 1, after)
+
+
+def _exits(following: np.ndarray) -> np.ndarray:
+    """The last beat of the chain that starts at each beat, by doubling the steps."""
+    n = len(following)
+    last, step = np.arange(n), np.append(following, n)
+    while (step[:n] < n).any():
+        last = np.where(step[:n] < n, np.append(last, n)[step[:n]], last)
+        step = step[step]
+    return last
+
+
 def throttle(
     df: DataFrame, run: str, ts: str, *, every: float = HEARTBEAT_S, start: float | None = 0.0
 ) -> DataFrame:
     """Beats that pass a limiter letting one through per ``every``.
 
-    The limiter is greedy, so whether a beat passes depends on all before it. After a silence of
-    ``every`` the next beat always passes, which cuts a run into stretches that do not depend on
-    each other. Stretches are spread over tasks; a task streams its sorted rows and remembers
-    one time per stretch.
+    The limiter is greedy, so whether a beat passes depends on all before it; but a chunk of a
+    run's time depends only on the first beat that passes in it. Each chunk tells, for every beat
+    that may be that one (those within ``every`` of its start and the next), which beat would pass
+    last. One scan over these short tables gives each chunk its first beat, and the chunks then
+    mark their beats on their own. A run of any length is spread over many tasks. Beats of one time
+    are told apart by nothing: one of them passes.
     """
-    tl = timeline(df, [run], ts)
-    # A step of exactly `every` passes too; segments break on strictly longer steps.
-    marked = assign_segments(df, tl, every, out="_stretch").drop("_row", tl.chunk)
+    width = max(fit_width(df, [run], ts), 8.0 * every)
+    chunk = F.floor(F.col(ts) / F.lit(width)).cast("long")
     names = df.columns
-    placed = marked.repartition(run, "_stretch").sortWithinPartitions(run, "_stretch", ts)
-
-    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretch, last = None, None
-        for pdf in batches:
-            keep = []
-            for key, part, t in zip(pdf[run], pdf["_stretch"], pdf[ts]):
-                if (key, part) != stretch:
-                    stretch = (key, part)
-                    # The limiter starts as if a beat had passed at `start`.
-                    last = start if part == 0 else None
-                ok = last is None or t - last >= every
-                last = t if ok else last
-                keep.append(ok)
-            yield pdf.loc[keep, names]
-
-    return placed.mapInPandas(passing, df.schema)
+    cut = df.withColumn("_chunk", chunk)
+    kind = df.schema[run].dataType
+    table_type = T.StructType([
+        T.StructField(run, kind), T.StructField("_chunk", T.LongType()),
+        T.StructField("_first", T.ArrayType(T.DoubleType())), T.StructField("_last", T.ArrayType(T.DoubleType()))])
+
+    def tell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf[ts].to_numpy(float))
+        last = _exits(_next_beats(times, every))
+        n = min(len(times), int(np.searchsorted(times, key[1] * width + every, "right")) + 1)
+        return pd.DataFrame({run: [key[0]], "_chunk": [key[1]], "_first": [times[:n]], "_last": [times[last[:n]]]})
+
+    tables = cut.select(run, "_chunk", ts).groupBy(run, "_chunk").applyInPandas(tell, table_type)
+    entry_type = T.StructType([T.StructField(run, kind), T.StructField("_chunk", T.LongType()), T.StructField("_entry", T.DoubleType())])
+
+    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        last, entries = start, []
+        for first, exits in zip(pdf["_first"], pdf["_last"]):
+            passing = np.flatnonzero(first - last >= every) if last is not None else np.arange(len(first))
+            entries.append(first[passing[0]] if len(passing) else None)
+            last = exits[passing[0]] if len(passing) else last
+        return pd.DataFrame({run: key[0], "_chunk": pdf["_chunk"].to_numpy(), "_entry": pd.array(entries, "Float64")})
+
+    entries = tables.groupBy(run).applyInPandas(scan, entry_type).where("_entry IS NOT NULL")
+
+    def mark(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts)
+        times = pdf[ts].to_numpy(float)
+        following = _next_beats(times, every)
+        keep, at = [], int(np.searchsorted(times, pdf["_entry"].iloc[0]))
+        while at < len(times):
+            keep.append(at)
+            at = int(following[at])
+        return pdf.iloc[keep][names]
+
+    return cut.join(entries, [run, "_chunk"]).groupBy(run, "_chunk").applyInPandas(mark, df.schema)
