@@ -22,6 +22,8 @@ STEPS = 12
 CUT_EVERY = 4
 #: A host is blocked when its distrust exceeds its trust by this factor.
 FACTOR = 1.0
+#: Parts that the pages of a host are spread over when its values are joined to them.
+SALTS = 16
 #: Weight of the edges between a host and its parent domain, beside links that count 1 each.
 PARENT_WEIGHT = 0.5
 #: An absolute or protocol-relative link of a page; the group is its host.
@@ -125,6 +127,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = propagate(turned, bad).withColumnRenamed("value", "distrust")
     scores = reduce(lambda a, b: a.join(b, "host", "left"), [marks.select("host"), trust, distrust]).na.fill(0.0)
-    joined = ruled.drop("html").join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    # One host may hold a third of all pages: its rows are spread, and the few rows of hosts copied.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = ruled.drop("html").withColumn("salt", F.pmod(F.xxhash64(id_col, "path"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(scores.withColumn("salt", salts), ["host", "salt"], "left").na.fill(0.0, ["trust", "distrust"])
     by_host = F.when(F.col("distrust") > F.col("trust") * FACTOR, "block").otherwise("allow")
     return joined.select(id_col, "host", "path", "rule", F.coalesce("action", by_host).alias("verdict"), "trust", "distrust")
