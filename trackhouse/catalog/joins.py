@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackhouse.catalog.alignment import SEGMENT_SQL, segmented, segmented_timeline
 from trackhouse.catalog.base import HOUR_US, events, query, table
-from trackhouse.operators import asof, governance, pairing, rates, roles, runlog, taxonomy
+from trackhouse.operators import asof, governance, metrics, pairing, rates, roles, runlog, taxonomy
 from trackhouse.operators.checks import duplicate_keys
 
 
@@ -320,6 +320,40 @@ def model_comparison(spark, sf_dir):
     return first.join(second, "doc_id").groupBy("truth", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PARITY_SQL = """
+    WITH s AS (SELECT quality AS t, toxic AS a, doc_id % 2 AS b FROM labels),
+    k AS (SELECT unnest([0, 1]) AS c),
+    h AS (SELECT c, (SELECT count(*) FROM s WHERE t = c)::DOUBLE AS t, (SELECT count(*) FROM s WHERE a = c) AS pa, (SELECT count(*) FROM s WHERE b = c) AS pb,
+                 (SELECT count(*) FROM s WHERE t = c AND a = c) AS ha, (SELECT count(*) FROM s WHERE t = c AND b = c) AS hb FROM k),
+    m AS (SELECT 'miou' AS metric, 100 * avg(ha / (t + pa - ha)) AS x, 100 * avg(hb / (t + pb - hb)) AS y FROM h
+          UNION ALL SELECT 'pixel_accuracy', 100 * sum(ha) / sum(t), 100 * sum(hb) / sum(t) FROM h)
+"""
+
+
+def _two_models(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    truth = F.col("quality").alias("truth")
+    other = (F.col("doc_id") % 2).cast("int").alias("pred")
+    return metrics.compare_models(labels.select(truth, F.col("toxic").alias("pred")), labels.select(truth, other))
+
+
+@query(
+    "c13_model_parity",
+    _PARITY_SQL
+    + """SELECT metric, round(x, 6) AS first, round(y, 6) AS second, round(abs(x - y), 6) AS delta, 1.0::DOUBLE AS tolerance, abs(x - y) <= 1.0 AS passed FROM m""",
+)
+def model_parity(spark, sf_dir):
+    return _two_models(spark, sf_dir).withColumns({c: r6(F.col(c)) for c in ("first", "second", "delta")})
+
+
+@query(
+    "d24_parity_document",
+    _PARITY_SQL + "SELECT bool_and(abs(x - y) <= 1.0) AS passed, count(*) AS checks, round(max(abs(x - y)), 6) AS worst_delta FROM m",
+)
+def parity_document(spark, sf_dir):
+    return metrics.parity_document(_two_models(spark, sf_dir)).withColumn("worst_delta", r6(F.col("worst_delta")))
+
+
 @query(
     "d15_duplicate_keys",
     """SELECT l_returnflag, CAST(count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS duplicates

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from trackhouse.catalog.alignment import GAP_US, SEGMENT_SQL, segmented, segmented_timeline
 from trackhouse.catalog.base import events, query, table
-from trackhouse.operators import hard_examples, inventory, pairing, ranking, runlog
+from trackhouse.operators import hard_examples, inventory, pairing, ranking, runlog, series
 from trackhouse.operators.ranking import exact_quantiles
 from trackhouse.operators.smoothing import REACH, WINDOW, smooth, weights
 from trackhouse.operators.timeline import halo_by_rows, number_rows, previous, renamed, timeline
+from trackhouse.plans import labelling
 
 
 def r6(col):
@@ -136,10 +137,8 @@ def rolling_history(spark, sf_dir):
          FROM m GROUP BY ALL""",
 )
 def residuals(spark, sf_dir):
-    off = F.abs(F.col("smooth") - F.col("value"))
-    return smoothed(spark, sf_dir).groupBy("user_id", "segment").agg(
-        r6(F.avg(off)).alias("mean_residual"), r6(F.max(off)).alias("max_residual")
-    )
+    out = series.residuals(smoothed(spark, sf_dir), ["user_id", "segment"], "value", "smooth")
+    return out.withColumns({c: r6(F.col(c)) for c in ("mean_residual", "max_residual")})
 
 
 @query(
@@ -149,8 +148,26 @@ def residuals(spark, sf_dir):
 )
 def lateral_series(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    values = F.array(*[F.col("embedding")[2 * k + 1].cast("double") for k in range(5)])
-    return e.select("vec_id", F.posexplode(values).alias("horizon", "lateral_m"))
+    frames = e.select("vec_id", *[F.col("embedding")[2 * k + 1].alias(f"wp_y{k}") for k in range(5)])
+    return series.lateral_series(frames, ["vec_id"]).drop("horizon_s")
+
+
+@query(
+    "b10_frame_paths",
+    """
+    WITH d AS (SELECT user_id AS route, event_type || '/' || event_id AS path, event_type = 'click' AS is_left FROM events),
+    c AS (SELECT route, min(path) AS dir FROM d WHERE is_left GROUP BY route)
+    SELECT event_id, dir || '/' || CASE WHEN length(CAST(event_id AS VARCHAR)) >= 6 THEN CAST(event_id AS VARCHAR) ELSE lpad(CAST(event_id AS VARCHAR), 6, '0') END || '.png' AS frame_path
+    FROM events LEFT JOIN c ON user_id = route
+    """,
+)
+def frame_paths(spark, sf_dir):
+    e = events(spark, sf_dir)
+    side = F.when(F.col("event_type") == "click", "left").otherwise("right")
+    dirs = e.select(F.col("user_id").alias("route"), F.concat("event_type", F.lit("/"), "event_id").alias("path"), side.alias("side"))
+    cameras = inventory.left_camera(dirs).where("state = 'left'").withColumn("example", F.lit("000000.png"))
+    frames = e.select("event_id", F.col("user_id").alias("route"), F.col("event_id").alias("frame"))
+    return labelling.with_frame_paths(frames, cameras).select("event_id", "frame_path")
 
 
 @query(

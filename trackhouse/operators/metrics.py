@@ -134,6 +134,27 @@ def parity_document(checks: DataFrame) -> DataFrame:
     )
 
 
+def compare_models(
+    first: DataFrame, second: DataFrame, truth: str = "truth", pred: str = "pred", tolerance: float = MIOU_TOLERANCE
+) -> DataFrame:
+    """``metric, first, second, delta, tolerance, passed`` of two tables of predictions, in percent.
+
+    Each table is scored on its own truth, so both need only hold the same samples;
+    ``parity_document`` sums the rows up.
+    """
+    sides = []
+    for name, rows in (("first", first), ("second", second)):
+        scores = mean_scores(class_scores(confusion(rows, truth, pred)))
+        wide = scores.select(
+            F.explode(
+                F.array(*[F.struct(F.lit(m).alias("metric"), (100.0 * F.col(m)).alias(name)) for m in ("miou", "pixel_accuracy")])
+            ).alias("s")
+        )
+        sides.append(wide.select("s.metric", f"s.{name}"))
+    both = sides[0].join(sides[1], "metric")
+    return both.select("metric", "first", "second", *parity(F.col("first"), F.col("second"), tolerance))
+
+
 def weighted_means(df: DataFrame, metrics: Sequence[str], n: str, by: Sequence[str] = ()) -> DataFrame:
     """Means of per-batch metrics weighted by batch size."""
     return df.groupBy(*by).agg(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackhouse.functions import geometry as geo
+from trackhouse.functions.text import frame_path
 from trackhouse.operators.asof import chunk_look_ahead, interpolate
 from trackhouse.operators.ranking import exact_quantiles
 from trackhouse.operators.segments import assign_segments, segment_rows
@@ -187,6 +188,17 @@ def label(track: DataFrame, units: DataFrame | None = None, rules: Rules = Rules
     )
 
 
+def with_frame_paths(frames: DataFrame, cameras: DataFrame) -> DataFrame:
+    """``frames`` with ``frame_path``, the key that features and stored waypoints go by.
+
+    ``cameras`` has one row per route: ``path`` of the camera folder and the ``example`` name of a
+    file in it, which fixes padding and suffix. A route without a camera has NULL paths.
+    """
+    place = cameras.select("route", F.col("path").alias("_dir"), F.col("example").alias("_example"))
+    named = frames.join(place, "route", "left")
+    return named.withColumn("frame_path", frame_path(F.col("_dir"), F.col("frame"), F.col("_example"))).drop("_dir", "_example")
+
+
 def _held_heading(rows: DataFrame, tl: Timeline) -> DataFrame:
     """``heading_rad``: the last valid angle of the segment, else its first, else 0."""
     group = [*tl.group, "segment"]
