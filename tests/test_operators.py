@@ -12,6 +12,7 @@ from trackhouse.operators import (
 from trackhouse.operators.heading import hold_or_backfill
 from trackhouse.operators.segments import assign_segments, segment_rows
 from trackhouse.operators.timeline import Timeline, fit_width, number_rows, previous, running
+from trackhouse.plans import labelling
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +178,25 @@ def test_listing_limits_before_the_shuffle(spark, rows):
     assert hot.n == (rows.k == "hot").sum() and len(hot["items"]) == 3
     rate = latency.project_rate(spark.createDataFrame(rows), ["k"], ["t"], "v", batches_per_epoch=2, epochs=3)
     assert "WindowGroupLimit" in rate._jdf.queryExecution().toString()
+
+
+def test_segmentation_refuses_unknown_ids(spark):
+    from trackhouse.plans import segmentation
+
+    lut = spark.createDataFrame([(0, 0), (7, 1)], "level3_id int, train_id int")
+    rows = [("train", "s", 1, 0, 10), ("train", "s", 2, 7, 4), ("val", "s", 3, 7, 1)]
+    schema = "split string, sequence string, key long, level3_id int, n long"
+    index = {(r.split, r.train_id): r for r in segmentation.shard_index(spark.createDataFrame(rows, schema), lut, range(3), per_shard=1).collect()}
+    assert len(index) == 6 and index["train", 2].pixels == 0 and index["train", 0].shards == 2
+    assert index["val", 2].weight == pytest.approx(10 * min(r.weight for r in index.values()))
+    with pytest.raises(ValueError, match="1 images hold ids outside the taxonomy, e.g. 9: 99"):
+        segmentation.shard_index(spark.createDataFrame([*rows, ("val", "s", 9, 99, 1)], schema), lut, range(3))
+
+
+def test_bus_routes_without_a_unit_stop_the_run(spark):
+    track = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None)], "route string, obd_speed double")
+    units = spark.createDataFrame([("a", "m/s"), ("b", None)], "route string, unit string")
+    names = lambda df: sorted(r.route for r in df.collect())
+    assert names(labelling.unknown_units(track, units)) == ["b"]
+    tables = spark.createDataFrame([("c",), ("a",)], "route string")
+    assert names(labelling.unknown_units(track, units, tables)) == ["b", "c"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackhouse.catalog.base import HOUR_US, events, query, table
 from trackhouse.operators import checks, histograms, inventory, latency, metrics, rates
 from trackhouse.operators.ranking import exact_quantiles
+from trackhouse.plans import segmentation
 from trackhouse.plans.labelling import decide_units, drop_totals, temporal_split
 
 
@@ -152,6 +153,38 @@ def shard_index(spark, sf_dir):
     return histograms.merged_index(fresh, earlier)
 
 
+@query(
+    "seg_shard_index",
+    """
+    WITH lut AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 2), (3, 2), (4, 255), (5, 5)) AS v(level3_id, train_id)),
+    c AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS split, l_suppkey AS sequence, l_orderkey * 10 + l_linenumber AS key,
+                 CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END + CASE l_linestatus WHEN 'O' THEN 3 ELSE 0 END AS level3_id,
+                 CAST(l_quantity AS BIGINT) AS n FROM lineitem),
+    i AS (SELECT c.*, train_id FROM c JOIN lut USING (level3_id)),
+    s AS (SELECT split, count(DISTINCT (sequence, key)) AS samples, count(DISTINCT sequence) AS sequences, CAST(ceil(count(DISTINCT (sequence, key)) / 500.0) AS BIGINT) AS shards,
+                 CAST(coalesce(sum(n) FILTER (train_id = 255), 0) AS BIGINT) AS ignore_pixels FROM i GROUP BY split),
+    f AS (SELECT s.split, CAST(k.c AS INTEGER) AS train_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS pixels FROM s CROSS JOIN (SELECT unnest(range(8)) AS c) k
+          LEFT JOIN i ON i.split = s.split AND i.train_id = k.c GROUP BY ALL),
+    w AS (SELECT train_id, 1.0 / ln(1.02 + pixels / (SELECT sum(pixels) FROM f WHERE split = 1997)) AS w FROM f WHERE split = 1997)
+    SELECT split, train_id, pixels, round(pixels / sum(pixels) OVER (PARTITION BY split), 6) AS frequency,
+           round(least(w, 10 * (SELECT min(w) FROM w)), 6) AS weight, samples, sequences, shards, ignore_pixels
+    FROM f JOIN w USING (train_id) JOIN s USING (split)
+    """,
+)
+def seg_shard_index(spark, sf_dir):
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    counts = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").cast("bigint").alias("split"),
+        F.col("l_suppkey").alias("sequence"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"),
+        (flag + F.when(F.col("l_linestatus") == "O", 3).otherwise(0)).alias("level3_id"),
+        F.col("l_quantity").cast("bigint").alias("n"),
+    )
+    lut = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 2), (4, 255), (5, 5)], "level3_id int, train_id int")
+    index = segmentation.shard_index(counts, lut, range(8), train=1997)
+    return index.withColumns({c: r6(F.col(c)) for c in ("frequency", "weight")})
+
+
 _CONF_SQL = """
     WITH n AS (SELECT truth, pred, count(*) AS n FROM (
         SELECT CASE WHEN l_linenumber = 7 THEN 255 ELSE l_linenumber % 4 END AS truth, CAST(l_quantity AS INTEGER) % 5 AS pred FROM lineitem)
