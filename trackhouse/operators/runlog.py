@@ -24,6 +24,8 @@ from trackhouse.operators.timeline import (
 HEARTBEAT_S = 15.0
 STALE_S = 60.0
 HISTORY_ROWS = 600
+#: Rows of a unit of work in Python.
+UNIT_ROWS = 20_000
 TERMINAL = ("interrupted", "failed", "done")
 
 
@@ -180,42 +182,53 @@ def throttle(
     are told apart by nothing: one of them passes.
     """
     width = max(fit_width(df, [run], ts), 8.0 * every)
-    chunk = F.floor(F.col(ts) / F.lit(width)).cast("long")
     names = df.columns
-    cut = df.withColumn("_chunk", chunk)
     kind = df.schema[run].dataType
+    # Many short runs share a unit of work, so a task is neither one tiny group nor one long run.
+    units = max(1, -(-df.count() // UNIT_ROWS))
+    unit = F.pmod(F.xxhash64(run, "_chunk"), F.lit(units)).alias("_unit")
+    cut = df.withColumn("_chunk", F.floor(F.col(ts) / F.lit(width)).cast("long"))
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for (name, chunk), part in pdf.groupby([run, "_chunk"], sort=False):
+            times = np.sort(part[ts].to_numpy(float))
+            last = _exits(_next_beats(times, every))
+            n = min(len(times), int(np.searchsorted(times, chunk * width + every, "right")) + 1)
+            rows.append((name, chunk, times[:n], times[last[:n]]))
+        return pd.DataFrame(rows, columns=[run, "_chunk", "_first", "_last"])
+
     table_type = T.StructType([
         T.StructField(run, kind), T.StructField("_chunk", T.LongType()),
         T.StructField("_first", T.ArrayType(T.DoubleType())), T.StructField("_last", T.ArrayType(T.DoubleType()))])
+    tables = cut.select(run, "_chunk", ts, unit).groupBy("_unit").applyInPandas(tell, table_type)
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for name, part in pdf.sort_values("_chunk").groupby(run, sort=False):
+            last = start
+            for chunk, first, exits in zip(part["_chunk"], part["_first"], part["_last"]):
+                passing = np.flatnonzero(first - last >= every) if last is not None else np.arange(len(first))
+                if len(passing):
+                    rows.append((name, chunk, float(first[passing[0]])))
+                    last = exits[passing[0]]
+        return pd.DataFrame(rows, columns=[run, "_chunk", "_entry"])
 
-    def tell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[ts].to_numpy(float))
-        last = _exits(_next_beats(times, every))
-        n = min(len(times), int(np.searchsorted(times, key[1] * width + every, "right")) + 1)
-        return pd.DataFrame({run: [key[0]], "_chunk": [key[1]], "_first": [times[:n]], "_last": [times[last[:n]]]})
-
-    tables = cut.select(run, "_chunk", ts).groupBy(run, "_chunk").applyInPandas(tell, table_type)
     entry_type = T.StructType([T.StructField(run, kind), T.StructField("_chunk", T.LongType()), T.StructField("_entry", T.DoubleType())])
-
-    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        last, entries = start, []
-        for first, exits in zip(pdf["_first"], pdf["_last"]):
-            passing = np.flatnonzero(first - last >= every) if last is not None else np.arange(len(first))
-            entries.append(first[passing[0]] if len(passing) else None)
-            last = exits[passing[0]] if len(passing) else last
-        return pd.DataFrame({run: key[0], "_chunk": pdf["_chunk"].to_numpy(), "_entry": pd.array(entries, "Float64")})
-
-    entries = tables.groupBy(run).applyInPandas(scan, entry_type).where("_entry IS NOT NULL")
-
-    def mark(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        times = pdf[ts].to_numpy(float)
-        following = _next_beats(times, every)
-        keep, at = [], int(np.searchsorted(times, pdf["_entry"].iloc[0]))
-        while at < len(times):
-            keep.append(at)
-            at = int(following[at])
-        return pdf.iloc[keep][names]
-
-    return cut.join(entries, [run, "_chunk"]).groupBy(run, "_chunk").applyInPandas(mark, df.schema)
+    by_run = F.pmod(F.xxhash64(run), F.lit(units)).alias("_unit")
+    entries = tables.select("*", by_run).groupBy("_unit").applyInPandas(scan, entry_type)
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        pdf = pdf.sort_values(ts, ignore_index=True)
+        for _, part in pdf.groupby([run, "_chunk"], sort=False):
+            times = part[ts].to_numpy(float)
+            following = _next_beats(times, every)
+            at = int(np.searchsorted(times, part["_entry"].iloc[0]))
+            while at < len(times):
+                keep.append(part.index[at])
+                at = int(following[at])
+        return pdf.loc[keep, names]
+
+    marked = cut.join(entries, [run, "_chunk"]).select("*", unit)
+    return marked.groupBy("_unit").applyInPandas(mark, df.schema)
