@@ -91,3 +91,17 @@ def test_query_recall(spark, small_dir):
     assert sorted(got) == sorted(r[0] for r in rows)
     assert all(got[r[0]].n_links <= n for r, n in zip(rows, links))
     assert sum(r.n_links for r in got.values()) >= 0.99 * sum(links)
+
+
+@pytest.mark.parametrize("largest", [10_000, 100_000, 1_000_000])
+@pytest.mark.parametrize("width", [24, 64])
+def test_pairs_share_a_filter_at_every_size(largest, width):
+    how = embeddings.layout(largest, width, 0.93)
+    assert how.books or largest == 10_000
+    one, two = embeddings.pairs_at(np.random.default_rng(7), 1000, width, 0.931)
+    found = zip(embeddings.filters_of(one, how), embeddings.filters_of(two, how))
+    assert np.mean([np.intersect1d(a, b).size > 0 for a, b in found]) >= 0.995
+
+
+def test_small_groups_miss_nothing():
+    assert embeddings.layout(8192, 64, 0.93).books == 0

@@ -3,8 +3,12 @@
 After a random rotation a vector is cut into two halves, each scored against its own codebook; a
 filter is a pair of code directions and its score the sum. A vector passes all filters above a
 threshold, found by list decoding: only codes that could still reach it are paired. Vectors that
-share a filter are compared in double precision. The threshold follows the size of the largest
-group, so that a filter holds a few unrelated vectors at every size.
+share a filter are compared in double precision. Several rotations with codebooks of their own
+are used one beside the other. Their number and the threshold follow the size and width of each
+group: the tail is taken from unit vectors put through the codebooks, and pairs at exactly the
+wanted cosine tell how often a codebook misses one, so that all of them together miss no more than
+``MISS``. Where this would not at least halve how often a vector is copied for comparing all pairs
+of its group, the group is one filter, and nothing is missed.
 
 Equal vectors are folded first. A filter with many members is cut into chunks and compared chunk
 by chunk, and each linked pair is counted only in the smallest filter that it shares.
@@ -14,8 +18,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,41 +31,122 @@ from trackhouse.llm.columns import quoted
 from trackhouse.llm.components import components
 from trackhouse.session import durable
 
-#: Filters that a vector passes on average, and unrelated vectors of its group in each.
-FILTERS, CROWD = 24, 8.0
-#: The best filters always count, so every vector has some.
+#: Filters that a vector passes on average in a codebook, and unrelated vectors of its group in each.
+FILTERS, CROWD = 8, 64.0
+#: The best filters of a codebook always count, so every vector has some.
 BEST = 4
+#: The share of pairs at exactly the wanted cosine that may share no filter.
+MISS = 1e-3
+#: Unit vectors that give the tail, and pairs over as many codebooks that give the miss rate.
+DRAWN, PAIRS, BOOKS = 256, 1000, 4
 #: Members of a chunk, and rows of a unit of work.
 CHUNK, UNIT = 256, 4096
 
 
-@lru_cache(maxsize=4)
-def codes(width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=16)
+def _rotation(width: int, book: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng((width, book)).standard_normal((width, width)))[0]
+
+
+@lru_cache(maxsize=64)
+def codes(width: int, size: int, book: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A rotation of ``width`` and two codebooks of ``size`` unit directions for its halves."""
-    rng = np.random.default_rng(width * 1_000_003 + size)
-    rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
+    rng = np.random.default_rng((width, size, book))
     half = (width + 1) // 2
     books = []
     for n in (half, width - half):
-        book = rng.standard_normal((size, max(1, n)))
-        books.append(book / np.linalg.norm(book, axis=1, keepdims=True) / math.sqrt(2))
-    return rotation, books[0], books[1]
+        directions = rng.standard_normal((size, max(1, n)))
+        books.append(directions / np.linalg.norm(directions, axis=1, keepdims=True) / math.sqrt(2))
+    # Wide vectors fall evenly on both halves by any rotation, and a large one is costly to hold.
+    return _rotation(width, book if width <= 512 else 0), books[0], books[1]
 
 
-def plan(largest: int) -> tuple[int, float]:
-    """Codes per book and the threshold in standard deviations for groups of up to ``largest``."""
-    share = min(0.05, CROWD / max(1, largest))
-    return math.ceil(math.sqrt(FILTERS / share)), NormalDist().inv_cdf(1 - share)
+def _sphere(rng: np.random.Generator, n: int, width: int) -> np.ndarray:
+    x = rng.standard_normal((n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def decode(units: np.ndarray, size: int, threshold: float) -> list[np.ndarray]:
-    """The sorted filters of each unit vector: all with a score from the threshold on, and the best."""
+@lru_cache(maxsize=256)
+def plan(largest: int, width: int = 64, crowd: float = CROWD) -> tuple[int, float]:
+    """Codes per book and the threshold, in standard deviations, that gives ``FILTERS`` filters of
+    ``crowd`` members in a group of ``largest`` on the sphere of ``width``."""
+    share = min(1.0, crowd / max(1, largest))
+    size = max(2, math.ceil(math.sqrt(FILTERS / share)))
+    left, right = _scores(_sphere(np.random.default_rng((width, size)), DRAWN, width), size, 0)
+    right = np.sort(right, axis=1)
+    low, high = -2.0, 2.0
+    for _ in range(30):
+        middle = (low + high) / 2
+        passed = sum(int((size - np.searchsorted(r, middle - l)).sum()) for l, r in zip(left, right))
+        low, high = (middle, high) if passed > share * DRAWN * size * size else (low, middle)
+    return size, low * math.sqrt(width)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Codebooks of a group with their size and threshold; without any, all its pairs are compared."""
+
+    books: int
+    size: int = 0
+    deviations: float = 0.0
+
+
+def trial(width: int, size: int, deviations: float, cosine: float) -> tuple[float, float]:
+    """An upper estimate of the share of pairs at ``cosine`` that share no filter of one codebook,
+    and the mean number of filters that a vector passes in it."""
+    rng = np.random.default_rng((width, size, 1))
+    missed = passed = 0
+    for book in range(BOOKS):
+        one, two = pairs_at(rng, PAIRS // BOOKS, width, cosine)
+        found, others = decode(one, size, deviations, book), decode(two, size, deviations, book)
+        passed += sum(map(len, found))
+        missed += sum(not np.intersect1d(a, b).size for a, b in zip(found, others))
+    rate = (missed + 1) / (PAIRS + 1)
+    return min(1.0, rate + 2 * math.sqrt(rate * (1 - rate) / PAIRS)), passed / PAIRS
+
+
+def pairs_at(rng: np.random.Generator, n: int, width: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` pairs of unit vectors at ``cosine`` (in one dimension: equal ones)."""
+    one, side = _sphere(rng, n, width), _sphere(rng, n, width)
+    if width == 1:
+        return one, one
+    side -= (side * one).sum(axis=1, keepdims=True) * one
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = max(-1.0, min(1.0, cosine))
+    return one, cosine * one + math.sqrt(1 - cosine * cosine) * side
+
+
+@lru_cache(maxsize=256)
+def layout(largest: int, width: int, cosine: float) -> Layout:
+    """What misses at most ``MISS`` of the pairs at ``cosine`` in groups of up to ``largest`` with
+    the fewest copies of a vector: filters of some crowd, or all pairs unless filters save half."""
+    best, fewest = Layout(0), math.ceil(largest / CHUNK) / 2
+    crowd = CROWD
+    while crowd < largest and FILTERS * math.ceil(crowd / CHUNK) < fewest:
+        size, deviations = plan(largest, width, crowd)
+        missed, passed = trial(width, size, deviations, cosine)
+        if missed < 1:
+            books = math.ceil(math.log(MISS) / math.log(missed))
+            copies = books * passed * math.ceil(crowd / CHUNK)
+            if copies < fewest:
+                best, fewest = Layout(books, size, deviations), copies
+        crowd *= 4
+    return best
+
+
+def _scores(units: np.ndarray, size: int, book: int) -> tuple[np.ndarray, np.ndarray]:
+    """What every code of either half scores for each unit vector."""
     width = units.shape[1]
-    rotation, one, two = codes(width, size)
+    rotation, one, two = codes(width, size, book)
     half = (width + 1) // 2
     turned = units @ rotation
-    left = turned[:, :half] @ one.T
-    right = turned[:, half:] @ two.T if width > half else np.zeros((len(units), size))
+    return turned[:, :half] @ one.T, turned[:, half:] @ two.T if width > half else np.zeros((len(units), size))
+
+
+def decode(units: np.ndarray, size: int, threshold: float, book: int = 0) -> list[np.ndarray]:
+    """The sorted filters of each unit vector: all with a score from the threshold on, and the best."""
+    width = units.shape[1]
+    left, right = _scores(units, size, book)
     limit = threshold / math.sqrt(width)
     out = []
     for a, b in zip(left, right):
@@ -87,20 +172,28 @@ def _unit_rows(flat: np.ndarray, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """``rows`` (rep, grp, width, mult, vec) with ``filters``."""
+def filters_of(units: np.ndarray, how: Layout) -> list[np.ndarray]:
+    """The sorted filters of each unit vector over all codebooks of a layout."""
+    if not how.books:
+        return [np.zeros(1, np.int64)] * len(units)
+    found = [[f + book * how.size**2 for f in decode(units, how.size, how.deviations, book)] for book in range(how.books)]
+    return [np.concatenate(f) for f in zip(*found)]
+
+
+def _filters(rows: DataFrame, layouts: dict[tuple[int, int], Layout]) -> DataFrame:
+    """``rows`` (rep, grp, width, mult, vec, level) with ``filters``; layouts by width and level."""
     schema = T.StructType([*rows.schema.fields, T.StructField("filters", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            widths = np.asarray(batch.column(names.index("width")))
-            for width in np.unique(widths).tolist():
-                part = batch.filter(pa.array(widths == width))
+            widths, levels = (np.asarray(batch.column(names.index(c))) for c in ("width", "level"))
+            for width, level in sorted(set(zip(widths.tolist(), levels.tolist()))):
+                part = batch.filter(pa.array((widths == width) & (levels == level)))
                 for first in range(0, len(part), 512):
                     rows = part.slice(first, 512)
                     flat = np.asarray(rows.column(names.index("vec")).flatten())
-                    found = decode(_unit_rows(flat, width), size, threshold)
+                    found = filters_of(_unit_rows(flat, width), layouts[width, level])
                     cuts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                     filters = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found).astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([*rows.columns, filters], names=[*names, "filters"])
@@ -196,7 +289,8 @@ def near_duplicates(
     """``(id_col, n_links, component_id, kept)`` for every row of ``vectors``.
 
     Rows are compared when labels are equal and not null and vectors have the same width; they are
-    linked from a cosine of ``threshold`` on. A vector that is null, empty, zero or holds a null or
+    linked from a cosine of ``threshold`` on; at most ``MISS`` of the pairs at just this cosine are
+    expected to be missed, in small groups (up to 8,192 vectors of width 64) none. A vector that is null, empty, zero or holds a null or
     non-finite component links with nothing, as does one with a null label or null id: no links,
     its own component. Rows that share an id are vectors of their own but one node for components.
     An empty table gives an empty result. Ids are whole numbers; a null id has no component and is
@@ -208,17 +302,20 @@ def near_duplicates(
         & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         & F.exists(vec, lambda x: x != 0)
     )
+    # Single precision travels as it is; it is widened where cosines are taken.
+    stored = "array<float>" if vectors.select(quoted(vector)).schema[0].dataType == T.ArrayType(T.FloatType(), True) else "array<double>"
     rows = vectors.select(quoted(id_col).cast("long").alias("id"), F.coalesce(fine, F.lit(False)).alias("fine"), quoted(label).alias("grp"), vec.alias("vec"))
     keyed = rows.withColumn("x", F.xxhash64("grp", "vec")).withColumn("y", F.xxhash64("vec", "grp", F.lit(11)))
     classes = keyed.where("fine").groupBy("x", "y").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
     tops = keyed.where("fine").join(classes, ["x", "y"]).where("id = rep").dropDuplicates(["x", "y"])
     # A node per class: ids may repeat, so classes are numbered, and named by their least id later.
-    tops = durable(tops.select("rep", "mult", "x", "y", F.xxhash64("grp").alias("grp"), F.size("vec").alias("width"), "vec"))
+    tops = durable(tops.select("rep", "mult", "x", "y", F.xxhash64("grp").alias("grp"), F.size("vec").alias("width"), F.col("vec").cast(stored).alias("vec")))
     nodes = durable(tops.withColumn("node", F.monotonically_increasing_id()))
-    largest = nodes.groupBy("grp", "width").count().agg(F.max("count")).first()[0] or 1
-    size, deviations = plan(largest)
-    found = nodes.select(F.col("node").alias("rep"), "grp", "width", "mult", "vec")
-    held = durable(_filters(found, size, deviations))
+    # Groups of one width whose sizes round up to the same power of two share a layout.
+    groups = durable(nodes.groupBy("grp", "width").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("level")))
+    layouts = {(r.width, r.level): layout(2**r.level, r.width, threshold) for r in groups.select("width", "level").distinct().collect()}
+    found = nodes.join(groups, ["grp", "width"]).select(F.col("node").alias("rep"), "grp", "width", "mult", "vec", "level")
+    held = durable(_filters(found, layouts))
     partial = durable(_links(held, threshold))
     counts = partial.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     named = nodes.select("node", "rep")
