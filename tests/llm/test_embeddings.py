@@ -1,6 +1,7 @@
 """Vector links against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.types as T
 import pytest
 
@@ -105,3 +106,17 @@ def test_pairs_share_a_filter_at_every_size(largest, width):
 
 def test_small_groups_miss_nothing():
     assert embeddings.layout(8192, 64, 0.93).books == 0
+
+
+def test_planted_pairs_in_a_large_label(spark):
+    """Random vectors of width 64 are never near each other, so the planted pairs are all links."""
+    rng = np.random.default_rng(11)
+    n, planted, width = 100_000, 1000, 64
+    one, two = zip(*(embeddings.pairs_at(rng, planted // 4, width, c) for c in (0.931, 0.94, 0.95, 0.96)))
+    rest = rng.standard_normal((n - 2 * planted, width))
+    vectors = np.concatenate([*one, *two, rest]).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), width).cast(pa.list_(pa.float32())), "label": np.zeros(n, np.int32)})
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(table)).where("n_links > 0 or not kept").collect()}
+    hits = [i for i in range(planted) if i in got and got[i].n_links == 1 and got[planted + i].component_id == i]
+    assert set(got) <= set(range(2 * planted)) and len(got) == 2 * len(hits)
+    assert len(hits) >= 0.99 * planted
