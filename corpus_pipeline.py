@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trackhouse.llm import language, minhash, packing, repeats, toxicity
 from trackhouse.llm.compression import remainder
-from trackhouse.session import ensure_checkpoint_dir
+from trackhouse.session import durable, ensure_checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,14 +33,20 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near copies (five-word shingles, similarity 0.8). Of rows
-    that share an id one stays; documents without an id stay."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), length=5, percent=80)
-    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__copies"))
-    chosen = docs.join(kept, "doc_id")
-    once = chosen.where("__copies = 1").select(docs.columns)
-    repeated = chosen.where("__copies > 1").dropDuplicates(["doc_id"]).select(docs.columns)
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    """One row of every component of near copies (five-word shingles, similarity 0.8), that of the
+    smallest id. Rows that share an id are compared like any others; documents without an id stay."""
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = minhash.near_duplicates(named.select("doc_id", "text"), length=5, percent=80)
+        kept = named.join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    else:
+        # A number tells the rows of an id apart; it is written, as every reading must find the same.
+        named = durable(named.withColumn("__row", F.monotonically_increasing_id()))
+        found = minhash.near_duplicates(named.select("__row", "text"), id_col="__row", length=5, percent=80)
+        placed = named.select("doc_id", "__row").join(found.select("__row", "component_id"), "__row")
+        first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+        kept = named.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,12 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, small_dir):
 def test_run(spark, small_dir, tables):
     rows = p.run(spark, small_dir).collect()
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in rows} == {(r.doc_id, r.piece, r.ids_crc32) for r in tables[5]}
+
+
+def test_near_copies_do_not_depend_on_ids(spark, small_dir):
+    schema = spark.read.parquet(f"{small_dir}/documents.parquet").schema
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(5, two), (5, one), (1, one + " end"), (5, three), (7, three), (7, two + " end"), (5, three)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    got = p.one_of_near_copies(spark, docs, small_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, one + " end"), (5, two), (5, three)]
