@@ -72,14 +72,14 @@ def write_whole(path: str, data: bytes) -> None:
     parent = posixpath.dirname(place)
     store.create_dir(parent, recursive=True)
     aside = posixpath.join(parent, f"_aside-{uuid.uuid4().hex}")
-    with store.open_output_stream(aside) as out:
+    with store.open_output_stream(aside, compression=None) as out:
         out.write(data)
     store.move(aside, place)
 
 
 def read_whole(path: str) -> bytes:
     store, place = filesystem(path)
-    with store.open_input_stream(place) as stream:
+    with store.open_input_stream(place, compression=None) as stream:
         return stream.read()
 
 
@@ -109,7 +109,7 @@ class StagedWriter(DataSourceArrowWriter):
         """An output stream of a new file; ``about`` may be filled until it is closed."""
         store, place = filesystem(f"{self.staging}/{uuid.uuid4().hex}")
         store.create_dir(posixpath.dirname(place), recursive=True)
-        with store.open_output_stream(place) as out:
+        with store.open_output_stream(place, compression=None) as out:
             yield out
         done.files.append((place, name, about))
 
