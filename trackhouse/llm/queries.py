@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackhouse.llm import embeddings, language, licenses, media, minhash, packing, repeats, tokens, toxicity, urls
+from trackhouse.llm import (
+    centroids, embeddings, language, licenses, media, minhash, packing, repeats, tokens, toxicity, trie_codes, urls, warc,
+)
 from trackhouse.llm.compression import remainder
+from trackhouse.llm.sql import CENTROIDS, PRODUCT_CODES, WARC_RECORDS
+from trackhouse.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +144,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links and component within its label."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_trie_codes", PRODUCT_CODES)
+def op11_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's product code of 16 parts, by codebooks of 64 entries learned in two rounds."""
+    return trie_codes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op12_pca_centroids", CENTROIDS)
+def op12_pca_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's nearest of 40 centroids after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op13_warc_archives", WARC_RECORDS)
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into dictionary-compressed archives, as read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    place = warc.write_archives(pages, folder)
+    kind = pages.schema["page_id"].dataType
+    return warc.read_archives(spark, place, with_payload=False).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to")
+    )
