@@ -7,6 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trackhouse import session
+from trackhouse.operators import timeline
+from trackhouse.operators import track as track_ops
 from trackhouse.operators.smoothing import weights
 from trackhouse.plans import labelling as plan
 
@@ -113,3 +116,63 @@ def test_units_and_split(spark):
     report = plan.route_report(done).toPandas()
     assert len(report) == 2
     assert report.frames.iloc[0] == report.train.iloc[0] + report.val.iloc[0]
+
+
+def exchanges(df, what):
+    """Exchanges by ``what`` in the plan that Spark would run."""
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({what}")
+
+
+def test_fixes_are_exchanged_once_per_pass(spark):
+    rules = plan.Rules(chunk_s=5.0)
+    pdf = circle(secs=30)
+    pdf["obd_speed"] = 36.0
+    synced = spark.createDataFrame(pdf)
+    track = plan.smoothed_track(synced, rules)
+    # The counts of breaks are written by then; what is left is the one exchange of fixes and facts.
+    assert exchanges(track, "_hash") == 1
+    tl = rules.timeline
+    cuts = track_ops.cut_chunks(timeline.halo_by_time(
+        synced.withColumn("t_us", F.round(F.col("t") * 1e6).cast("bigint")), tl, 5_000_000, 8_000_000, "_own"), tl, 340_000, "_own")
+    assert exchanges(cuts, "_hash") == 1 and exchanges(cuts, "") == 1
+    stored_track = session.stored(track)
+    labels = plan.label(stored_track, session.stored(plan.speed_units(stored_track)), rules)
+    assert exchanges(labels, "") == 0 and "BroadcastHashJoin" in labels._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kernel_in_tiny_slices_and_many_routes(spark, monkeypatch):
+    """Routes, chunks and stops that share slices give what each gives alone; bus speeds in three units."""
+    rng = np.random.default_rng(5)
+    parts = []
+    for k, unit in enumerate((None, 1.0, 3.6, 3.6)):
+        pdf = circle(secs=25 + k, route=f"r{k}", v=8.0 + k)
+        stop = (pdf.t > 104) & (pdf.t < 112)
+        pdf.loc[stop, ["lat", "lon"]] = pdf.loc[stop, ["lat", "lon"]].iloc[0].to_numpy()
+        pdf = pdf[(pdf.frame < 250) | (pdf.frame > 262)]
+        pdf["obd_speed"] = np.nan if unit is None else np.where(rng.random(len(pdf)) < 0.7, (8.0 + k) * unit, np.nan)
+        parts.append(pdf)
+    both = pd.concat(parts)
+    rows = lambda pdf: spark.createDataFrame(pdf).withColumn("obd_speed", F.nanvl("obd_speed", F.lit(None).cast("double")))
+    done = {}
+    for slice_rows, chunk_s in ((100_000, 900.0), (1, 2.0)):
+        monkeypatch.setattr(track_ops, "SLICE", slice_rows)
+        out = plan.run(rows(both), plan.Rules(chunk_s=chunk_s), require_units=False)
+        done[chunk_s] = out.fixes.toPandas().sort_values(["route", "t"]).reset_index(drop=True)
+        assert {r.route: r.unit for r in out.units.collect()} == {"r1": "m/s", "r2": "km/h", "r3": "km/h"}
+    alone = pd.concat([plan.run(rows(p), plan.Rules(chunk_s=4.0), require_units=False).fixes.toPandas() for p in parts[1:2]])
+    alone = alone.sort_values(["route", "t"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(done[900.0], done[2.0], atol=1e-9)
+    pd.testing.assert_frame_equal(done[900.0].query("route == 'r1'").reset_index(drop=True), alone, atol=1e-9)
+    assert set(done[900.0].segment) == {0, 1}
+
+
+def test_frame_paths_come_with_the_labels(spark):
+    pdf = circle(secs=20)
+    pdf["obd_speed"] = 36.0
+    cameras = spark.createDataFrame([("c", "primary/leftCamImgs", "0000000.jpg")], "route string, path string, example string")
+    done = plan.run(spark.createDataFrame(pdf), cameras=cameras)
+    row = done.frames.orderBy("t").first()
+    assert row.frame_path == f"primary/leftCamImgs/{row.frame:07d}.jpg"
+    assert done.frames.where("frame_path IS NULL").isEmpty()
+    without = plan.run(spark.createDataFrame(pdf))
+    assert without.frames.where("frame_path IS NOT NULL").isEmpty() and without.frames.columns == done.frames.columns

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trackhouse.operators import governance as gov
 from trackhouse.operators import taxonomy
 from trackhouse.plans import inventory, labelling
-from trackhouse.sources import documents, files, logs, shards, tables, waypoints
+from trackhouse.sources import documents, files, logs, shards, tables, tree, waypoints
 
 
 def scratch():
@@ -258,3 +258,30 @@ def test_telemetry_and_latency_reports(spark):
     put(root, "bad/b.txt", good.replace("percentile(90%) = 4.6", "percentile(90%) = 1.6"))
     with pytest.raises(ValueError, match="monotonic"):
         logs.require_monotonic(logs.latency_summary(logs.read_latency_reports(spark, root + "/bad")))
+
+
+def test_tree_lists_every_file(spark, monkeypatch):
+    """Empty files, names that Spark hides, odd names, links, and branches of all shapes, in shares of 1."""
+    root = scratch()
+    want = {}
+    for i in range(60):
+        rel = f"{'_h' if i % 3 == 0 else '.d' if i % 3 == 1 else 'p'}{i % 4}/s {i % 5}#%/" * (i % 4) + f"{['', '_', '.'][i % 3]}f{i}{['.JPG', '', '.csv'][i % 3]}"
+        want[rel] = i % 6
+        put(root, rel, b"x" * (i % 6))
+    deep = "/".join("d" * 30)
+    want[f"{deep}/end.bin"] = 1
+    put(root, f"{deep}/end.bin", b"x")
+    os.makedirs(os.path.join(root, "empty/inner"))
+    os.symlink(root, os.path.join(root, "empty/loop"))
+    for first, later in ((32, 512), (1, 1), (2, 3)):
+        monkeypatch.setattr(tree, "FIRST_ROUND", first)
+        monkeypatch.setattr(tree, "LATER_ROUNDS", later)
+        rows = files.file_tree(spark, root).collect()
+        assert len(rows) == len(want) and {r.rel: r.length for r in rows} == want
+    by_rel = {r.rel: r for r in rows}
+    r = by_rel[f"{deep}/end.bin"]
+    assert (r.dir, r.name, r.suffix, r.kind) == (deep, "end.bin", ".bin", "lidar")
+    assert open(r.path.removeprefix("file:"), "rb").read() == b"x" and abs(r.modified.timestamp() - os.path.getmtime(r.path.removeprefix("file:"))) < 86400
+    assert files.file_tree(spark, os.path.join(root, "empty")).collect() == []
+    with pytest.raises(FileNotFoundError):
+        files.file_tree(spark, root + "/none")

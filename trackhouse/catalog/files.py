@@ -14,7 +14,7 @@ from trackhouse.catalog.base import events, query, table
 from trackhouse.operators import governance as gov
 from trackhouse.operators import roles
 from trackhouse.session import ensure_checkpoint_dir
-from trackhouse.sources import documents, files, logs, shards, tables, waypoints
+from trackhouse.sources import documents, files, logs, shards, storage, tables, waypoints
 from trackhouse.sources.tail import TailSource
 from trackhouse.streaming import sensors
 
@@ -126,16 +126,34 @@ def obd_rows(spark, sf_dir):
 
 @query(
     "a4_file_tree",
-    """SELECT 'lang=' || lang AS split, count(DISTINCT source) AS folders, 'other' AS kind FROM documents GROUP BY lang""",
+    """WITH p AS (SELECT *, 'm' || p_size % 5 || '/' || p_brand AS dir, p_partkey % 3 AS h, p_partkey % 4 AS s FROM part),
+       n AS (SELECT *, CASE h WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || 'f' || p_partkey || CASE s WHEN 0 THEN '.JPG' WHEN 1 THEN '.csv' WHEN 2 THEN '.npy' ELSE '' END AS name FROM p)
+       SELECT dir || '/' || name AS rel, dir, name, CASE s WHEN 0 THEN '.jpg' WHEN 1 THEN '.csv' WHEN 2 THEN '.npy' ELSE '' END AS suffix,
+         CASE s WHEN 0 THEN 'image' WHEN 1 THEN 'table' WHEN 2 THEN 'lidar' ELSE 'other' END AS kind,
+         CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE CAST(p_size AS BIGINT) END AS length FROM n""",
 )
 def file_tree(spark, sf_dir):
+    """A file per part: a third of the names start with ``_``, a third with ``.``, and a seventh is empty."""
+    return files.file_tree(spark, _part_files(spark, sf_dir)).drop("path", "modified")
+
+
+def _part_files(spark, sf_dir) -> str:
     root = scratch(spark, "tree")
-    docs = table(spark, sf_dir, "documents")
-    docs.repartition("lang", "source").write.partitionBy("lang", "source").json(root)
-    found = files.file_tree(spark, root).where("suffix = '.json'")
-    return found.groupBy(F.split("rel", "/")[0].alias("split"), "kind").agg(
-        F.count_distinct("dir").alias("folders")
-    ).select("split", "folders", "kind")
+    key = F.col("p_partkey")
+    head = F.when(key % 3 == 0, "_").when(key % 3 == 1, ".").otherwise("")
+    tail = F.when(key % 4 == 0, ".JPG").when(key % 4 == 1, ".csv").when(key % 4 == 2, ".npy").otherwise("")
+    rel = F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string"), F.lit("/"), "p_brand", F.lit("/"), head, F.lit("f"), key.cast("string"), tail)
+    length = F.when(key % 7 == 0, 0).otherwise(F.col("p_size")).cast("bigint")
+    rows = table(spark, sf_dir, "part").select(rel.alias("rel"), length.alias("length"))
+
+    def put(batches):
+        for batch in batches:
+            for path, n in zip(*(c.to_pylist() for c in batch.columns)):
+                storage.write_whole(storage.below(root, path), b"x" * n)
+            yield batch
+
+    rows.mapInArrow(put, rows.schema).write.format("noop").mode("overwrite").save()
+    return root
 
 
 def _frames(spark, sf_dir):

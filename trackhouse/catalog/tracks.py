@@ -13,6 +13,7 @@ from trackhouse.catalog.base import events, query
 from trackhouse.catalog.ordered import _weights_sql
 from trackhouse.operators.timeline import number_rows, timeline
 from trackhouse.plans import labelling
+from trackhouse.session import stored
 
 FIXES = 64
 
@@ -27,6 +28,8 @@ def fixes(spark, sf_dir):
         ((F.col("event_id") % 7 - 3) * F.lit(0.3)).alias("c"),
         F.radians((F.col("event_id") % 360).cast("double")).alias("a"),
     )
+    # A drive becomes 64 fixes: spread the few drives first.
+    drive = drive.repartition(spark.sparkContext.defaultParallelism)
     rows = drive.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(FIXES - 1))))
     tau = F.col("i") / 15.0
     along, side = F.col("v") * tau, F.col("c") * tau * tau
@@ -44,7 +47,7 @@ def fixes(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    track = fixes(spark, sf_dir)
+    track = stored(fixes(spark, sf_dir))
     obd = track.where(F.col("speed").isNotNull()).select("route", "t", "speed")
     synced = labelling.synchronise(track.drop("speed"), obd, None, default_tolerance_s=1.0)
     return labelling.run(synced)

@@ -1,34 +1,37 @@
 """From synchronised fixes to waypoint labels.
 
-One exchange on ``(route, chunk)`` serves segmentation, smoothing, heading and the look-ahead:
-fixes near a chunk border are copied into the neighbour before it, and facts about a whole
-segment are computed from per-chunk summaries. A route of any length is spread over its chunks.
+Fixes near a border of ``(route, chunk)`` are copied into the neighbour before the exchange. One Arrow
+pass counts the breaks of every chunk, a scan over these short rows numbers the segments, and a second
+pass smooths, holds headings and looks ahead (``operators/track.py``). A route of any length is spread
+over its chunks, and no written table takes more than two exchanges of fixes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackhouse.functions import geometry as geo
 from trackhouse.functions.text import frame_path
-from trackhouse.operators.asof import chunk_look_ahead, interpolate
+from trackhouse.operators.asof import interpolate
 from trackhouse.operators.ranking import exact_quantiles
-from trackhouse.operators.segments import assign_segments, segment_rows
-from trackhouse.operators.smoothing import REACH, SHORTEST, smooth
-from trackhouse.operators.timeline import Timeline, attach, halo_by_time
-from trackhouse.session import durable
+from trackhouse.operators.smoothing import REACH, SHORTEST
+from trackhouse.operators.timeline import Timeline, halo_by_time
+from trackhouse.operators.track import RATIO_LEAST_ROWS, RATIO_LEAST_SPEED, carry_headings, chosen, cut_chunks, number_segments, shape_chunks
+from trackhouse.session import durable, stored
 
 # Fixed values.
 MAX_GAP_S = 0.34
 VAL_FRACTION = 0.15
 UNIT_LEAST_ROWS = 20
-UNIT_LEAST_SEGMENT = 60
 #: Value chunk for the exact median of speed ratios, which lie around 1 or 3.6.
 RATIO_CHUNK = 1e-5
 UNIT_BANDS = (("m/s", 0.7, 1.4, 1.0), ("km/h", 2.9, 4.3, geo.KMH_TO_MPS))
+#: The ways in which a bus speed may count: not at all, or in one of the units.
+UNITS = (None, *(name for name, *_ in UNIT_BANDS))
+SCALES = (None, *(factor for *_, factor in UNIT_BANDS))
 
 
 @dataclass(frozen=True)
@@ -64,83 +67,58 @@ def synchronise(gps: DataFrame, obd: DataFrame, tolerances: DataFrame | None, ru
 
 
 def smoothed_track(synced: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Segments, local metres, smoothed position and velocity, and positions ahead.
+    """Segments, local metres, smoothed position and velocity, positions ahead, and the headings that
+    every chunk can tell for itself.
 
-    Input: ``route, frame, t, lat, lon, obd_speed``.
+    Input: ``route, frame, t, lat, lon, obd_speed``; it is read twice.
     """
     tl = rules.timeline
     base = synced.withColumn("t_us", F.round(F.col("t") * 1e6).cast("bigint"))
-    reach = REACH * rules.us(rules.max_gap_s)
-    ahead = rules.us(max(rules.horizons_s) + rules.max_gap_s) + reach
-    copies = halo_by_time(base, tl, behind=reach, ahead=ahead, own="_own")
-    marked = assign_segments(copies, tl, rules.us(rules.max_gap_s), own="_own")
-
-    step = F.when(
-        F.lag("segment").over(tl.forward()) == F.col("segment"),
-        F.col("t_us") - F.lag("t_us").over(tl.forward()),
-    )
-    # Steps are whole microseconds up to the gap limit, so counting equal steps first bounds the
-    # state of this exact median by that many distinct values, whatever the segment's length.
-    medians = (
-        marked.withColumn("_step", step)
-        .where(F.col("_own") & F.col("_step").isNotNull())
-        .groupBy("route", "segment", "_step")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("route", "segment")
-        .agg((F.percentile("_step", F.lit(0.5), F.col("_n")) / 1e6).alias("dt"))
-    )
-    rows = segment_rows(marked, tl, own="_own", firsts=["lat", "lon"], extra=medians)
-    east, north = geo.local_metres(
-        F.col("lat"), F.col("lon"), F.col("seg_lat0"), F.col("seg_lon0")
-    )
-    rows = rows.withColumns({"enu_x_raw": east, "enu_y_raw": north})
-    track = smooth(
-        rows,
-        tl.group,
-        tl.order,
-        {"enu_x_raw": ("enu_x", "vx"), "enu_y_raw": ("enu_y", "vy")},
-        "dt",
-    ).drop("seg_lat0", "seg_lon0", "_row", "dt", "lat", "lon", "seg_index")
+    gap = rules.us(rules.max_gap_s)
+    reach = REACH * gap
+    copies = halo_by_time(base, tl, behind=reach, ahead=rules.us(max(rules.horizons_s)) + gap + reach, own="_own")
+    facts = number_segments(durable(cut_chunks(copies, tl, gap, "_own")), tl)
     horizons = [rules.us(h) for h in rules.horizons_s]
-    track = chunk_look_ahead(track, tl.group, "t_us", ["enu_x", "enu_y"], horizons, "seg_end")
-    # Copies have served: from here on only own rows are kept.
-    return track.where(F.col("_own")).drop("_own").withColumn("sg_speed", F.hypot("vx", "vy"))
+    return shape_chunks(copies, facts, tl, gap, "_own", horizons, SCALES)
 
 
 def speed_units(track: DataFrame) -> DataFrame:
     """Per route: the unit of the bus speed, told from its ratio to the track speed.
 
-    The longest segment that gives a clear answer decides; ``unit`` is NULL when none does.
+    The longest segment that gives a clear answer decides; ``unit`` is NULL when none does. Segments
+    inside one chunk come with their median ratio; those that span chunks are measured here.
     """
-    rows = track.where(
-        (F.col("seg_rows") >= UNIT_LEAST_SEGMENT) & F.col("obd_speed").isNotNull()
+    whole = track.where(F.col("_edge") & F.col("_whole") & (F.col("ratio_rows") > 0)).select(
+        "route", "segment", F.col("ratio").alias("median"), F.col("ratio_rows").alias("n"), F.col("seg_rows").alias("size")
     )
-    ratio = F.when(
-        (F.col("sg_speed") > 2.0) & (F.col("obd_speed") > 0), F.col("obd_speed") / F.col("sg_speed")
-    )
-    return decide_units(rows.withColumn("ratio", ratio), "route", "segment", "seg_rows", "ratio")
+    usable = (F.col("sg_speed") > RATIO_LEAST_SPEED) & (F.col("obd_speed") > 0)
+    wide = track.where(~F.col("_whole") & (F.col("seg_rows") >= RATIO_LEAST_ROWS) & usable)
+    wide = wide.withColumn("ratio", F.col("obd_speed") / F.col("sg_speed"))
+    return judge_units(whole.unionByName(segment_ratios(wide, "route", "segment", "seg_rows", "ratio")), "route", "segment")
 
 
 def decide_units(df: DataFrame, route: str, segment: str, size: str, ratio: str) -> DataFrame:
     """``unit`` and ``scale`` per route from the median ratio of its segments."""
-    usable = df.where(F.col(ratio).isNotNull())
-    medians = exact_quantiles(
-        usable, [route, segment], ratio, {"median": 0.5}, width=RATIO_CHUNK
-    )
+    return judge_units(segment_ratios(df.where(F.col(ratio).isNotNull()), route, segment, size, ratio), route, segment)
+
+
+def segment_ratios(usable: DataFrame, route: str, segment: str, size: str, ratio: str) -> DataFrame:
+    """The exact ``median`` ratio of every segment, from how many rows ``n``, and its ``size``."""
+    medians = exact_quantiles(usable, [route, segment], ratio, {"median": 0.5}, width=RATIO_CHUNK)
     counts = usable.groupBy(route, segment).agg(
         F.count(F.lit(1)).alias("n"), F.max(size).alias("size")
     )
+    return medians.join(counts, [route, segment])
+
+
+def judge_units(ratios: DataFrame, route: str, segment: str) -> DataFrame:
+    """``unit`` and ``scale`` of every route from rows as ``segment_ratios`` gives them."""
     unit, scale = F.lit(None).cast("string"), F.lit(None).cast("double")
     for name, low, high, factor in UNIT_BANDS:
         inside = F.col("median").between(low, high)
         unit = F.when(inside, F.lit(name)).otherwise(unit)
         scale = F.when(inside, F.lit(factor)).otherwise(scale)
-    judged = (
-        medians.join(counts, [route, segment])
-        .where(F.col("n") >= UNIT_LEAST_ROWS)
-        .withColumn("unit", unit)
-        .withColumn("scale", scale)
-    )
+    judged = ratios.where(F.col("n") >= UNIT_LEAST_ROWS).withColumn("unit", unit).withColumn("scale", scale)
     # Longest first; the earlier segment wins a tie, as a stable sort would have it.
     rank = F.when(F.col("unit").isNotNull(), F.struct(F.col("size"), -F.col(segment)))
     return judged.groupBy(route).agg(
@@ -148,29 +126,30 @@ def decide_units(df: DataFrame, route: str, segment: str, size: str, ratio: str)
     )
 
 
-def label(track: DataFrame, units: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
-    """Every fix with speed, heading, waypoints and the reason it is dropped, if any."""
+def label(
+    track: DataFrame, units: DataFrame | None = None, rules: Rules = Rules(), cameras: DataFrame | None = None
+) -> DataFrame:
+    """Every fix with its frame's path, speed, heading, waypoints and the reason it is dropped, if any.
+
+    What depends on route, unit or other chunks comes with one row per chunk and segment. ``cameras``
+    has one row per route: ``path`` of the camera folder and the ``example`` name of a file in it, which
+    fixes padding and suffix; a route without a camera has NULL paths. Without ``units`` bus speeds are
+    metres per second.
+    """
     tl = rules.timeline
-    if units is None:
-        rows = track.withColumn("scale", F.lit(1.0))
+    carry = carry_headings(track, units, tl, UNITS)
+    if cameras is None:
+        carry = carry.withColumns({"_dir": F.lit(None).cast("string"), "_example": F.lit(None).cast("string")})
     else:
-        rows = track.join(units.select("route", "scale"), "route", "left")
-    fused = geo.fuse_speed(F.col("sg_speed"), F.col("obd_speed") * F.col("scale"))
-    rows = rows.withColumn("speed_mps", fused).withColumn(
-        "_angle",
-        F.when(
-            F.col("speed_mps") >= geo.HEADING_MIN_SPEED,
-            geo.heading(F.col("vx"), F.col("vy")),
-        ),
-    )
-    rows = _held_heading(rows, tl)
-
+        place = cameras.select("route", F.col("path").alias("_dir"), F.col("example").alias("_example"))
+        carry = carry.join(place, "route", "left")
+    # Written, so that Spark knows its size and shuffles the fixes only where it is too large to broadcast.
+    carry = stored(carry)
+    rows = track.join(carry, [*tl.group, "segment"], "left")
+    rows = rows.withColumn("speed_mps", geo.fuse_speed(F.col("sg_speed"), F.col("obd_speed") * F.col("scale")))
+    rows = rows.withColumn("heading_rad", F.coalesce(chosen("held", len(UNITS)), "_before", "_first", F.lit(0.0)))
     points = [
-        geo.to_ego(
-            F.col(f"enu_x_{k}") - F.col("enu_x"),
-            F.col(f"enu_y_{k}") - F.col("enu_y"),
-            F.col("heading_rad"),
-        )
+        geo.to_ego(F.col(f"enu_x_{k}") - F.col("enu_x"), F.col(f"enu_y_{k}") - F.col("enu_y"), F.col("heading_rad"))
         for k in range(len(rules.horizons_s))
     ]
     last = len(points) - 1
@@ -182,9 +161,9 @@ def label(track: DataFrame, units: DataFrame | None = None, rules: Rules = Rules
         p[1].alias(f"wp_y{k}") for k, p in enumerate(points)
     ]
     return rows.select(
-        "route", "segment", "frame", "t", "speed_mps", "sg_speed", "obd_speed",
-        "enu_x", "enu_y", "enu_x_raw", "enu_y_raw", "heading_rad", *waypoints,
-        reason.alias("drop_reason"),
+        frame_path(F.col("_dir"), F.col("frame"), F.col("_example")).alias("frame_path"),
+        "t", "speed_mps", "route", "segment", "enu_x", "enu_y", "enu_x_raw", "enu_y_raw", "heading_rad", *waypoints,
+        "frame", "sg_speed", "obd_speed", reason.alias("drop_reason"),
     )
 
 
@@ -199,42 +178,6 @@ def with_frame_paths(frames: DataFrame, cameras: DataFrame) -> DataFrame:
     return named.withColumn("frame_path", frame_path(F.col("_dir"), F.col("frame"), F.col("_example"))).drop("_dir", "_example")
 
 
-def _held_heading(rows: DataFrame, tl: Timeline) -> DataFrame:
-    """``heading_rad``: the last valid angle of the segment, else its first, else 0."""
-    group = [*tl.group, "segment"]
-    at = F.when(F.col("_angle").isNotNull(), F.col("t_us"))
-    whole = Window.partitionBy("route", "segment")
-    earlier = whole.orderBy(tl.chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*group)
-        .agg(
-            F.max_by("_angle", at).alias("_last"),
-            F.min_by("_angle", at).alias("_first"),
-            F.min(at).alias("_at"),
-        )
-        .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
-        .withColumn("_first", F.min_by("_first", "_at").over(whole))
-        .drop("_last", "_at")
-    )
-    # The chunk window is not split by segment, so the held angle names its segment.
-    tagged = F.when(F.col("_angle").isNotNull(), F.struct("segment", "_angle"))
-    held = F.last(tagged, ignorenulls=True).over(tl.upto_here())
-    return (
-        attach(rows, carry, group)
-        .withColumn("_held", held)
-        .withColumn(
-            "heading_rad",
-            F.coalesce(
-                F.when(F.col("_held.segment") == F.col("segment"), F.col("_held._angle")),
-                F.col("_before"),
-                F.col("_first"),
-                F.lit(0.0),
-            ),
-        )
-        .drop("_held", "_before", "_first", "_angle")
-    )
-
-
 def temporal_split(
     kept: DataFrame,
     keys: list[str],
@@ -243,7 +186,7 @@ def temporal_split(
     width: float | None = None,
 ) -> DataFrame:
     """Add ``cutoff`` and ``split``: the last ``fraction`` of each key by time is ``val``."""
-    cutoffs = exact_quantiles(kept, keys, t, {"cutoff": 1.0 - fraction}, width=width)
+    cutoffs = stored(exact_quantiles(kept, keys, t, {"cutoff": 1.0 - fraction}, width=width))
     return kept.join(cutoffs, keys).withColumn(
         "split", F.when(F.col(t) >= F.col("cutoff"), "val").otherwise("train")
     )
@@ -275,14 +218,16 @@ def unknown_units(track: DataFrame, units: DataFrame, bus_routes: DataFrame | No
 
 
 def run(
-    synced: DataFrame, rules: Rules = Rules(), *, bus_routes: DataFrame | None = None, require_units: bool = True
+    synced: DataFrame, rules: Rules = Rules(), *, cameras: DataFrame | None = None, bus_routes: DataFrame | None = None,
+    require_units: bool = True,
 ) -> Labelled:
-    """The whole plan. The track and the labels are written once and read by what follows.
+    """The whole plan. The fixes, the track, the units and the labels are each written once and read by
+    what follows; ``cameras`` gives the paths of frames (see ``label``).
 
     With ``require_units``, bus speeds whose unit cannot be told stop the run rather than vanish.
     """
-    track = durable(smoothed_track(synced, rules))
-    units = speed_units(track)
+    track = stored(smoothed_track(stored(synced), rules))
+    units = stored(speed_units(track))
     if require_units:
         open_routes = unknown_units(track, units, bus_routes)
         first = [r.route for r in open_routes.orderBy("route").limit(LISTED).collect()]
@@ -290,7 +235,7 @@ def run(
             raise ValueError(
                 f"{open_routes.count()} routes have bus speeds in no known unit (check their clock offset), e.g. {first}"
             )
-    fixes = durable(label(track, units, rules))
+    fixes = stored(label(track, units, rules, cameras))
     kept = fixes.where(F.col("drop_reason").isNull()).drop("drop_reason")
     frames = temporal_split(kept, ["route"], "t", rules.val_fraction, rules.chunk_s)
     return Labelled(fixes, frames, units)

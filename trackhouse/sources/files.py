@@ -6,34 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackhouse.functions.text import file_kind, file_suffix
+from trackhouse.sources.storage import qualified
+from trackhouse.sources.tree import walk
 
 
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, rel, dir, name, suffix, kind, length, modified`` of every file below ``root``.
-
-    The ``content`` column is never selected, so the scan lists files and opens none.
-    """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
-    base = root.rstrip("/").removeprefix("file:")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + _quoted(base) + "/", "")
+    """``path, rel, dir, name, suffix, kind, length, modified`` of every file below ``root``, empty ones
+    and names that start with ``_`` or ``.`` among them. Files are listed by tasks and never opened."""
+    base = qualified(spark, root).rstrip("/")
+    rel = F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name"))
     return (
-        listed.withColumn("rel", rel)
-        .withColumn("name", F.element_at(F.split("rel", "/"), -1))
-        .withColumn("dir", F.regexp_replace("rel", r"/?[^/]*$", ""))
+        walk(spark, base)
+        .withColumn("rel", rel)
         .withColumn("suffix", file_suffix(F.col("name")))
-        .withColumn("kind", file_kind(F.col("suffix")))
+        .select(
+            F.concat(F.lit(f"{base}/"), "rel").alias("path"), "rel", "dir", "name", "suffix",
+            file_kind(F.col("suffix")).alias("kind"), "length", "modified",
+        )
     )
 
 
-def _quoted(text: str) -> str:
-    return r"\Q" + text + r"\E"
-
-
 def annotated_tree(files: DataFrame, top: str, key) -> DataFrame:
     """``split, sequence, frame_key, suffix`` of ``<top>/<split>/<sequence>/<file>``.
 

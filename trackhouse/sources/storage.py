@@ -10,7 +10,6 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
-from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,6 +21,9 @@ MOVERS = 32
 #: Schemes of Spark's connectors by the names pyarrow has for the same stores.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
+#: Stores whose paths begin with the bucket.
+BUCKETS = ("s3", "s3a", "s3n", "gs", "gcs")
+
 
 @lru_cache(maxsize=64)
 def _store(scheme: str, host: str) -> fs.FileSystem:
@@ -31,15 +33,16 @@ def _store(scheme: str, host: str) -> fs.FileSystem:
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of ``path`` and the path on it; a path without a scheme is local."""
+    """The file system of ``path`` and the path on it; a path without a scheme is local. Names are
+    taken as they stand: ``#``, ``?`` and per cent signs mean nothing."""
     scheme, colon, rest = path.partition(":")
     if not colon or "/" in scheme:
         return _store("", ""), path
-    parts = urlsplit(path)
-    where = unquote(parts.path)
-    if scheme in ("s3", "s3a", "s3n", "gs", "gcs"):
-        return _store(scheme, parts.netloc), f"{parts.netloc}{where}"
-    return _store(scheme, parts.netloc), where
+    host = ""
+    if rest.startswith("//"):
+        host, _, rest = rest[2:].partition("/")
+        rest = f"/{rest}"
+    return _store(scheme, host), f"{host}{rest}" if scheme in BUCKETS else rest
 
 
 def qualified(spark: SparkSession, path: str) -> str:
