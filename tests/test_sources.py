@@ -285,3 +285,73 @@ def test_tree_lists_every_file(spark, monkeypatch):
     assert files.file_tree(spark, os.path.join(root, "empty")).collect() == []
     with pytest.raises(FileNotFoundError):
         files.file_tree(spark, root + "/none")
+
+
+class Counting(io.FileIO):
+    read_bytes = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        Counting.read_bytes += len(data)
+        return data
+
+
+def test_shard_index_reads_headers_only():
+    path = scratch() + "/big.tar"
+    rng = np.random.default_rng(0)
+    with tarfile.open(path, "w") as tar:
+        for i in range(40):
+            for ext in ("png", "jpg"):
+                info = tarfile.TarInfo(f"s{i:03d}.{ext}" if i else "long/" * 40 + f"name.{ext}")
+                info.size = 150_000
+                tar.addfile(info, io.BytesIO(rng.bytes(150_000)))
+    with Counting(path) as stream:
+        found = shards.tar_places(stream)
+    assert len(found) == 40 and Counting.read_bytes < 0.01 * os.path.getsize(path)
+    with open(path, "rb") as f, tarfile.open(path) as tar:
+        place = found["s007"]["png"]
+        f.seek(place["offset"])
+        assert f.read(place["size"]) == tar.extractfile("s007.png").read()
+
+
+def test_pack_gates_collapses_and_counts(spark):
+    rng = np.random.default_rng(1)
+    masks = {f"a_{i:03d}": rng.choice([0, 1, 5, 255], (3 + i % 4, 5)).astype(np.uint8) for i in range(23)}
+    rows = [(k, f"s{i % 3}", b"j%d" % i, m.tobytes(), m.shape[1], m.shape[0]) for i, (k, m) in enumerate(masks.items())]
+    samples = spark.createDataFrame(rows, "key string, sequence string, image binary, mask binary, width int, height int").repartition(3)
+    lut = spark.createDataFrame([(0, 0), (1, 1), (5, 1), (255, 255)], "level3_id int, train_id int")
+    out = scratch()
+    stats = shards.pack(samples, "train", out, per_shard=10, lut=lut, classes=range(3)).toPandas().sort_values("shard")
+    every = np.concatenate([m.ravel() for m in masks.values()])
+    assert np.sum(stats.class_pixels.tolist(), axis=0).tolist() == [(every == 0).sum(), np.isin(every, (1, 5)).sum(), 0]
+    assert stats.ignore_pixels.sum() == (every == 255).sum() and list(stats.samples) == [10, 10, 3]
+    assert list(stats.bytes) == [os.path.getsize(f"{out}/train/{n}") for n in stats.shard]
+    got = {r.key: bytes(r["mask"]) for r in shards.read_samples(spark, out).collect()}
+    put(out, "png/x.png", got["a_004"])
+    shown = documents.images(spark, out + "/png").first()
+    want = np.where(masks["a_004"] == 5, 1, masks["a_004"])
+    assert (np.frombuffer(shown.data, np.uint8).reshape(shown.height, shown.width) == want).all()
+
+    # An unknown id stops the run: nothing is published, and what was packed before stays.
+    before = sorted(os.listdir(out + "/train"))
+    with pytest.raises(Exception, match=r"a_0.*outside the taxonomy: \[5\]"):
+        shards.pack(samples, "train", out, per_shard=10, lut=lut.where("level3_id <> 5"))
+    assert sorted(os.listdir(out + "/train")) == before
+    with pytest.raises(Exception, match="two samples have the key"):
+        shards.pack(samples.union(samples.where("key = 'a_001'")), "val", out, per_shard=10)
+    assert os.listdir(out + "/val") == [] if os.path.isdir(out + "/val") else True
+    # Packing anew replaces the shards of the split.
+    assert shards.pack(samples.where("key < 'a_010'"), "train", out, per_shard=4).count() == 3
+    assert sorted(os.listdir(out + "/train")) == [f"train-{i:05d}.tar" for i in range(3)]
+
+
+def test_runs_of_many_shards(spark, monkeypatch):
+    """Few runs of several shards each number and fill shards just the same."""
+    monkeypatch.setattr(shards, "MOST_RUNS", 3)
+    rows = [(f"k{i:03d}", None, b"j%d" % i, b"p%d" % i) for i in range(47)]
+    samples = spark.createDataFrame(rows, "key string, sequence string, image binary, mask binary").repartition(4)
+    out = scratch()
+    stats = shards.pack(samples, "t", out, per_shard=5).toPandas().sort_values("shard")
+    assert list(stats.samples) == [5] * 9 + [2] and list(stats.shard) == [f"t-{i:05d}.tar" for i in range(10)]
+    where = {r.key: os.path.basename(r.shard) for r in shards.read_samples(spark, out, with_data=False).collect()}
+    assert where == {f"k{i:03d}": f"t-{i // 5:05d}.tar" for i in range(47)}

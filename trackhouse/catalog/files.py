@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trackhouse.catalog.base import events, query, table
 from trackhouse.operators import governance as gov
 from trackhouse.operators import roles
+from trackhouse.plans import segmentation
 from trackhouse.session import ensure_checkpoint_dir
 from trackhouse.sources import documents, files, logs, shards, storage, tables, waypoints
 from trackhouse.sources.tail import TailSource
@@ -192,7 +195,7 @@ def waypoint_source(spark, sf_dir):
        FROM documents""",
 )
 def shard_round_trip(spark, sf_dir):
-    out = scratch(spark, "shards").removeprefix("file:")
+    out = scratch(spark, "shards")
     samples = table(spark, sf_dir, "documents").select(
         F.concat("lang", F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("key"),
         F.encode("text", "utf-8").alias("image"),
@@ -446,34 +449,55 @@ def stream_alignment(spark, sf_dir):
 )
 def image_masks(spark, sf_dir):
     """One grey mask per supplier: every line paints as many pixels as its quantity."""
-    import os
-    import struct
-    import zlib
+    counts = documents.pixel_counts(documents.images(spark, _painted_masks(spark, sf_dir)))
+    image = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("bigint")
+    return counts.select(image.alias("image"), "level3_id", "n")
 
-    import numpy as np
-    import pyarrow as pa
 
-    folder = scratch(spark, "masks").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
+def _painted_masks(spark, sf_dir) -> str:
+    folder = scratch(spark, "masks")
 
     def paint(group: pa.Table) -> pa.Table:
         ids = group["l_linenumber"].to_numpy().astype(np.uint8) * 30
         row = np.repeat(ids, group["l_quantity"].to_numpy().astype(int)).tobytes()
-        chunk = lambda kind, data: (
-            struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-        )
-        header = struct.pack(">IIBBBBB", len(row), 1, 8, 0, 0, 0, 0)
         name = f"{folder}/{group['l_suppkey'][0].as_py()}.png"
-        with open(name, "wb") as f:
-            f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header))
-            f.write(chunk(b"IDAT", zlib.compress(b"\0" + row)) + chunk(b"IEND", b""))
+        storage.write_whole(name, shards.grey_png(row, len(row), 1))
         return pa.table({"name": [name]})
 
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity")
-    lines.groupBy("l_suppkey").applyInArrow(paint, "name string").count()
-    counts = documents.pixel_counts(documents.images(spark, folder))
-    image = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("bigint")
-    return counts.select(image.alias("image"), "level3_id", "n")
+    lines.groupBy("l_suppkey").applyInArrow(paint, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(
+    "seg_packed_index",
+    """
+    WITH i AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'val' ELSE 'train' END AS split, l_suppkey, l_suppkey % 7 AS sequence,
+                 CASE WHEN l_linenumber = 7 THEN 255 ELSE l_linenumber // 2 END AS train_id, CAST(l_quantity AS BIGINT) AS n FROM lineitem),
+    s AS (SELECT split, count(DISTINCT l_suppkey) AS samples, count(DISTINCT sequence) AS sequences, CAST(ceil(count(DISTINCT l_suppkey) / 16.0) AS BIGINT) AS shards,
+            CAST(coalesce(sum(n) FILTER (train_id = 255), 0) AS BIGINT) AS ignore_pixels FROM i GROUP BY split),
+    f AS (SELECT s.split, CAST(k.c AS INTEGER) AS train_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS pixels FROM s CROSS JOIN (SELECT unnest(range(8)) AS c) k
+          LEFT JOIN i ON i.split = s.split AND i.train_id = k.c GROUP BY ALL),
+    w AS (SELECT train_id, 1.0 / ln(1.02 + pixels / (SELECT sum(pixels) FROM f WHERE split = 'train')) AS w FROM f WHERE split = 'train')
+    SELECT split, train_id, pixels, round(pixels / sum(pixels) OVER (PARTITION BY split), 6) AS frequency, round(least(w, 10 * (SELECT min(w) FROM w)), 6) AS weight,
+           samples, sequences, shards, true AS whole_blocks, split || '/' || split || '-{00000..' || lpad(CAST(shards - 1 AS VARCHAR), 5, '0') || '}.tar' AS pattern, ignore_pixels
+    FROM f JOIN w USING (train_id) JOIN s USING (split)
+    """,
+)
+def seg_packed_index(spark, sf_dir):
+    """Masks read back as images, gated, collapsed, counted, packed, and indexed from what was packed.
+    Tar bytes depend on the PNG encoder, so the twin holds them only to be whole tar blocks."""
+    masks = documents.images(spark, _painted_masks(spark, sf_dir))
+    number = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("bigint")
+    samples = masks.select(
+        F.when(number % 4 == 0, "val").otherwise("train").alias("split"), F.lpad(number.cast("string"), 9, "0").alias("key"),
+        (number % 7).cast("string").alias("sequence"), F.encode("path", "utf-8").alias("image"), F.col("data").alias("mask"), "width", "height",
+    )
+    lut = spark.createDataFrame([(30 * k, 255 if k == 7 else k // 2) for k in range(1, 8)], "level3_id int, train_id int")
+    index = segmentation.pack_and_index(samples, lut, scratch(spark, "packed"), ("train", "val"), range(8), per_shard=16)
+    whole = (F.col("bytes") > 0) & (F.col("bytes") % 10240 == 0)
+    rounded = {c: F.round(c, 6) for c in ("frequency", "weight")}
+    return index.withColumns(rounded).withColumn("whole_blocks", whole).drop("bytes")
 
 
 @query(
@@ -482,7 +506,7 @@ def image_masks(spark, sf_dir):
        CAST(octet_length(encode(source)) AS BIGINT) AS mask_size FROM documents""",
 )
 def shard_index(spark, sf_dir):
-    out = scratch(spark, "shards").removeprefix("file:")
+    out = scratch(spark, "shards")
     samples = table(spark, sf_dir, "documents").select(
         F.concat("lang", F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("key"),
         F.encode("text", "utf-8").alias("image"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackhouse.operators import histograms, taxonomy
-from trackhouse.sources.shards import SAMPLES_PER_SHARD
+from trackhouse.sources.shards import SAMPLES_PER_SHARD, pack
 
 #: Offending files that an error names; it always tells how many there are.
 LISTED = 20
@@ -59,3 +59,37 @@ def shard_index(
         .join(splits.select("split", "samples", "sequences", "shards", "ignore_pixels"), "split")
         .select("split", "train_id", "pixels", "frequency", "weight", "samples", "sequences", "shards", "ignore_pixels")
     )
+
+
+def packed_index(packed: DataFrame, classes: Sequence[int], *, train: object = "train") -> DataFrame:
+    """The shard index of splits from what was packed: ``packed`` has ``split`` and the columns that
+    ``shards.pack`` gives. As ``shard_index``, with ``bytes`` and the file ``pattern`` of every split."""
+    totals = packed.groupBy("split").agg(
+        F.sum("samples").alias("samples"), F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("bytes"), F.sum("ignore_pixels").alias("ignore_pixels")
+    )
+    seen = packed.select("split", F.explode("sequences").alias("sequence")).distinct().groupBy("split").agg(F.count(F.lit(1)).alias("sequences"))
+    last = F.lpad((F.col("shards") - 1).cast("string"), 5, "0")
+    splits = totals.join(seen, "split", "left").na.fill(0, ["sequences"]).withColumn(
+        "pattern", F.concat("split", F.lit("/"), "split", F.lit("-{00000.."), last, F.lit("}.tar"))
+    )
+    train_ids = F.array(*[F.lit(c) for c in classes])
+    per_class = packed.select("split", F.explode(F.arrays_zip(train_ids.alias("train_id"), F.col("class_pixels").alias("n"))).alias("p"))
+    counts = per_class.groupBy("split", F.col("p.train_id").alias("train_id")).agg(F.sum("p.n").alias("n"))
+    weights = histograms.class_weights(counts.where(F.col("split") == F.lit(train))).select("train_id", "weight")
+    shares = histograms.frequencies(counts, ["split"]).withColumnRenamed("n", "pixels")
+    return shares.join(weights, "train_id", "left").join(splits, "split").select(
+        "split", "train_id", "pixels", "frequency", "weight", "samples", "sequences", "shards", "bytes", "pattern", "ignore_pixels"
+    )
+
+
+def pack_and_index(
+    samples: DataFrame, lut: DataFrame, out_dir: str, splits: Sequence[str], classes: Sequence[int], *, per_shard: int = SAMPLES_PER_SHARD, train: str = "train"
+) -> DataFrame:
+    """Masks to index: each of the named ``splits`` of ``samples`` (``split, key, sequence, image, mask, width, height``) is
+    gated, collapsed, counted and packed in one pass, and the index is made from the shards' own counts."""
+    packed = None
+    for split in splits:
+        mine = samples.where(F.col("split") == split).drop("split")
+        stats = pack(mine, split, out_dir, per_shard=per_shard, lut=lut, classes=classes).withColumn("split", F.lit(split))
+        packed = stats if packed is None else packed.unionByName(stats)
+    return packed_index(packed, classes, train=train)
