@@ -71,7 +71,7 @@ def test_tail_slices_cover_every_line_once(tmp_path, monkeypatch):
     path.write_text("\n".join(lines) + "\ntorn")
     reader = tail.TailReader(str(path))
     end = reader.latestOffset()
-    assert end[str(path)] == complete_bytes(str(path))
+    assert end[str(path)]["at"] == complete_bytes(str(path))
     got = []
     for part in reader.partitions({}, end):
         for batch in reader.read(part):
@@ -79,6 +79,62 @@ def test_tail_slices_cover_every_line_once(tmp_path, monkeypatch):
     assert got == lines
 
 
+def test_tail_knows_a_replaced_file_that_is_longer(spark):
+    """Shorter, longer and equally long files in place of an old one; appends; the availableNow trigger."""
+    spark.dataSource.register(TailSource)
+    folder, state, out = scratch(), scratch(), scratch()
+    path = os.path.join(folder, "run1", "events.jsonl")
+    os.makedirs(os.path.dirname(path))
+
+    def run(text, mode="w"):
+        with open(path, mode) as f:
+            f.write(text)
+        q = (
+            spark.readStream.format("tail").option("path", f"file:{folder}/*/*.jsonl").load()
+            .writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", state).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        return sorted(r.line for r in spark.read.parquet(out).collect())
+
+    want = ["a1", "a2"]
+    assert run("a1\na2\ntorn") == want
+    want = sorted([*want, "torn now"])
+    assert run(" now\n", "a") == want
+    long = [f"b{i}" for i in range(3000)]
+    want = sorted([*want, *long])
+    assert run("\n".join(long) + "\n") == want  # replaced by a longer file
+    want = sorted([*want, "end"])
+    assert run("end\n", "a") == want
+    want = sorted([*want, "c1"])
+    assert run("c1\n") == want  # replaced by a shorter file
+    want = sorted([*want, "d1"])
+    assert run("d1\n") == want  # replaced by one of the same length
+
+
+def test_tail_budget_cuts_at_lines(tmp_path):
+    from trackhouse.sources import tail
+
+    lines = {f"{n}.log": [f"{n} line {i} " + "x" * (i % 40) for i in range(60)] for n in "ab"}
+    for name, text in lines.items():
+        (tmp_path / name).write_text("\n".join(text) + "\ntorn")
+    reader = tail.TailReader(f"{tmp_path}/*.log", 150)
+    start, got, batches = reader.initialOffset(), [], 0
+    while (end := reader.latestOffset()) != start:
+        parts = reader.partitions(start, end)
+        assert sum(p.stop - p.start for p in parts) <= 150
+        got += [line for p in parts for b in reader.read(p) for line in b["line"].to_pylist()]
+        start, batches = end, batches + 1
+    assert sorted(got) == sorted(sum(lines.values(), [])) and batches > 20
+    # A line longer than the budget still goes through, alone.
+    (tmp_path / "c.log").write_text("y" * 1000 + "\nshort\n")
+    reader = tail.TailReader(f"{tmp_path}/c.log", 150)
+    start = reader.initialOffset()
+    first = reader.latestOffset()
+    assert [p.stop for p in reader.partitions(start, first)] == [1001]
+    assert [p.stop for p in reader.partitions(first, reader.latestOffset())] == [1007]
+
+
 def test_throttle_stream_equals_batch(spark):
     rng = np.random.default_rng(1)
     t = np.sort(rng.uniform(0, 600, 300)).round(3)

@@ -250,13 +250,13 @@ def event_log(spark, sf_dir):
        WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 GROUP BY 1""",
 )
 def tail_stream(spark, sf_dir):
-    path, out, state = (scratch(spark, n).removeprefix("file:") for n in ("tail", "tailed", "state"))
+    path, out, state = (scratch(spark, n) for n in ("tail", "tailed", "state"))
     _event_lines(spark, sf_dir).write.text(path)
     spark.dataSource.register(TailSource)
     stream = spark.readStream.format("tail").option("path", f"{path}/*.txt").load()
     (
         logs.parse_events(stream).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", state).trigger(once=True).start().awaitTermination()
+        .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     )
     return spark.read.parquet(out).groupBy("type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("step").alias("steps")
