@@ -134,6 +134,45 @@ def test_hard_examples(spark, rows):
         assert sorted(r.id for r in got.collect()) == sorted(want)
 
 
+def test_hard_examples_with_one_common_loss(spark):
+    """Nine of ten rows of a batch share the loss at which it is cut: exact, and ranked in small chunks."""
+    n = 4000
+    pdf = pd.DataFrame({"k": "hot", "id": np.random.default_rng(0).permutation(n), "p": 1.0, "label": 1})
+    pdf["loss"] = np.where(pdf.id % 10 == 0, 2.0 + pdf.id % 7, 1.0)
+    df = spark.createDataFrame(pdf)
+    got = hard_examples.select_hard(df, ["k"], "p", "loss", "label", "id", min_kept=1500)
+    want = pdf.sort_values(["loss", "id"], ascending=[False, True]).head(1500)
+    assert sorted(r.id for r in got.collect()) == sorted(want.id)
+    tied = hard_examples.border_ranks(df.where("loss = 1.0"), ["k"], "id", target_rows=200)
+    assert tied.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 4 * 200
+    ranks = tied.select("id", "_rank").toPandas().sort_values("id")
+    assert list(ranks._rank) == list(range(1, len(ranks) + 1))
+
+
+@pytest.mark.parametrize("width", [3.0, 50.0, None])
+def test_look_ahead_pointers(spark, width, monkeypatch):
+    """Neighbours in the same, the next and far later chunks, gaps of many chunks, and the last rows."""
+    rng = np.random.default_rng(11)
+    parts = []
+    for key, n in (("a", 200), ("b", 3), ("c", 1)):
+        t = np.cumsum(rng.choice([0.2, 1.0, 40.0], n, p=[0.6, 0.35, 0.05]))
+        parts.append(pd.DataFrame({"k": key, "t": t, "v": rng.normal(size=n), "w": rng.normal(size=n)}))
+    pdf = pd.concat(parts, ignore_index=True).assign(id=lambda d: np.arange(len(d)))
+    hs = [0.5, 2.5, 0.0, 7.0]
+    monkeypatch.setattr(asof, "SLICE", 20)
+    out = asof.look_ahead(spark.createDataFrame(pdf), ["k"], "t", ["v", "w"], hs, "id", width=width)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(_hash") == 1
+    got = {r.id: r.ahead for r in out.collect()}
+    assert len(got) == len(pdf)
+    for _, g in pdf.groupby("k"):
+        for r in g.itertuples():
+            assert [x.h for x in got[r.id]] == sorted(hs)
+            for x in got[r.id]:
+                for c in ("v", "w"):
+                    want = np.interp(r.t + x.h, g.t, g[c]) if r.t + x.h <= g.t.max() else None
+                    assert (x[c] is None and want is None) or x[c] == pytest.approx(want)
+
+
 def test_weights_and_scores(spark):
     counts = spark.createDataFrame([(i, 1000) for i in range(8)], "train_id int, n bigint")
     w = [r.weight for r in histograms.class_weights(counts).collect()]

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trackhouse.catalog.base import events, query, table
+from trackhouse.functions.text import frame_path
 from trackhouse.operators import governance as gov
 from trackhouse.operators import roles
 from trackhouse.plans import segmentation
@@ -159,33 +160,39 @@ def _part_files(spark, sf_dir) -> str:
     return root
 
 
+_PATH_SQL = "'cam/' || CASE WHEN length(CAST(event_id AS VARCHAR)) >= 7 THEN CAST(event_id AS VARCHAR) ELSE lpad(CAST(event_id AS VARCHAR), 7, '0') END || '.jpg'"
+
+
 def _frames(spark, sf_dir):
     return events(spark, sf_dir).select(
         F.concat(F.lit("u"), "user_id").alias("route"),
         (F.col("ts_us") / 1e6).alias("t"),
         "event_id",
         "value",
+        frame_path(F.lit("cam"), F.col("event_id"), F.lit("0000000.jpg")).alias("frame_path"),
         F.when(F.col("event_id") % 7 == 0, "val").otherwise("train").alias("split"),
     )
 
 
 @query(
     "a5_waypoint_sink",
-    """SELECT 'u' || user_id AS route, count(*) AS frames, round(sum(value), 2) AS total FROM events GROUP BY 1""",
+    f"""SELECT 'u' || user_id AS route, count(*) AS frames, round(sum(value), 2) AS total, min({_PATH_SQL}) AS first_path, max({_PATH_SQL}) AS last_path
+        FROM events GROUP BY 1""",
 )
 def waypoint_sink(spark, sf_dir):
     path = scratch(spark, "waypoints")
     waypoints.write_waypoints(_frames(spark, sf_dir), path)
     return waypoints.read_waypoints(spark, path).groupBy("route").agg(
-        F.count(F.lit(1)).alias("frames"), F.round(F.sum("value"), 2).alias("total")
+        F.count(F.lit(1)).alias("frames"), F.round(F.sum("value"), 2).alias("total"),
+        F.min("frame_path").alias("first_path"), F.max("frame_path").alias("last_path"),
     )
 
 
-@query("a6_waypoint_source", "SELECT event_id, value FROM events WHERE user_id = 3")
+@query("a6_waypoint_source", f"SELECT event_id, value, {_PATH_SQL} AS frame_path FROM events WHERE user_id = 3")
 def waypoint_source(spark, sf_dir):
     path = scratch(spark, "waypoints")
     waypoints.write_waypoints(_frames(spark, sf_dir), path)
-    return waypoints.read_waypoints(spark, path, "u3").select("event_id", "value")
+    return waypoints.read_waypoints(spark, path, "u3").select("event_id", "value", "frame_path")
 
 
 @query(

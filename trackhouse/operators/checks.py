@@ -88,17 +88,29 @@ def check_row(name, ok, detail, severity: str = "error") -> list:
     ]
 
 
-def roll_up(checks: DataFrame) -> DataFrame:
-    """Overall verdict with the names of blocking failures and of warnings.
+#: Failing names that a verdict lists; it always counts all of them.
+LISTED = 20
 
-    ``collect_list`` skips NULL, so only failing names are gathered.
-    """
-    failed = ~F.col("ok")
-    blocking, warning = failed & (F.col("severity") == "error"), failed & (F.col("severity") == "warn")
-    names = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("name"))))
-    return checks.agg(
-        F.coalesce(~F.bool_or(blocking), F.lit(True)).alias("ok"),
-        F.count(F.lit(1)).alias("checks"),
-        names(blocking).alias("blocking_failures"),
-        names(warning).alias("warnings"),
+
+def roll_up(checks: DataFrame) -> DataFrame:
+    """Overall verdict: ``ok``, how many ``checks``, and the first names of blocking failures and of
+    warnings with their true numbers ``n_blocking`` and ``n_warnings``. Names beyond ``LISTED`` are rows
+    of ``failures``."""
+    blocking, warning = _failed("error"), _failed("warn")
+    verdict = checks.agg(
+        F.coalesce(~F.bool_or(blocking), F.lit(True)).alias("ok"), F.count(F.lit(1)).alias("checks"),
+        F.count_if(blocking).alias("n_blocking"), F.count_if(warning).alias("n_warnings"),
     )
+    first = lambda cond, out: checks.where(cond).orderBy("name").limit(LISTED).agg(F.sort_array(F.collect_list("name")).alias(out))
+    # Three tables of one row each.
+    joined = verdict.join(first(blocking, "blocking_failures"), F.lit(True)).join(first(warning, "warnings"), F.lit(True))
+    return joined.select("ok", "checks", "blocking_failures", "warnings", "n_blocking", "n_warnings")
+
+
+def failures(checks: DataFrame) -> DataFrame:
+    """Every failing check as a row."""
+    return checks.where(_failed("error") | _failed("warn")).select("name", "severity", "detail")
+
+
+def _failed(severity: str):
+    return F.coalesce(~F.col("ok"), F.lit(False)) & (F.col("severity") == severity)

@@ -5,10 +5,6 @@ needs a bounded reach is exact inside it. What does not is carried from chunk to
 few numbers: ``cut_chunks`` gives one per chunk and run, ``number_segments`` scans them once per key,
 and ``shape_chunks`` does the rest in one pass over the fixes. Valid headings are held there as far as
 the chunk reaches; ``carry_headings`` links what is left over the same way.
-
-Rows are dealt by a hash of ``(key, chunk)`` and sorted by it alone, which Spark does by radix; a task
-then puts many whole chunks in order of time and works on them at once, so the cost does not depend on
-how many short ones there are.
 """
 
 from __future__ import annotations
@@ -17,19 +13,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackhouse.functions import geometry as geo
+from trackhouse.operators.chunked import borders, dealt, whole_groups
 from trackhouse.operators.smoothing import ORDER, WINDOW, _smallest, weights
 from trackhouse.operators.timeline import Timeline
 
 #: Rows of whole chunks that are worked on at once.
 SLICE = 100_000
-#: The column that rows are dealt and sorted by.
-HASH = "_hash"
 #: A bus speed is set against the track's where this is faster, in segments of so many fixes.
 RATIO_LEAST_SPEED, RATIO_LEAST_ROWS = 2.0, 60
 
@@ -37,55 +31,12 @@ CUTS = "_part int, _fresh boolean, _n bigint, _lat0 double, _lon0 double, _steps
 FACTS = "_part int, segment int, seg_rows bigint, seg_lat0 double, seg_lon0 double, dt double"
 
 
-def _borders(table: pa.Table, names: Sequence[str]) -> np.ndarray:
-    """True where a row differs from the one before in any of ``names``; the first row does."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for name in names:
-        column = table[name].combine_chunks()
-        differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
-        new[1:] |= pc.fill_null(differs, False).to_numpy(zero_copy_only=False)
-        if column.null_count:
-            gone = column.is_null().to_numpy(zero_copy_only=False)
-            new[1:] |= gone[1:] != gone[:-1]
-    return new
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], group: Sequence[str], order: Sequence[str], rows: int = SLICE) -> Iterator[pa.Table]:
-    """Batches sorted by ``HASH`` as tables of about ``rows``, in order of ``group`` and then ``order``
-    (numbers, NULL last), that never part rows equal in ``group``."""
-    held, n = [], 0
-
-    def ordered(table: pa.Table) -> pa.Table:
-        keys = []
-        for name in (HASH, *group, *order):
-            column = table[name].combine_chunks()
-            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-                column = column.dictionary_encode(null_encoding="encode").indices
-            values = column.to_numpy(zero_copy_only=False)
-            keys.append(values if not column.null_count else np.where(np.isnan(values), np.inf, values))
-        return table.take(pa.array(np.lexsort(keys[::-1]))).drop_columns([HASH])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.num_rows
-        if n >= rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            last = int(np.flatnonzero(_borders(table, [HASH]))[-1])
-            if last:
-                yield ordered(table.slice(0, last))
-            held, n = table.slice(last).to_batches(), table.num_rows - last
-    if n:
-        yield ordered(pa.Table.from_batches(held).combine_chunks())
-
-
 class Chunks:
     """Sorted fixes of whole chunks, cut where the chunk changes or a step is longer than ``max_gap``."""
 
     def __init__(self, table: pa.Table, group: Sequence[str], t: str, own: str, max_gap: int):
         self.table = table
-        border = _borders(table, group)
+        border = borders(table, group)
         self.group = np.cumsum(border) - 1
         self.t = table[t].to_numpy()
         self.own = np.asarray(table[own].to_numpy(zero_copy_only=False), bool)
@@ -109,19 +60,14 @@ class Chunks:
         return self.table[name].to_numpy().astype(np.float64)
 
 
-def dealt(df: DataFrame, tl: Timeline) -> DataFrame:
-    """``df`` with ``HASH``, the rows of a chunk together."""
-    return df.withColumn(HASH, F.xxhash64(*tl.group)).repartition(HASH).sortWithinPartitions(HASH)
-
-
 def cut_chunks(copies: DataFrame, tl: Timeline, max_gap: int, own: str) -> DataFrame:
     """One row per chunk and run of own fixes: ``_part`` counts runs in the chunk, ``_fresh`` is false
     where the run began before it; ``_steps`` and ``_counts`` are its steps and how often each occurs."""
     (key,) = tl.keys
-    span = max_gap + 1
+    span, at_once = max_gap + 1, SLICE
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, tl.group, [tl.order]):
+        for table in whole_groups(batches, tl.group, [tl.order], at_once):
             chunks = Chunks(table, tl.group, tl.order, own, max_gap)
             lat, lon = chunks.column("lat"), chunks.column("lon")
             inside = np.flatnonzero(chunks.own & ~chunks.new)
@@ -136,7 +82,7 @@ def cut_chunks(copies: DataFrame, tl: Timeline, max_gap: int, own: str) -> DataF
             names = [key, tl.chunk, *(c.split()[0] for c in CUTS.split(", "))]
             yield from pa.table(columns, names=names).to_batches()
 
-    rows = dealt(copies.select(key, tl.chunk, tl.order, "lat", "lon", own), tl)
+    rows = dealt(copies.select(key, tl.chunk, tl.order, "lat", "lon", own), tl.group)
     return rows.mapInArrow(cut, f"`{key}` {copies.schema[key].dataType.simpleString()}, {tl.chunk} bigint, {CUTS}")
 
 
@@ -237,11 +183,13 @@ def shape_chunks(
     added = [("segment", T.IntegerType()), ("seg_rows", T.LongType()), ("seg_end", T.LongType()), ("_edge", T.BooleanType()), ("_whole", T.BooleanType())]
     added += [("ratio_rows", T.LongType()), ("ratio", T.DoubleType()), *((name, T.DoubleType()) for name in doubles)]
     schema = T.StructType([*passed, *(T.StructField(name, kind) for name, kind in added)])
+    at_once = SLICE
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for both in whole_groups(batches, tl.group, ["_part", tl.order]):
+        for both in whole_groups(batches, tl.group, ["_part", tl.order], at_once):
             is_fact = both["_part"].is_valid().to_numpy()
-            groups = np.cumsum(_borders(both, tl.group)) - 1
+            groups = np.cumsum(borders(both, tl.group)) - 1
+            # Numbers of chunks, shared by facts and fixes.
             known, rows = both.filter(pa.array(is_fact)), both.filter(pa.array(~is_fact))
             if known.num_rows and rows.num_rows:
                 yield from _table(*_shaped(rows, known, groups[is_fact], groups[~is_fact]), passed, schema).to_batches()
@@ -305,7 +253,7 @@ def shape_chunks(
     fixes = copies.select(*copies.columns, *empty)
     lines = facts.select(*[facts[f.name].alias(f.name) if f.name in tl.group else F.lit(None).cast(f.dataType).alias(f.name) for f in copies.schema.fields],
                          *[F.col(c.split()[0]) for c in FACTS.split(", ")])
-    return dealt(fixes.unionByName(lines), tl).mapInArrow(shape, schema)
+    return dealt(fixes.unionByName(lines), tl.group).mapInArrow(shape, schema)
 
 
 def _table(rows: pa.Table, values: dict[str, np.ndarray], passed: list[T.StructField], schema: T.StructType) -> pa.Table:

@@ -19,6 +19,7 @@ from trackhouse.operators import inventory as inv
 from trackhouse.operators import rates
 from trackhouse.operators.governance import UNCONFIRMED
 from trackhouse.operators.pairing import capped_listing, first_of, pair
+from trackhouse.operators.roles import first_seen_columns
 from trackhouse.session import durable
 from trackhouse.sources import tables as tab
 from trackhouse.sources.files import annotated_tree, file_tree
@@ -94,17 +95,12 @@ def propose_field_map(found: Discovery) -> DataFrame:
     rows = []
     for kind in ("gps", "obd"):
         of_kind = found.tables.where((F.col("kind") == kind) & F.col("route").isNotNull())
-        columns = of_kind.groupBy("route").agg(
-            F.count(F.lit(1)).alias("_tables"),
-            # A few tables per route, each with a few columns, in path order.
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sort_array(F.collect_list(F.struct("path", "columns"))), lambda x: x["columns"]
-                    )
-                )
-            ).alias("columns"),
+        names = of_kind.select("route", "path", F.posexplode("columns").alias("pos", "name"))
+        # Names are folded before they are listed, so a list is as long as there are different names.
+        seen = first_seen_columns(names, "route", "path", "pos", "name").groupBy("route").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]).alias("columns")
         )
+        columns = of_kind.groupBy("route").agg(F.count(F.lit(1)).alias("_tables")).join(seen, "route", "left")
         hz = F.coalesce(F.col("hz").cast("string"), F.lit("?"))
         rows.append(
             _first_tables(found, kind)

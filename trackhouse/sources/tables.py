@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackhouse.functions.text import clock_seconds, integer, number
 from trackhouse.operators.roles import match_roles, table_kinds
+from trackhouse.sources.storage import filesystem, qualified
+from trackhouse.sources.tree import walk
 
 DELIMITERS = (",", ";", "\t")
+#: Bytes read at once in search of the end of a header.
+HEADER_BLOCK = 8192
 
 
 def raw_lines(
@@ -17,8 +26,8 @@ def raw_lines(
 ) -> DataFrame:
     """Every line with its file, its place in the file and whether it is the first.
 
-    ``pos`` grows with the place of the line: the block's offset in the file, then the order
-    inside the block.
+    ``pos`` grows with the place of the line: the block's offset in the file, in steps of 64 KiB, then
+    the order inside the block, packed into one number.
     """
     meta = "_metadata"
     reader = spark.read.option("recursiveFileLookup", "true")
@@ -32,16 +41,31 @@ def raw_lines(
             (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_nth"),
             F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
         )
-        .withColumn("pos", F.struct("_block", "_nth"))
+        .withColumn("pos", F.shiftleft(F.shiftright("_block", 16), 33) + F.col("_nth"))
         .drop("_nth")
     )
 
 
+def first_line(path: str) -> str:
+    """The first line of a text file, compressed or not; ``path`` is a URL as Spark's scans give it."""
+    store, place = filesystem(unquote(path))
+    with store.open_input_stream(place) as stream, io.BufferedReader(stream, HEADER_BLOCK) as f:
+        line = f.readline().decode("utf-8", "replace").rstrip("\n")
+    return line.partition("\r")[0].removeprefix("\ufeff")
+
+
+def _with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        path, at, rows = batch.columns
+        header = pa.array([first_line(p) for p in path.to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([path, header, at, rows], names=["path", "header", "header_pos", "rows"])
+
+
 def sniff(lines: DataFrame) -> DataFrame:
     """Per table: delimiter, stripped header columns and row count.
 
-    The delimiter is the one the header holds most of; comma when it holds none. A header line
-    is found with a minimum per file, so no file is pulled into one task.
+    The delimiter is the one the header holds most of; comma when it holds none. Lines are only counted,
+    by hash; the header itself is read from the start of each file, no further than its first line.
     """
     counts = [
         F.struct(
@@ -52,11 +76,10 @@ def sniff(lines: DataFrame) -> DataFrame:
         for i, d in enumerate(DELIMITERS)
     ]
     best = F.array_max(F.array(*counts))
-    tables = lines.groupBy("path").agg(
-        F.min_by("line", "pos").alias("header"),
-        F.min("pos").alias("header_pos"),
-        (F.count_if(F.trim("line") != "") - 1).alias("rows"),
+    counted = lines.groupBy("path").agg(
+        F.min("pos").alias("header_pos"), (F.count_if(F.trim("line") != "") - 1).alias("rows")
     )
+    tables = counted.mapInArrow(_with_header, "path string, header string, header_pos bigint, rows bigint")
     return (
         tables.withColumn("delimiter", best["d"])
         .withColumn(
@@ -71,20 +94,13 @@ def sniff(lines: DataFrame) -> DataFrame:
 
 
 def empty_tables(spark: SparkSession, root: str, tables: DataFrame, glob: str) -> DataFrame:
-    """Tables of length 0. Spark's scans skip them, so they are told from the file index.
-
-    Only names of table files pass through the driver, where the file index holds them anyway.
-    """
-    listed = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-    )
-    names = pa.table({"path": pa.array(listed.inputFiles(), pa.string())})
-    # The index and the scan spell the scheme differently ("file:/" and "file:///").
-    plain = F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("_plain")
-    missing = spark.createDataFrame(names).select("path", plain).join(
-        tables.select(plain), "_plain", "left_anti"
-    )
-    return missing.select("path", F.lit("file is empty").alias("error"))
+    """Tables of length 0, which Spark's scans skip: they are told from the file tree. ``glob`` is a
+    pattern of names such as ``*.{csv,txt}``."""
+    base = qualified(spark, root).rstrip("/")
+    alternatives = re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".").replace(r"\{", "(").replace(r"\}", ")").replace(",", "|")
+    name = F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name"))
+    found = walk(spark, base).where((F.col("length") == 0) & F.col("name").rlike(f"^{alternatives}$") & ~F.col("name").rlike("^[._]"))
+    return found.select(F.concat(F.lit(f"{base}/"), name).alias("path"), F.lit("file is empty").alias("error"))
 
 
 def headers(tables: DataFrame) -> DataFrame:

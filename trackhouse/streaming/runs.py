@@ -53,24 +53,26 @@ def stale_alerts(
 
     ``at`` is an event-time column with a watermark; a timer per run fires when the watermark
     passes the last event plus ``after``. The latest status is that of the last line where ``line``
-    names the place of a row in its log, else that of the latest time.
+    names the place of a row in its log, else that of the latest time; its place is kept, so an earlier
+    line that comes in a later micro-batch does not replace it.
     """
     order = line or at
     schema = f"{run} string, since timestamp, state string"
 
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, current, stale = state.get if state.exists else (0, None, False)
+        last, current, stale, spot = state.get if state.exists else (0, None, False, None)
         if state.hasTimedOut:
-            state.update((last, current, True))
+            state.update((last, current, True, spot))
             yield pd.DataFrame({run: [key[0]], "since": [pd.Timestamp(last, unit="ms")], "state": ["stale"]})
             return
-        before, running, news, spot = last, current == "running", [], None
+        before, running, news = last, current == "running", []
         for pdf in batches:
             known = pdf[pdf[status].notna()]
             if len(known):
                 top = known.loc[known[order].idxmax()]
-                if spot is None or top[order] > spot:
-                    spot, current = top[order], top[status]
+                place = int(top[order].value if isinstance(top[order], pd.Timestamp) else top[order])
+                if spot is None or place > spot:
+                    spot, current = place, top[status]
             news.append(int(pdf[at].min().value // 1_000_000))
             last = max(last, int(pdf[at].max().value // 1_000_000))
         # The event that ends a silence may arrive before the timer of that silence fired.
@@ -80,13 +82,13 @@ def stale_alerts(
         if rows:
             since, what = zip(*rows)
             yield pd.DataFrame({run: key[0], "since": pd.to_datetime(since, unit="ms"), "state": what})
-        state.update((last, current, False))
+        state.update((last, current, False, spot))
         due = last + int(after * 1000)
         if current == "running" and due > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(due)
 
     return stream.select(F.col(run).cast("string"), at, status, *([line] if line else [])).groupBy(run).applyInPandasWithState(
-        watch, schema, "last long, status string, stale boolean", "append",
+        watch, schema, "last long, status string, stale boolean, spot long", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
