@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackhouse.llm import language, minhash, packing, repeats, toxicity
+from trackhouse.llm import language, minhash, packing, repeats, toxicity, workers
 from trackhouse.llm.compression import remainder
 from trackhouse.session import durable, ensure_checkpoint_dir
 
@@ -80,6 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
+        if number:
+            workers.release(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
