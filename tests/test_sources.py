@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trackhouse.operators import governance as gov
 from trackhouse.operators import taxonomy
 from trackhouse.plans import inventory, labelling
-from trackhouse.sources import documents, files, logs, shards, tables, tree, waypoints
+from trackhouse.sources import documents, files, logs, manifest, shards, tables, tree, waypoints
 
 
 def scratch():
@@ -146,6 +146,43 @@ def test_confirmations_survive_only_unchanged(spark):
         gov.set_field(fields, "d0", "gps.time", column="nope")
 
 
+def test_manifest_versions(spark):
+    """Nested documents read back, edits and re-scans keep confirmations, and late writers are told."""
+    root, folder = sensor_tree(), scratch()
+    found = inventory.discover(spark, root)
+    fields = inventory.propose_field_map(found)
+    tabs = found.tables.select("path", "route", "kind", "rows", "columns")
+    with pytest.raises(FileNotFoundError):
+        manifest.read(spark, folder)
+    assert manifest.save(fields, folder, tabs) == 1
+    documents, version = manifest.read(spark, folder)
+    assert version == 1 and {r.kind for r in documents.collect()} == {"route", "table"}
+    key = lambda df: sorted((r.route, r.field, r.proposed or "", r.state, str(r.columns)) for r in df.collect())
+    assert key(manifest.field_map(documents)) == key(fields)
+    assert manifest.tables(documents).count() == tabs.count()
+
+    assert manifest.edit(spark, folder, lambda f: gov.confirm_all(f)[0]) == 2
+    gov.require_confirmed(manifest.field_map(manifest.read(spark, folder)[0]))
+    moved = fields.withColumn("proposed", F.when(F.col("field") == "gps.lat", "lat2").otherwise(F.col("proposed")))
+    assert manifest.save(moved, folder, tabs) == 3
+    states = {r.field: r.state for r in manifest.field_map(manifest.read(spark, folder)[0]).collect()}
+    assert states.pop("gps.lat") == "unconfirmed" and set(states.values()) == {"confirmed"}
+    assert key(manifest.field_map(manifest.read(spark, folder, 1)[0])) == key(fields)
+
+    # Two who read version 3: the second is told, and what the first wrote stays.
+    late = manifest.compose(fields, tabs)
+    assert manifest.edit(spark, folder, lambda f: gov.set_field(f, "d0", "gps.lat", column="longitude")) == 4
+    with pytest.raises(manifest.ManifestConflict, match="not the latest"):
+        manifest.write(late, folder, 3)
+    # A number that is taken but not filled: not read, not overwritten, but cleared once its writer is long gone.
+    claim = put(folder, "00000005.version", "")
+    assert manifest.current(spark, folder) == 4
+    with pytest.raises(manifest.ManifestConflict, match="being published"):
+        manifest.write(late, folder, 4)
+    os.utime(claim, (1, 1))
+    assert manifest.write(late, folder, 4) == 5 and manifest.current(spark, folder) == 5
+
+
 def test_annotated_tree(spark):
     root = scratch()
     for i in range(30):

@@ -232,6 +232,32 @@ def test_stream_alignment_equals_batch(spark):
     assert np.allclose(got.v.to_numpy(float), want.out.to_numpy(float), equal_nan=True)
 
 
+def test_alignment_waits_for_far_neighbours(spark):
+    """Rows out of order over micro-batches, neighbours hours away, no reach: what the batch form gives."""
+    rng = np.random.default_rng(4)
+    base = pd.Timestamp("2024-01-01")
+    st = np.sort(np.concatenate([rng.uniform(0, 100, 20), rng.uniform(20_000, 20_050, 10)])).round(3)
+    ft = np.concatenate([rng.uniform(-5, 130, 60), rng.uniform(19_990, 20_060, 30)]).round(3)
+    when = lambda a: [base + pd.Timedelta(seconds=float(x)) for x in a]
+    obd = pd.DataFrame({"route": ["a", "b"] * 15, "at": when(st), "v": st * 3})
+    fixes = pd.DataFrame({"route": ["a", "a", "b"] * 30, "frame": range(90), "at": when(ft)})
+    cuts = lambda d, n: [d.iloc[i::n] for i in range(n)]
+    far = pd.DataFrame({"route": ["end"], "frame": [999], "at": when([9e6])})
+    cast = lambda d: d.withColumn("at", F.col("at").cast("timestamp"))
+    got = drain(
+        sensors.align(
+            cast(stream_of(spark, *cuts(fixes, 3), far)), cast(stream_of(spark, *cuts(obd, 3))), "route", "frame", "at", "v",
+            tolerance_s=2.0, late="10 hours", patience_s=1e6,
+        )
+    )
+    got = got[got.frame != 999].sort_values("frame")
+    rows = spark.createDataFrame(pd.DataFrame({"route": fixes.route, "frame": fixes.frame, "t": ft}))
+    samples = spark.createDataFrame(pd.DataFrame({"route": obd.route, "t": st, "v": obd.v}))
+    want = asof.interpolate(rows, samples, ["route"], "t", "v", 2.0, "out", width=5.0).toPandas().sort_values("frame")
+    assert list(got.frame) == list(want.frame)
+    assert np.allclose(got.v.to_numpy(float), want.out.to_numpy(float), equal_nan=True, atol=1e-6)
+
+
 def test_latest_values_stream(spark):
     pdf = pd.DataFrame({"run": "r", "name": ["l", "l", "m"], "value": [1.0, 2.0, 5.0], "pos": [0, 1, 2]})
     got = drain(runs.latest_values(stream_of(spark, pdf), ["run", "name"], "value", "pos"), "complete")

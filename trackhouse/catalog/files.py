@@ -18,7 +18,7 @@ from trackhouse.operators import governance as gov
 from trackhouse.operators import roles
 from trackhouse.plans import segmentation
 from trackhouse.session import ensure_checkpoint_dir
-from trackhouse.sources import documents, files, logs, shards, storage, tables, waypoints
+from trackhouse.sources import documents, files, logs, manifest, shards, storage, tables, waypoints
 from trackhouse.sources.tail import TailSource
 from trackhouse.streaming import sensors
 
@@ -366,6 +366,29 @@ def _field_map(spark, sf_dir):
     )
 
 
+@query(
+    "a9_manifest_store",
+    _MAP_SQL
+    + """SELECT route, field, CASE WHEN c_custkey % 7 = 0 THEN 'q' ELSE 'p' END || c_custkey AS proposed,
+         CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN (c_custkey + length(field)) % 3 = 0 THEN 'unconfirmed' ELSE 'confirmed' END ELSE 'confirmed' END AS state, 3 AS version
+         FROM m JOIN (SELECT 'c' || c_custkey AS route, c_custkey FROM customer) USING (route)""",
+)
+def manifest_store(spark, sf_dir):
+    """Written, confirmed as a whole, scanned again with other proposals for every seventh route, and read back."""
+    folder = scratch(spark, "manifest")
+    none = F.array().cast("array<string>")
+    first = _field_map(spark, sf_dir).withColumns(
+        {"confidence": F.lit("exact"), "candidates": none, "columns": none, "evidence": F.lit("")}
+    ).select(*[c.split(" ")[0] for c in gov.FIELD_MAP_SCHEMA.split(", ")])
+    manifest.save(first, folder)
+    manifest.edit(spark, folder, lambda fields: gov.confirm_all(fields)[0])
+    moved = F.regexp_extract("route", r"(\d+)", 1).cast("long") % 7 == 0
+    again = first.withColumn("proposed", F.when(moved, F.regexp_replace("proposed", "^p", "q")).otherwise(F.col("proposed")))
+    manifest.save(again, folder)
+    documents, version = manifest.read(spark, folder)
+    return manifest.field_map(documents).select("route", "field", "proposed", "state", F.lit(version).alias("version"))
+
+
 @query(
     "j2_pending_fields",
     _MAP_SQL
@@ -433,20 +456,33 @@ def rolling_telemetry(spark, sf_dir):
     WITH e AS (SELECT *, epoch_us(ts) AS t FROM events),
     f AS (SELECT event_id, user_id, t FROM e WHERE event_type = 'click'), s AS (SELECT user_id, t AS st, value AS v FROM e WHERE event_type = 'view'),
     l AS (SELECT f.*, st AS lt, v AS lv FROM f ASOF LEFT JOIN s ON f.user_id = s.user_id AND f.t >= s.st),
-    b AS (SELECT l.*, st AS rt, v AS rv FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.t <= s.st),
-    r AS (SELECT event_id, user_id, t, CASE WHEN t - lt <= 172800000000 THEN lt END AS lt, CASE WHEN t - lt <= 172800000000 THEN lv END AS lv,
-                 CASE WHEN rt - t <= 172800000000 THEN rt END AS rt, CASE WHEN rt - t <= 172800000000 THEN rv END AS rv FROM b)
+    b AS (SELECT l.*, st AS rt, v AS rv FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.t <= s.st)
     SELECT event_id, user_id, round(CASE WHEN coalesce(t - lt <= 86400000000, false) OR coalesce(rt - t <= 86400000000, false) THEN
-        CASE WHEN lt IS NULL THEN rv WHEN rt IS NULL OR rt = lt THEN lv ELSE lv + (t - lt) * (rv - lv) / (rt - lt) END END, 5) AS value FROM r
+        CASE WHEN lt IS NULL THEN rv WHEN rt IS NULL OR rt = lt THEN lv ELSE lv + (t - lt) * (rv - lv) / (rt - lt) END END, 5) AS value FROM b
     """,
 )
 def stream_alignment(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("at", F.timestamp_micros("ts_us"))
-    fixes, samples = e.where("event_type = 'click'"), e.where("event_type = 'view'")
-    out = sensors.align(
-        fixes, samples, "user_id", "event_id", "at", "value", tolerance_s=86400, reach_s=172800, late="1 minute"
+    """A stream of events in files: clicks take the value between the views around them, however far.
+    One row far ahead closes the stream, so that what still waits for a right neighbour goes out."""
+    place, out, state = (scratch(spark, n) for n in ("aligned-in", "aligned", "state"))
+    e = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value", F.timestamp_micros("ts_us").alias("at"))
+    e.repartition(4, "event_id").write.parquet(place)
+    end = spark.range(1).select(
+        (-F.col("id") - 1).alias("event_id"), F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("click").alias("event_type"),
+        F.lit(0.0).cast(e.schema["value"].dataType).alias("value"), F.timestamp_seconds(F.lit(4102444800)).alias("at"),
+    )
+    end.coalesce(1).write.mode("append").parquet(place)
+    rows = spark.readStream.schema(e.schema).parquet(place)
+    got = sensors.align(
+        rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), "user_id", "event_id", "at", "value",
+        tolerance_s=86400, late="3650 days", patience_s=86400.0 * 365,
+    )
+    (
+        got.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        .trigger(availableNow=True).start().awaitTermination()
     )
-    return out.withColumn("value", F.round("value", 5))
+    done = spark.read.schema(got.schema).parquet(out)
+    return done.where("event_id >= 0").select("event_id", "user_id", F.round(F.nanvl("value", F.lit(None).cast("double")), 5).alias("value"))
 
 
 @query(

@@ -14,6 +14,8 @@ CONFIRMED, UNCONFIRMED = "confirmed", "unconfirmed"
 GPS_FIELDS = ("gps.time", "gps.lat", "gps.lon", "gps.frame")
 OBD_FIELDS = ("obd.time", "obd.speed")
 SCALAR_FIELDS = ("clock_offset", "obd_tolerance")
+#: Open fields and routes that an error names; it always tells how many there are.
+LISTED = 50
 FIELD_MAP_SCHEMA = (
     "route string, field string, kind string, proposed string, confidence string, "
     "candidates array<string>, columns array<string>, state string, confirmed_s double, "
@@ -153,22 +155,25 @@ def confirm_all(field_map: DataFrame, route: str | None = None) -> tuple[DataFra
 
 
 def require_confirmed(field_map: DataFrame, route: str | None = None) -> None:
-    """Refuse to label while a required mapping is open, naming every open one."""
+    """Refuse to label while a required mapping is open: says how many are and names the first ``LISTED``;
+    ``pending`` has them all as rows."""
     scope = field_map if route is None else field_map.where(F.col("route") == route)
     if route is not None and scope.isEmpty():
-        known = sorted(r.route for r in field_map.select("route").distinct().collect())
-        raise ValueError(f"route {route!r} is not in the field map. Known routes: {known}")
+        routes = field_map.select("route").distinct()
+        known = [r.route for r in routes.orderBy("route").limit(LISTED).collect()]
+        raise ValueError(f"route {route!r} is not in the field map. Known routes ({routes.count()}): {known}")
     open_rows = pending(scope)
     with_obd = scope.where(F.startswith("field", F.lit("obd."))).select("route").distinct()
     measured = scope.where(F.col("field") == "clock_offset").select("route")
     unmeasured = with_obd.join(measured, "route", "left_anti").select(
         "route", F.lit("clock_offset").alias("field"), F.lit(None).cast("string").alias("proposed")
     )
-    rows = open_rows.unionByName(unmeasured).orderBy("route", "field").collect()
+    every = open_rows.unionByName(unmeasured)
+    rows = every.orderBy("route", "field").limit(LISTED).collect()
     if rows:
         lines = [
             f"{r.route}.{r.field} ({r.proposed})" if r.proposed is not None
             else f"{r.route}.{r.field}: nothing proposed"
             for r in rows
         ]
-        raise ValueError("required mappings are unconfirmed:\n  - " + "\n  - ".join(lines))
+        raise ValueError(f"{every.count()} required mappings are unconfirmed:\n  - " + "\n  - ".join(lines))

@@ -9,6 +9,9 @@ from trackhouse.functions.text import file_kind, file_suffix
 from trackhouse.sources.storage import qualified
 from trackhouse.sources.tree import walk
 
+#: Runs that an error names.
+LISTED = 20
+
 
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
     """``path, rel, dir, name, suffix, kind, length, modified`` of every file below ``root``, empty ones
@@ -67,5 +70,5 @@ def find_run(runs: DataFrame, reference: str) -> str:
         return newest
     if not runs.where(F.col("run") == reference).isEmpty():
         return reference
-    available = [r.run for r in runs.select("run").orderBy("run").collect()]
-    raise FileNotFoundError(f"run {reference!r} not found. Available: {available or 'none'}")
+    available = [r.run for r in runs.select("run").orderBy(F.desc("run")).limit(LISTED).collect()]
+    raise FileNotFoundError(f"run {reference!r} not found. Available ({runs.count()}, newest first): {available or 'none'}")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def trips(fixes: DataFrame, route: str, at: str, late: str, gap: str = "340 milliseconds") -> DataFrame:
@@ -41,53 +47,79 @@ def align(
     value: str,
     *,
     tolerance_s: float,
-    reach_s: float,
     late: str,
+    reach_s: float | None = None,
+    patience_s: float | None = None,
 ) -> DataFrame:
-    """Bus speed at every fix, by the batch rule, for neighbours at most ``reach_s`` away.
+    """Bus speed at every fix, by the batch rule: on the line between both neighbours, wherever they
+    lie, if one of them is within ``tolerance_s``; NULL otherwise.
 
-    Both sides carry a watermark, so state is bounded by ``reach_s`` and the lateness. A fix
-    without any sample in reach comes out with NULL.
+    Both streams are one stateful stream by route. A fix waits until the watermark has passed a sample
+    at or after it, as no earlier one can come then. With ``patience_s`` one that has waited so long
+    goes out with its left neighbour alone; with ``reach_s`` samples further away than that do not
+    count at all, and fixes wait no longer. The state of a route is its waiting fixes and the samples
+    from the one before the first of them on, so rows kept and made grow with rows read.
     """
-    # Joining on the route alone would put a busy route into one task: the time slot splits it.
-    # A sample is offered to its own slot and to both neighbours, which covers the reach.
-    slot = lambda c: F.floor(F.unix_micros(c) / (reach_s * 1e6)).cast("bigint")
-    f = fixes.select(
-        route, row_id, F.col(at).alias("_at"), slot(at).alias("_slot")
-    ).withWatermark("_at", late)
-    s = samples.select(
-        F.col(route).alias("_route"),
-        F.col(at).alias("_s"),
-        F.col(value).alias("_v"),
-        F.explode(F.array(slot(at) - 1, slot(at), slot(at) + 1)).alias("_of"),
-    ).withWatermark("_s", late)
-    span = F.expr(f"interval {reach_s} seconds")
-    near = (
-        (F.col(route) == F.col("_route"))
-        & (F.col("_slot") == F.col("_of"))
-        & (F.col("_s") >= F.col("_at") - span)
-        & (F.col("_s") <= F.col("_at") + span)
-    )
-    before, after = F.col("_s") <= F.col("_at"), F.col("_s") >= F.col("_at")
-    when = F.col("_s")
-    found = (
-        f.join(s, near, "left_outer")
-        .groupBy(route, row_id, "_at")
-        .agg(
-            F.max(F.when(before, when)).alias("lt"),
-            F.max_by("_v", F.when(before, when)).alias("lv"),
-            F.min(F.when(after, when)).alias("rt"),
-            F.min_by("_v", F.when(after, when)).alias("rv"),
-        )
-    )
-    secs = lambda c: F.unix_micros(c) / 1e6
-    t, lt, rt = secs("_at"), secs("lt"), secs("rt")
-    close = F.coalesce(t - lt <= tolerance_s, F.lit(False)) | F.coalesce(
-        rt - t <= tolerance_s, F.lit(False)
-    )
-    line = (
-        F.when(F.col("lt").isNull(), F.col("rv"))
-        .when(F.col("rt").isNull() | (rt == lt), F.col("lv"))
-        .otherwise(F.col("lv") + (t - lt) * (F.col("rv") - F.col("lv")) / (rt - lt))
-    )
-    return found.select(route, row_id, F.when(close, line).alias(value))
+    patience = patience_s if patience_s is not None else reach_s
+    us = lambda seconds: None if seconds is None else round(seconds * 1e6)
+    tolerance, reach, patience = us(tolerance_s), us(reach_s), us(patience)
+    kind = fixes.schema[row_id].dataType
+    rows = fixes.select(route, F.col(at).alias("_at"), F.col(row_id).alias("_id"), F.lit(0.0).alias("_v"), F.lit(True).alias("_fix"))
+    # A sample's id stands for nothing, but NULL among whole numbers would make them floats in pandas.
+    points = samples.select(route, F.col(at).alias("_at"), F.lit(0).cast(kind).alias("_id"), F.col(value).cast("double").alias("_v"), F.lit(False).alias("_fix"))
+    both = rows.unionByName(points).where(F.col("_at").isNotNull()).withWatermark("_at", late)
+    out = T.StructType([fixes.schema[route], fixes.schema[row_id], T.StructField(value, T.DoubleType())])
+
+    def pair(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        st, sv, ft, fid = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        if not state.hasTimedOut:
+            for pdf in batches:
+                t = pdf["_at"].astype("datetime64[us]").astype("int64").to_numpy()
+                fix = pdf["_fix"].to_numpy(bool)
+                st += t[~fix].tolist()
+                sv += pdf["_v"].to_numpy(float)[~fix].tolist()
+                ft += t[fix].tolist()
+                fid += pdf["_id"][fix].tolist()
+        now = state.getCurrentWatermarkMs() * 1000
+        order = np.argsort(np.array(st, np.int64), kind="stable")
+        st, sv = np.array(st, np.int64)[order], np.array(sv, float)[order]
+        ft = np.array(ft, np.int64)
+        done, found = _between(st, sv, ft, now, tolerance, reach, patience)
+        if done.any():
+            ids = [i for i, d in zip(fid, done) if d]
+            yield pd.DataFrame({route: [key[0]] * len(ids), row_id: pd.Series(ids, dtype=object if isinstance(kind, T.StringType) else None), value: found[done]})
+        fid = [i for i, d in zip(fid, done) if not d]
+        ft = ft[~done]
+        # Samples that no waiting or later fix can need are before the last one up to here.
+        first = int(np.searchsorted(st, min(now, ft.min() if len(ft) else now), "right")) - 1
+        st, sv = st[max(0, first) :], sv[max(0, first) :]
+        state.update((st.tolist(), sv.tolist(), ft.tolist(), fid))
+        # The next moment that settles something: a sample passed by the watermark, or patience at its end.
+        due = st[st > now][:1].tolist() if len(ft) else []
+        due += [int(ft.min()) + patience] if len(ft) and patience is not None else []
+        due = [d for d in due if d > now]
+        if due:
+            state.setTimeoutTimestamp(min(due) // 1000 + 1)
+
+    stored = f"st array<bigint>, sv array<double>, ft array<bigint>, fid array<{kind.simpleString()}>"
+    return both.groupBy(route).applyInPandasWithState(pair, out, stored, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _between(st: np.ndarray, sv: np.ndarray, ft: np.ndarray, now: int, tolerance: int, reach: int | None, patience: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the fixes at ``ft`` are settled at watermark ``now``, and their values."""
+    n = len(st)
+    right = np.searchsorted(st, ft, "left")
+    left = np.searchsorted(st, ft, "right") - 1
+    rt, lt = np.append(st, 0)[np.minimum(right, n)], np.append(st, 0)[left]
+    has_right, has_left = (right < n) & (rt <= now), left >= 0
+    tired = np.zeros(len(ft), bool) if patience is None else ft + patience <= now
+    done = (ft <= now) & (has_right | tired)
+    if reach is not None:
+        has_right &= rt - ft <= reach
+        has_left &= ft - lt <= reach
+    rv, lv = np.append(sv, np.nan)[np.minimum(right, n)], np.append(sv, np.nan)[left]
+    near = (has_left & (ft - lt <= tolerance)) | (has_right & (rt - ft <= tolerance))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        line = np.where(rt == lt, lv, lv + (ft - lt) * (rv - lv) / (rt - lt))
+    value = np.where(has_left & has_right, line, np.where(has_left, lv, rv))
+    return done, np.where(near, value, np.nan)
