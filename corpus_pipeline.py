@@ -2,6 +2,11 @@
 
 Every stage takes all that the one before it kept and, but for the last, returns the columns of
 documents. Stages are written as Parquet and read again, so a lost executor costs one stage at most.
+
+Null and empty texts, and texts without a letter, have no language and go in the first stage; the other
+stages would keep them. Texts of any length are read whole. Rows are judged one by one, repeated ones
+too: of equal rows the near-copy stage keeps one. Ties go as the operator of the stage says. An empty
+table gives an empty result in every stage, and other columns travel along until packing.
 """
 
 from __future__ import annotations
