@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackhouse.functions import text
 from trackhouse.operators import (
-    asof, hard_examples, histograms, latency, metrics, pairing, ranking, rates, runlog,
+    asof, checks, hard_examples, histograms, latency, metrics, pairing, ranking, rates, runlog,
 )
 from trackhouse.operators.heading import hold_or_backfill
 from trackhouse.operators.segments import assign_segments, segment_rows
@@ -173,6 +173,22 @@ def test_look_ahead_pointers(spark, width, monkeypatch):
                     assert (x[c] is None and want is None) or x[c] == pytest.approx(want)
 
 
+def test_order_errors_and_verdicts_name_a_few_and_count_all(spark):
+    rows = [(f"r{i:02d}", i % 2, False, False) for i in range(60)]
+    found = spark.createDataFrame(rows, "route string, duplicates int, frame_steps_back boolean, time_not_advancing boolean")
+    with pytest.raises(ValueError, match="fixes of 30 routes") as error:
+        checks.require_order(found)
+    assert str(error.value).count("repeated frames") == checks.LISTED and "r01" in str(error.value)
+    checks.require_order(found.where("duplicates = 0"))
+    names = [(f"c{i:02d}", i % 3 != 0, "d", "warn" if i % 2 else "error") for i in range(90)]
+    rules = spark.createDataFrame(names, "name string, ok boolean, detail string, severity string")
+    verdict = checks.roll_up(rules).first()
+    assert (verdict.ok, verdict.checks, verdict.n_blocking, verdict.n_warnings) == (False, 90, 15, 15)
+    assert verdict.blocking_failures == [f"c{i:02d}" for i in range(0, 90, 6)] and checks.failures(rules).count() == 30
+    many = rules.withColumn("ok", F.lit(False))
+    assert len(checks.roll_up(many).first().warnings) == checks.LISTED and checks.roll_up(many).first().n_warnings == 45
+
+
 def test_weights_and_scores(spark):
     counts = spark.createDataFrame([(i, 1000) for i in range(8)], "train_id int, n bigint")
     w = [r.weight for r in histograms.class_weights(counts).collect()]

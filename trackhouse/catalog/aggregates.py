@@ -9,6 +9,7 @@ from trackhouse.operators import checks, histograms, inventory, latency, metrics
 from trackhouse.operators.ranking import exact_quantiles
 from trackhouse.plans import segmentation
 from trackhouse.plans.labelling import decide_units, drop_totals, temporal_split
+from trackhouse.sources.waypoints import frame_counts
 
 
 def r6(col):
@@ -538,10 +539,9 @@ def members_by_route(spark, sf_dir):
        count(DISTINCT o_custkey) AS routes FROM orders""",
 )
 def split_frame_counts(spark, sf_dir):
-    done = F.col("o_orderstatus") == "F"
-    return table(spark, sf_dir, "orders").agg(
-        F.count_if(done).alias("train"), F.count_if(~done).alias("val"), F.count_distinct("o_custkey").alias("routes")
-    )
+    split = F.when(F.col("o_orderstatus") == "F", "train").otherwise("val")
+    frames = table(spark, sf_dir, "orders").select(split.alias("split"), F.col("o_custkey").alias("route"))
+    return frame_counts(frames)
 
 
 @query(

@@ -79,8 +79,3 @@ def project(
 def waypoint_array(xs: Sequence[str], ys: Sequence[str]) -> Column:
     """Wide waypoint columns as ``ARRAY<STRUCT<x, y>>``."""
     return F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in zip(xs, ys)])
-
-
-def wide_waypoints(points: Column, n: int = len(HORIZONS_S)) -> list[Column]:
-    """``wp_x0.. wp_y0..`` columns from a waypoint array."""
-    return [points[k][axis].alias(f"wp_{axis}{k}") for axis in ("x", "y") for k in range(n)]

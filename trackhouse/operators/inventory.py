@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,12 +89,3 @@ def left_camera(dirs: DataFrame, route: str = "route") -> DataFrame:
         .withColumn("path", F.when(F.col("state") != "ambiguous", F.col("path")))
         .drop("lefts")
     )
-
-
-def key_conflicts(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """Keys that carry more than one distinct value."""
-    return (
-        df.groupBy(*key)
-        .agg(F.count_distinct(value).alias("values"))
-        .where(F.col("values") > 1)
-    )

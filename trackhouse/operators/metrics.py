@@ -24,14 +24,6 @@ def confusion(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> D
     )
 
 
-def dense_confusion(counts: DataFrame, classes: int) -> DataFrame:
-    """One row per truth class with an array of counts by predicted class."""
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("pred") == c, F.col("n"))), F.lit(0)) for c in range(classes)
-    ]
-    return counts.groupBy("truth").agg(F.array(*cells).alias("row"))
-
-
 def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """IoU and recall per class; NULL when the class has no union or no truth."""
     by = list(by)

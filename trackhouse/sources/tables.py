@@ -168,9 +168,3 @@ def obd_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
         (clock_seconds(field(F.col("time"))) + shift).alias("t"),
         number(field(F.col("speed"))).alias("speed"),
     ).dropna(subset=["t", "speed"])
-
-
-def require_rows(df: DataFrame, what: str) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError(f"no {what} rows parsed; check the confirmed column mapping")
-    return df
