@@ -94,18 +94,43 @@ def test_query_recall(spark, small_dir):
     assert sum(r.n_links for r in got.values()) >= 0.99 * sum(links)
 
 
-@pytest.mark.parametrize("largest", [10_000, 100_000, 1_000_000])
+@pytest.mark.parametrize("largest", [300, 1000, 10_000, 100_000, 1_000_000])
 @pytest.mark.parametrize("width", [24, 64])
 def test_pairs_share_a_filter_at_every_size(largest, width):
     how = embeddings.layout(largest, width, 0.93)
-    assert how.books or largest == 10_000
+    assert how.books
     one, two = embeddings.pairs_at(np.random.default_rng(7), 1000, width, 0.931)
     found = zip(embeddings.filters_of(one, how), embeddings.filters_of(two, how))
     assert np.mean([np.intersect1d(a, b).size > 0 for a, b in found]) >= 0.995
 
 
-def test_small_groups_miss_nothing():
-    assert embeddings.layout(8192, 64, 0.93).books == 0
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_narrow_vectors_have_filters_too(width):
+    how = embeddings.layout(2048, width, 0.93)
+    assert how.books
+    one, two = embeddings.pairs_at(np.random.default_rng(8), 500, width, 0.931)
+    found = zip(embeddings.filters_of(one, how), embeddings.filters_of(two, how))
+    assert np.mean([np.intersect1d(a, b).size > 0 for a, b in found]) >= 0.995
+
+
+def test_links_through_filters_equal_all_pairs(spark):
+    """Labels of 1,500 and 40 vectors with groups of near copies: links and components by brute force."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for label, groups in ((0, 300), (1, 8)):
+        for _ in range(groups):
+            base = rng.standard_normal(32)
+            rows += [(len(rows) + i, (base + 0.2 * rng.standard_normal(32)).astype(np.float32).tolist(), label) for i in range(5)]
+    assert embeddings.layout(2048, 32, 0.93).books
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    labels = np.array([r[2] for r in rows])
+    linked = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert linked.sum() > 1000
+    assert all(got[i] <= n for i, n in enumerate(linked.sum(axis=1)))
+    assert sum(got.values()) >= 0.998 * linked.sum()
 
 
 def test_planted_pairs_in_a_large_label(spark):

@@ -7,8 +7,8 @@ share a filter are compared in double precision. Several rotations with codebook
 are used one beside the other. Their number and the threshold follow the size and width of each
 group: the tail is taken from unit vectors put through the codebooks, and pairs at exactly the
 wanted cosine tell how often a codebook misses one, so that all of them together miss no more than
-``MISS``. Where this would not at least halve how often a vector is copied for comparing all pairs
-of its group, the group is one filter, and nothing is missed.
+``MISS``. Of the crowds that filters may have, the one with the fewest copies of a vector is taken.
+A group of no more than ``CHUNK`` vectors is one unit of comparison, hence one filter.
 
 Equal vectors are folded first. A filter with many members is cut into chunks and compared chunk
 by chunk, and each linked pair is counted only in the smallest filter that it shares.
@@ -84,7 +84,7 @@ def plan(largest: int, width: int = 64, crowd: float = CROWD) -> tuple[int, floa
 
 @dataclass(frozen=True)
 class Layout:
-    """Codebooks of a group with their size and threshold; without any, all its pairs are compared."""
+    """Codebooks of a group with their size and threshold; a group of one chunk needs none."""
 
     books: int
     size: int = 0
@@ -119,17 +119,17 @@ def pairs_at(rng: np.random.Generator, n: int, width: int, cosine: float) -> tup
 @lru_cache(maxsize=256)
 def layout(largest: int, width: int, cosine: float) -> Layout:
     """What misses at most ``MISS`` of the pairs at ``cosine`` in groups of up to ``largest`` with
-    the fewest copies of a vector: filters of some crowd, or all pairs unless filters save half."""
-    best, fewest = Layout(0), math.ceil(largest / CHUNK) / 2
-    crowd = CROWD
-    while crowd < largest and FILTERS * math.ceil(crowd / CHUNK) < fewest:
-        size, deviations = plan(largest, width, crowd)
+    the fewest copies of a vector: filters of some crowd, at every size above one chunk."""
+    if largest <= CHUNK:
+        return Layout(0)
+    best, fewest, crowd = None, math.inf, CROWD
+    while crowd < largest or best is None:
+        size, deviations = plan(largest, width, min(crowd, largest))
         missed, passed = trial(width, size, deviations, cosine)
-        if missed < 1:
-            books = math.ceil(math.log(MISS) / math.log(missed))
-            copies = books * passed * math.ceil(crowd / CHUNK)
-            if copies < fewest:
-                best, fewest = Layout(books, size, deviations), copies
+        books = math.ceil(math.log(MISS) / math.log(missed)) if missed < 1 else math.inf
+        copies = books * passed * math.ceil(crowd / CHUNK)
+        if books < math.inf and copies < fewest:
+            best, fewest = Layout(books, size, deviations), copies
         crowd *= 4
     return best
 
@@ -290,9 +290,9 @@ def near_duplicates(
 
     Rows are compared when labels are equal and not null and vectors have the same width; they are
     linked from a cosine of ``threshold`` on; at most ``MISS`` of the pairs at just this cosine are
-    expected to be missed, in small groups (up to 8,192 vectors of width 64) none. A vector that is null, empty, zero or holds a null or
-    non-finite component links with nothing, as does one with a null label or null id: no links,
-    its own component. Rows that share an id are vectors of their own but one node for components.
+    expected to be missed, in groups of up to ``CHUNK`` vectors none. A vector that is null, empty,
+    zero or holds a null or non-finite component links with nothing, as does one with a null label
+    or null id: no links, its own component. Other columns are not read, whatever their names. Rows that share an id are vectors of their own but one node for components.
     An empty table gives an empty result. Ids are whole numbers; a null id has no component and is
     kept.
     """

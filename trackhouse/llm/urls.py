@@ -1,14 +1,14 @@
 """URL verdicts by rules, and for the rest by trust and distrust carried over host edges.
 
 Everything is DataFrame work: links are taken from the pages with regular expressions, folded to
-weighted edges between hosts, and personalised PageRank runs as a fixed number of join-and-sum
-steps: trust forward from hosts that rules allow, distrust backwards from hosts that rules block.
+weighted edges between hosts, and personalised PageRank runs as join-and-sum steps until no host
+changes by more than ``TOLERANCE``: trust forward from hosts that rules allow, distrust backwards
+from hosts that rules block, both in the same steps.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,12 @@ from trackhouse.llm.columns import quoted
 from trackhouse.session import durable
 
 DAMPING = 0.85
-STEPS = 12
-#: A step in this many is written to the checkpoint folder, so plans and lost work stay small.
-CUT_EVERY = 4
+#: Steps end when no host's value changes by more than this. A change shrinks by ``DAMPING`` a step
+#: at least, so about 85 steps always suffice; they also take a value to hosts as many links away.
+TOLERANCE = 1e-6
+#: A step in this many is written to the checkpoint folder, so plans and lost work stay small; the
+#: change is taken over the last of them.
+CUT_EVERY = 5
 #: A host is blocked when its distrust exceeds its trust by this factor.
 FACTOR = 1.0
 #: Parts that the pages of a host are spread over when its values are joined to them.
@@ -83,24 +86,31 @@ def host_edges(pages: DataFrame, html: str) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(host, value)`` by personalised PageRank: ``seeds`` has ``(host, seed)``, sums to any total.
+    """``(kind, host, value)`` by personalised PageRank for every ``kind`` of ``edges`` (kind, src,
+    dst, weight) and ``seeds`` (kind, host, seed), which sum to any total.
 
     A host's value is shared over its outgoing edges by weight. Values are rounded each step, so
-    that the order of sums does not show.
+    that the order of sums does not show. Only one number a check reaches the driver.
     """
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = durable(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    base = durable(seeds.groupBy("host").agg(F.sum("seed").alias("seed")))
-    now = base.select("host", F.col("seed").alias("value"))
-    for step in range(1, STEPS + 1):
-        sent = shares.join(now, F.col("src") == F.col("host")).select(
-            F.col("dst").alias("host"), (F.col("share") * F.col("value") * DAMPING).alias("value")
-        )
-        own = base.select("host", (F.col("seed") * (1 - DAMPING)).alias("value"))
-        now = sent.unionByName(own).groupBy("host").agg(F.round(F.sum("value"), 12).alias("value"))
-        if step % CUT_EVERY == 0:
-            now = durable(now)
-    return now
+    total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    shares = durable(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    base = durable(seeds.groupBy("kind", "host").agg(F.sum("seed").alias("seed")))
+    own = base.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("value"))
+    now = base.select("kind", "host", F.col("seed").alias("value"), F.col("seed").alias("change"))
+    largest = 1.0
+    while largest > TOLERANCE:
+        for step in range(CUT_EVERY):
+            sent = now.withColumnRenamed("host", "src").join(shares, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("share") * F.col("value") * DAMPING).alias("value")
+            )
+            parts = sent.unionByName(own).withColumn("before", F.lit(0.0))
+            if step == CUT_EVERY - 1:
+                parts = parts.unionByName(now.select("kind", "host", F.lit(0.0).alias("value"), F.col("value").alias("before")))
+            sums = parts.groupBy("kind", "host").agg(F.round(F.sum("value"), 12).alias("value"), F.sum("before").alias("before"))
+            now = sums.select("kind", "host", "value", F.abs(F.col("value") - F.col("before")).alias("change"))
+        now = durable(now)
+        largest = now.agg(F.max("change")).first()[0] or 0.0
+    return now.select("kind", "host", "value")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -109,27 +119,30 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str
     A rule's action decides where one fits. Otherwise the host does: it is blocked when the
     distrust that reaches it exceeds the trust. Seeds are hosts by the share of their pages that
     rules allow or block. A null url or one without ``://`` has empty host and path, takes part in
-    no edge and is allowed, as is a host that nothing reaches. Rows are judged one by one, so
-    repeated rows are kept; an empty table gives an empty result.
+    no edge and is allowed, as is a host that nothing reaches, or less than about ``TOLERANCE``.
+    Rows are judged one by one, so repeated rows and null ids are kept; of equally long rules a
+    block wins. Other columns of ``pages`` are not read, whatever their names; an empty table
+    gives an empty result.
     """
     host, path = host_of(quoted(url)), path_of(quoted(url))
     name, action = matching_rule(rules, F.col("host"), F.col("path"))
-    located = pages.select(quoted(id_col).alias(id_col), host.alias("host"), path.alias("path"), quoted(html).alias("html"))
+    located = pages.select(quoted(id_col).alias("id"), host.alias("host"), path.alias("path"), quoted(html).alias("html"))
     ruled = located.withColumn("rule", name).withColumn("action", action)
     edges = durable(host_edges(located, "html"))
     marks = ruled.where("host != ''").groupBy("host").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("action") == "allow", 1)).alias("good"), F.count(F.when(F.col("action") == "block", 1)).alias("bad")
     )
     marks = durable(marks)
-    good = marks.where("good > 0").select("host", (F.col("good") / F.col("n")).alias("seed"))
-    bad = marks.where("bad > 0").select("host", (F.col("bad") / F.col("n")).alias("seed"))
-    trust = propagate(edges, good).withColumnRenamed("value", "trust")
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(turned, bad).withColumnRenamed("value", "distrust")
-    scores = reduce(lambda a, b: a.join(b, "host", "left"), [marks.select("host"), trust, distrust]).na.fill(0.0)
+    seeds = marks.select("host", F.explode(F.map_from_arrays(
+        F.array(F.lit("trust"), F.lit("distrust")), F.array(F.col("good") / F.col("n"), F.col("bad") / F.col("n"))
+    )).alias("kind", "seed")).where("seed > 0")
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("kind"))
+    found = propagate(edges.withColumn("kind", F.lit("trust")).unionByName(turned), seeds)
+    values = found.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("trust", "distrust")))
+    scores = marks.select("host").join(values, "host", "left").na.fill(0.0)
     # One host may hold a third of all pages: its rows are spread, and the few rows of hosts copied.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    dealt = ruled.drop("html").withColumn("salt", F.pmod(F.xxhash64(id_col, "path"), F.lit(SALTS)).cast("int"))
+    dealt = ruled.drop("html").withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
     joined = dealt.join(scores.withColumn("salt", salts), ["host", "salt"], "left").na.fill(0.0, ["trust", "distrust"])
     by_host = F.when(F.col("distrust") > F.col("trust") * FACTOR, "block").otherwise("allow")
-    return joined.select(id_col, "host", "path", "rule", F.coalesce("action", by_host).alias("verdict"), "trust", "distrust")
+    return joined.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", by_host).alias("verdict"), "trust", "distrust")
