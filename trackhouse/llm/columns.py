@@ -79,3 +79,11 @@ def buckets_for(amount: float, each: float, least: int = 1) -> int:
 def quoted(name: str) -> Column:
     """The column of that very name, dots included."""
     return F.col(f"`{name.replace('`', '``')}`")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import zstandard as zs
@@ -14,11 +14,10 @@ from trackhouse.llm.columns import quoted
 
 #: Lower case, and every white space sign a space, so that words match wherever they stand.
 FOLD = bytes(0x20 if b in b"\t\n\v\f\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Search settings. ``THOROUGH`` finds nearly every match of a short window, ``FAST`` suits long ones,
-#: ``FINE`` also takes matches of three bytes.
+#: Search settings that find nearly every match of a short window.
 THOROUGH = {"strategy": zs.STRATEGY_BTLAZY2, "min_match": 5, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 6}
-FAST = {"strategy": zs.STRATEGY_FAST, "min_match": 4, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 1}
-FINE = {"strategy": zs.STRATEGY_BTOPT, "min_match": 3, "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 5, "target_length": 32}
+#: Least shingle hashes of a text that near copies are known by.
+SKETCH = 8
 
 
 def compressor(content: bytes, settings: dict) -> zs.ZstdCompressor:
@@ -64,9 +63,16 @@ def bounded_sample(rows: DataFrame, id_col: str, label: str, most: dict) -> Data
     return rows.where(keep)
 
 
-def gist(words: set[str]) -> int:
-    """The least hash of a text's words: near copies mostly share it."""
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+def unlike(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The words of every text that is no near copy of earlier ones: of the ``SKETCH`` least hashes of
+    its three-word shingles fewer than half were among theirs. One shared phrase folds nothing."""
+    seen: set[int] = set()
+    for text in texts:
+        words = text.split()
+        marks = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:SKETCH]
+        if 2 * len(seen.intersection(marks)) < len(marks):
+            yield words
+        seen.update(marks)
 
 
 def logistic(features: np.ndarray, truth: np.ndarray, steps: int = 60) -> np.ndarray:

@@ -1,12 +1,13 @@
 """Language by compression: the dictionary beside which a text becomes shortest.
 
 One raw-content dictionary per language is taken from a bounded sample of documents. A text is
-compressed window by window beside each; the sums decide. Where the best two lie close together,
+compressed window by window beside each, in one way at every length; the sums decide. Where the best two lie close together,
 or a text has no letter, the guess is rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,17 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackhouse.llm.columns import batch_slices, batch_with, quoted, schema_with
-from trackhouse.llm.compression import FAST, FINE, FOLD, bounded_sample, compressor, gist, windows
+from trackhouse.llm.columns import batch_slices, batch_with, quoted, schema_with, unused
+from trackhouse.llm.compression import FOLD, THOROUGH, bounded_sample, compressor, unlike, windows
 
 #: Bound of the sample: documents taken of each language.
 MOST = 400
 #: Bytes of a dictionary.
 DICTIONARY = 24_000
-#: Bytes of a window; texts below ``SHORT`` are searched for matches of three bytes.
-WINDOW, SHORT, SHORT_WINDOW = 2048, 1500, 96
-#: A stretch that begins every dictionary and every window of a short text: the compressor then
-#: never stores such a window as it is, which would make all languages equal.
+#: Words of a stretch of running text in a dictionary.
+STRETCH = 40
+#: Bytes of a window.
+WINDOW = 96
+#: What begins every dictionary and every window: the compressor then never stores a window as it
+#: is, which would make all languages equal.
 CARRIER = b"0123456789-=+*/0123456789(carrier)0123456789"
 #: A guess whose lead over the next language is below this share of the length is rejected.
 MARGIN = 0.001
@@ -42,27 +45,32 @@ class Model:
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """Running text, then the most frequent words, which stand nearest; near copies count once."""
-    words, parts, seen, size = Counter(), [], set(), 0
-    for text in texts:
-        own = text.split()
-        mark = gist(set(own))
-        if mark in seen:
-            continue
-        seen.add(mark)
+    """Half running text, then half the most frequent words, which stand nearest; near copies count once.
+
+    The running text is one stretch each of texts spaced evenly over all, from a place that a hash
+    of the text gives.
+    """
+    words, kept = Counter(), []
+    for own in unlike(texts):
         words.update(own)
-        if size < DICTIONARY // 2:
-            piece = " ".join(own)[: DICTIONARY // 8]
-            parts.append(piece)
-            size += len(piece)
-    frequent = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))][:2000]
-    tail = (" " + " ".join(reversed(frequent))).encode()
-    return CARRIER + (" ".join(parts).encode() + tail)[-DICTIONARY:]
+        at = zlib.crc32(" ".join(own).encode()) % max(1, len(own) - STRETCH + 1)
+        kept.append(" ".join(own[at : at + STRETCH]).encode())
+    half = DICTIONARY // 2
+    n = min(len(kept), max(1, half * len(kept) // max(1, sum(map(len, kept)))))
+    running = b" ".join(kept[i * len(kept) // n] for i in range(n))
+    frequent, size = [], 0
+    for word in sorted(words, key=lambda w: (-words[w], w)):
+        size += len(word.encode()) + 1
+        if size > half:
+            break
+        frequent.append(word)
+    return CARRIER + running + (" " + " ".join(reversed(frequent))).encode()
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """A model from the documents with a language; the caller leaves out held-out ones. About
-    ``MOST`` documents of each language go to the driver, chosen by a hash of the id."""
+    ``MOST`` documents of each language go to the driver, chosen by a hash of the id, with whole
+    texts. Null texts, languages and ids teach nothing; repeated rows count once."""
     known = docs.where(quoted(label).isNotNull() & quoted(text).isNotNull())
     rows = bounded_sample(known, id_col, label, {"*": MOST}).select(
         quoted(label).alias("label"), quoted(text).alias("text"), quoted(id_col).alias("id")
@@ -77,18 +85,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: st
 
 @lru_cache(maxsize=2)
 def _compressors(model: Model):
-    return tuple(tuple(compressor(d, settings) for d in model.dictionaries) for settings in (FAST, FINE))
+    return tuple(compressor(d, THOROUGH) for d in model.dictionaries)
 
 
 def lengths(raw: bytes, model: Model) -> np.ndarray:
     """Compressed length of the whole text beside each dictionary."""
-    fast, fine = _compressors(model)
-    raw = raw.translate(FOLD)
-    if len(raw) < SHORT:
-        parts, chosen = [CARRIER + p for p in windows(raw, SHORT_WINDOW)], fine
-    else:
-        parts, chosen = list(windows(raw, WINDOW)), fast
-    return np.array([sum(len(c.compress(p)) for p in parts) for c in chosen], float)
+    parts = [CARRIER + p for p in windows(raw.translate(FOLD), WINDOW)]
+    return np.array([sum(len(c.compress(p)) for p in parts) for c in _compressors(model)], float)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -101,7 +104,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shuffle.
     """
     added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "margin": T.DoubleType(), "rejected": T.BooleanType()}
-    flag = "__has_letter"
+    flag = unused("__has_letter", docs.columns)
     flagged = docs.withColumn(flag, F.coalesce(quoted(text).rlike(r"\p{L}"), F.lit(False)))
     schema = schema_with(docs, added)
 
