@@ -8,6 +8,7 @@ from hosts that rules block, both in the same steps.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ TOLERANCE = 1e-6
 #: A step in this many is written to the checkpoint folder, so plans and lost work stay small; the
 #: change is taken over the last of them.
 CUT_EVERY = 5
+#: Edges of a partition while values spread; a step makes no more partitions than the edges need.
+EDGES = 250_000
 #: A host is blocked when its distrust exceeds its trust by this factor.
 FACTOR = 1.0
 #: Parts that the pages of a host are spread over when its values are joined to them.
@@ -92,9 +95,10 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     A host's value is shared over its outgoing edges by weight. Values are rounded each step, so
     that the order of sums does not show. Only one number a check reaches the driver.
     """
+    few = max(1, math.ceil(edges.count() / EDGES))
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    shares = durable(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    base = durable(seeds.groupBy("kind", "host").agg(F.sum("seed").alias("seed")))
+    shares = durable(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")).coalesce(few))
+    base = durable(seeds.groupBy("kind", "host").agg(F.sum("seed").alias("seed")).coalesce(few))
     own = base.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("value"))
     now = base.select("kind", "host", F.col("seed").alias("value"), F.col("seed").alias("change"))
     largest = 1.0
@@ -107,7 +111,7 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             if step == CUT_EVERY - 1:
                 parts = parts.unionByName(now.select("kind", "host", F.lit(0.0).alias("value"), F.col("value").alias("before")))
             sums = parts.groupBy("kind", "host").agg(F.round(F.sum("value"), 12).alias("value"), F.sum("before").alias("before"))
-            now = sums.select("kind", "host", "value", F.abs(F.col("value") - F.col("before")).alias("change"))
+            now = sums.select("kind", "host", "value", F.abs(F.col("value") - F.col("before")).alias("change")).coalesce(few)
         now = durable(now)
         largest = now.agg(F.max("change")).first()[0] or 0.0
     return now.select("kind", "host", "value")
