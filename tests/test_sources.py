@@ -392,3 +392,29 @@ def test_runs_of_many_shards(spark, monkeypatch):
     assert list(stats.samples) == [5] * 9 + [2] and list(stats.shard) == [f"t-{i:05d}.tar" for i in range(10)]
     where = {r.key: os.path.basename(r.shard) for r in shards.read_samples(spark, out, with_data=False).collect()}
     assert where == {f"k{i:03d}": f"t-{i // 5:05d}.tar" for i in range(47)}
+
+
+def test_governance_joins_no_tables_of_routes(spark):
+    """Open fields are told from each route's own rows; an edit looks at its own route alone."""
+    rows = [
+        ("a", "gps.time", "t", "confirmed"), ("a", "gps.lat", "lat", "unconfirmed"), ("a", "gps.lat", "lat2", "unconfirmed"),
+        ("a", "gps.lon", "lon", None), ("a", "obd.time", "t", "confirmed"), ("a", "clock_offset", "0", "unconfirmed"),
+        ("a", "obd_tolerance", "1", None), ("b", "gps.time", "t", "unconfirmed"), ("b", "clock_offset", "0", "unconfirmed"), ("c", "obd.time", "t", "unconfirmed"),
+    ]
+    fields = spark.createDataFrame(rows, "route string, field string, proposed string, state string")
+    found = gov.pending(fields)
+    assert sorted((r.route, r.field, r.proposed or "") for r in found.collect()) == sorted(
+        [("a", "gps.lat", "lat"), ("a", "gps.lat", "lat2"), ("a", "gps.lon", "lon"), ("a", "gps.frame", ""), ("a", "obd.speed", ""), ("a", "clock_offset", "0")]
+        + [("b", "gps.time", "t"), ("b", "gps.lat", ""), ("b", "gps.lon", ""), ("b", "gps.frame", "")]
+    )
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(found)
+    edits = spark.createDataFrame([("a", "gps.time", "nope")], "route string, field string, column string")
+    problems = gov.edit_problems(fields.withColumn("columns", F.array(F.lit("t"))), edits)
+    assert plan(problems).count("LeftSemi") == 3 and problems.first().problem == "unknown column; the columns are t"
+
+
+def test_confirmation_gate_joins_nothing(spark):
+    from trackhouse.catalog.files import confirmation_gate
+
+    assert "Join" not in confirmation_gate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -589,8 +589,7 @@ def field_rows(spark, sf_dir):
 )
 def confirmation_gate(spark, sf_dir):
     fields = _field_map(spark, sf_dir)
-    open_fields = gov.pending(fields).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return fields.select("route").distinct().join(open_fields, "route", "left").select(
-        "route", n.alias("open_fields"), (n == 0).alias("may_label")
-    )
+    # Counted together, so that no table of routes is joined to another.
+    known = fields.groupBy("route").agg(F.lit(0).cast("bigint").alias("n"))
+    counted = known.unionByName(gov.pending(fields).select("route", F.lit(1).cast("bigint").alias("n"))).groupBy("route").agg(F.sum("n").alias("n"))
+    return counted.select("route", F.col("n").alias("open_fields"), (F.col("n") == 0).alias("may_label"))

@@ -43,36 +43,36 @@ def carry_forward(fresh: DataFrame, old: DataFrame, keys=("route", "field"), val
     return out.select(*fresh.columns)
 
 
-def required_fields(field_map: DataFrame) -> DataFrame:
-    """The fields each route must have: position always, bus fields when it has any."""
-    per_route = field_map.groupBy("route").agg(
-        F.bool_or(F.startswith("field", F.lit("gps."))).alias("_gps"),
-        F.bool_or(F.startswith("field", F.lit("obd."))).alias("_obd"),
-    )
+def _wanted(gps, obd):
+    """The fields a route must have: position always, bus fields when it has any."""
     names = lambda fields: F.array(*[F.lit(f) for f in fields])
-    wanted = F.when(F.col("_obd"), names(GPS_FIELDS + OBD_FIELDS)).otherwise(names(GPS_FIELDS))
-    return per_route.where("_gps").select("route", F.explode(wanted).alias("field"))
+    return F.when(gps & obd, names(GPS_FIELDS + OBD_FIELDS)).when(gps, names(GPS_FIELDS))
 
 
 def pending(field_map: DataFrame) -> DataFrame:
     """Every required field that is missing or not confirmed, one row each.
 
-    A scalar field that was never measured is not listed here; the gate below asks for it.
+    A scalar field that was never measured is not listed here; the gate below asks for it. A route's
+    rows are gathered once and judged together: nothing is joined, so no table of routes is ever
+    broadcast, whatever Spark takes its size for.
     """
-    state = field_map.select("route", "field", "proposed", "state")
-    required = required_fields(field_map)
-    missing = (
-        required.join(state, ["route", "field"], "left")
-        .where(F.col("state").isNull() | (F.col("state") != CONFIRMED))
-        .select("route", "field", "proposed")
+    asked = F.col("field").isin(*GPS_FIELDS, *OBD_FIELDS, *SCALAR_FIELDS)
+    has = lambda prefix: F.bool_or(F.startswith("field", F.lit(prefix)))
+    routes = field_map.groupBy("route").agg(
+        has("gps.").alias("_gps"), has("obd.").alias("_obd"),
+        F.collect_list(F.when(asked, F.struct("field", "proposed", "state"))).alias("_rows"),
+    ).where("_gps").withColumn("_wanted", _wanted(F.col("_gps"), F.col("_obd")))
+    scalar = lambda r: F.col("_obd") & r["field"].isin(*SCALAR_FIELDS) & r["state"].isNotNull()
+    unsettled = F.filter(
+        "_rows",
+        lambda r: (r["state"].isNull() | (r["state"] != CONFIRMED)) & (F.array_contains("_wanted", r["field"]) | scalar(r)),
     )
-    with_obd = required.where(F.startswith("field", F.lit("obd."))).select("route").distinct()
-    scalars = (
-        state.where(F.col("field").isin(*SCALAR_FIELDS) & (F.col("state") != CONFIRMED))
-        .join(with_obd, "route", "left_semi")
-        .select("route", "field", "proposed")
+    given = F.transform(unsettled, lambda r: F.struct(r["field"].alias("field"), r["proposed"].alias("proposed")))
+    lacking = F.transform(
+        F.array_except("_wanted", F.transform("_rows", lambda r: r["field"])),
+        lambda f: F.struct(f.alias("field"), F.lit(None).cast("string").alias("proposed")),
     )
-    return missing.unionByName(scalars)
+    return routes.select("route", F.explode(F.concat(given, lacking)).alias("_open")).select("route", "_open.field", "_open.proposed")
 
 
 def edit_problems(field_map: DataFrame, edits: DataFrame) -> DataFrame:
@@ -82,6 +82,8 @@ def edit_problems(field_map: DataFrame, edits: DataFrame) -> DataFrame:
     the block's tables; any other field must exist.
     """
     block = F.split_part("field", F.lit("."), F.lit(1))
+    # Only the routes that are edited: what is joined below is as small as the edits.
+    field_map = field_map.join(edits.select("route").distinct(), "route", "left_semi")
     blocks = field_map.withColumn("_block", block).groupBy("route", "_block").agg(
         F.flatten(F.collect_set(F.coalesce("columns", F.array().cast("array<string>")))).alias("_columns")
     )
@@ -163,9 +165,10 @@ def require_confirmed(field_map: DataFrame, route: str | None = None) -> None:
         known = [r.route for r in routes.orderBy("route").limit(LISTED).collect()]
         raise ValueError(f"route {route!r} is not in the field map. Known routes ({routes.count()}): {known}")
     open_rows = pending(scope)
-    with_obd = scope.where(F.startswith("field", F.lit("obd."))).select("route").distinct()
-    measured = scope.where(F.col("field") == "clock_offset").select("route")
-    unmeasured = with_obd.join(measured, "route", "left_anti").select(
+    facts = scope.groupBy("route").agg(
+        F.bool_or(F.startswith("field", F.lit("obd."))).alias("_obd"), F.bool_or(F.col("field") == "clock_offset").alias("_measured")
+    )
+    unmeasured = facts.where("_obd AND NOT _measured").select(
         "route", F.lit("clock_offset").alias("field"), F.lit(None).cast("string").alias("proposed")
     )
     every = open_rows.unionByName(unmeasured)
