@@ -255,3 +255,12 @@ def test_bus_routes_without_a_unit_stop_the_run(spark):
     assert names(labelling.unknown_units(track, units)) == ["b"]
     tables = spark.createDataFrame([("c",), ("a",)], "route string")
     assert names(labelling.unknown_units(track, units, tables)) == ["b", "c"]
+
+
+def test_rates_give_the_double_nearest_to_a_time(spark):
+    """A time in microseconds times 1e-6 is off by one step of a double for some; over 1e6 it never is."""
+    from trackhouse.operators.rates import measure_rates
+
+    times = [(k, 1_700_000_000_000_000 + 7_654_321 * k + j) for k in range(200) for j in (0, 500)]
+    got = measure_rates(spark.createDataFrame(times, "k long, t long"), ["k"], "t", seconds=1e-6).collect()
+    assert all(r["first"] == (1_700_000_000_000_000 + 7_654_321 * r.k) / 1e6 for r in got) and len(got) == 200

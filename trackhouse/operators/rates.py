@@ -29,17 +29,19 @@ def measure_rates(df: DataFrame, keys: Sequence[str], t: str, seconds: float = 1
     folded first, since only steps that advance count, and steps are taken per time chunk.
     """
     keys = list(keys)
+    # A millionth is no double, but a million is: a quotient is the double nearest to the time.
+    in_seconds = lambda c: c / F.lit(float(round(1 / seconds))) if seconds < 1 else c * seconds
     facts = df.groupBy(*keys).agg(
         F.count(t).alias("parsed"),
         F.count(F.when(F.col(t).isNull(), 1)).alias("unparsed"),
-        (F.min(t) * seconds).alias("first"),
-        (F.max(t) * seconds).alias("last"),
+        in_seconds(F.min(t)).alias("first"),
+        in_seconds(F.max(t)).alias("last"),
     )
     times = df.where(F.col(t).isNotNull()).select(*keys, t).distinct()
     stepped = previous(times, timeline(times, keys, t, least=1e-6), {t: "_before"})
     steps = stepped.select(*keys, (F.col(t) - F.col("_before")).alias("_step"))
     medians = exact_quantiles(steps, keys, "_step", {"_median": 0.5}, upper=True)
-    median = F.col("_median") * seconds
+    median = in_seconds(F.col("_median"))
     return (
         facts.join(medians, keys, "left")
         .withColumn("span_s", F.round(F.col("last") - F.col("first"), 3))
