@@ -264,3 +264,12 @@ def test_rates_give_the_double_nearest_to_a_time(spark):
     times = [(k, 1_700_000_000_000_000 + 7_654_321 * k + j) for k in range(200) for j in (0, 500)]
     got = measure_rates(spark.createDataFrame(times, "k long, t long"), ["k"], "t", seconds=1e-6).collect()
     assert all(r["first"] == (1_700_000_000_000_000 + 7_654_321 * r.k) / 1e6 for r in got) and len(got) == 200
+
+
+def test_roll_up_names_every_failure_when_asked(spark):
+    from trackhouse import catalog
+    from trackhouse.operators import checks
+
+    many = spark.createDataFrame([(f"c{i:02d}", False, "", "warn") for i in range(45)], "name string, ok boolean, detail string, severity string")
+    assert checks.roll_up(many, listed=None).first().warnings == [f"c{i:02d}" for i in range(45)]
+    assert "<= 20" not in catalog.all_oracles()["d18_check_rollup"]

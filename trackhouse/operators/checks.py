@@ -90,16 +90,17 @@ def check_row(name, ok, detail, severity: str = "error") -> list:
     ]
 
 
-def roll_up(checks: DataFrame) -> DataFrame:
-    """Overall verdict: ``ok``, how many ``checks``, and the first names of blocking failures and of
-    warnings with their true numbers ``n_blocking`` and ``n_warnings``. Names beyond ``LISTED`` are rows
-    of ``failures``."""
+def roll_up(checks: DataFrame, listed: int | None = LISTED) -> DataFrame:
+    """Overall verdict: ``ok``, how many ``checks``, and the names of blocking failures and of warnings
+    with their numbers ``n_blocking`` and ``n_warnings``. The first ``listed`` names are given, or all of
+    them with None; ``failures`` has each as a row."""
     blocking, warning = _failed("error"), _failed("warn")
     verdict = checks.agg(
         F.coalesce(~F.bool_or(blocking), F.lit(True)).alias("ok"), F.count(F.lit(1)).alias("checks"),
         F.count_if(blocking).alias("n_blocking"), F.count_if(warning).alias("n_warnings"),
     )
-    first = lambda cond, out: checks.where(cond).orderBy("name").limit(LISTED).agg(F.sort_array(F.collect_list("name")).alias(out))
+    shown = lambda cond: checks.where(cond) if listed is None else checks.where(cond).orderBy("name").limit(listed)
+    first = lambda cond, out: shown(cond).agg(F.sort_array(F.collect_list("name")).alias(out))
     # Three tables of one row each.
     joined = verdict.join(first(blocking, "blocking_failures"), F.lit(True)).join(first(warning, "warnings"), F.lit(True))
     return joined.select("ok", "checks", "blocking_failures", "warnings", "n_blocking", "n_warnings")
