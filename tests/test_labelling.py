@@ -1,6 +1,7 @@
 """End-to-end gates on tracks with a closed form."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -176,3 +177,18 @@ def test_frame_paths_come_with_the_labels(spark):
     assert done.frames.where("frame_path IS NULL").isEmpty()
     without = plan.run(spark.createDataFrame(pdf))
     assert without.frames.where("frame_path IS NOT NULL").isEmpty() and without.frames.columns == done.frames.columns
+
+
+def test_shares_of_routes_leave_only_their_summaries(spark, monkeypatch):
+    """Any number of shares gives the same rows, and no table of fixes, track or labels is left on disk."""
+    from trackhouse.catalog import tracks
+    from trackhouse.session import ensure_checkpoint_dir
+
+    place, data = ensure_checkpoint_dir(spark).removeprefix("file:"), "/root/testdata/sf0.001"
+    before = set(os.listdir(place))
+    once = sorted(tracks.route_report(spark, data).collect(), key=str)
+    monkeypatch.setattr(tracks, "BATCH_EVENTS", 600)
+    assert sorted(tracks.route_report(spark, data).collect(), key=str) == once
+    left = [n for n in set(os.listdir(place)) - before if n.startswith("table-")]
+    names = {c for n in left for c in spark.read.parquet(f"{place}/{n}").columns}
+    assert left and not names & {"lat", "enu_x", "t"}

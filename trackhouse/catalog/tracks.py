@@ -7,19 +7,24 @@ rounded to 1e-7 degrees, as a logger writes them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackhouse.catalog.base import events, query
 from trackhouse.catalog.ordered import _weights_sql
 from trackhouse.operators.timeline import number_rows, timeline
 from trackhouse.plans import labelling
-from trackhouse.session import stored
+from trackhouse.session import ensure_checkpoint_dir, released, stored
 
 FIXES = 64
+#: Events whose routes are labelled at once: what is on disk between the steps does not grow beyond theirs.
+BATCH_EVENTS = 1_000_000
 
 
-def fixes(spark, sf_dir):
-    e = events(spark, sf_dir).drop("value", "event_type")
+def fixes(spark, sf_dir, part=0, parts=1):
+    """The fixes of every route, or of one of ``parts`` shares of the routes."""
+    e = events(spark, sf_dir).drop("value", "event_type").where(F.pmod(F.xxhash64("user_id"), F.lit(parts)) == part)
     e = number_rows(e, timeline(e, ["user_id"], "ts_us", ties=["event_id"]), "k")
     drive = e.select(
         F.concat(F.lit("u"), "user_id").alias("route"),
@@ -46,11 +51,25 @@ def fixes(spark, sf_dir):
     )
 
 
-def labelled(spark, sf_dir):
-    track = stored(fixes(spark, sf_dir))
+def labelled(spark, sf_dir, part=0, parts=1):
+    track = stored(fixes(spark, sf_dir, part, parts))
     obd = track.where(F.col("speed").isNotNull()).select("route", "t", "speed")
     synced = labelling.synchronise(track.drop("speed"), obd, None, default_tolerance_s=1.0)
-    return labelling.run(synced)
+    done = labelling.run(synced)
+    released(track)
+    return done
+
+
+def by_routes(spark, sf_dir, summary):
+    """``summary`` of every labelling run: routes are labelled share by share, all of them, and only the
+    summaries of a share stay when the next begins."""
+    parts = max(1, -(-events(spark, sf_dir, "user_id").count() // BATCH_EVENTS))
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/summaries-{uuid.uuid4().hex}"
+    for part in range(parts):
+        done = labelled(spark, sf_dir, part, parts)
+        rows = stored(summary(done), place)
+        done.release()
+    return rows
 
 
 TRACK_SQL = f"""
@@ -111,16 +130,15 @@ TRACK_SQL = f"""
 )
 def waypoint_labels(spark, sf_dir):
     """Per route and segment: kept frames, validation frames, mean speed, heading, waypoints."""
-    frames = labelled(spark, sf_dir).frames
     # A heading of exactly half a turn may carry either sign; its sine and cosine do not.
     angle = F.col("heading_rad")
-    return frames.groupBy("route", "segment").agg(
+    return by_routes(spark, sf_dir, lambda done: done.frames.groupBy("route", "segment").agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if(F.col("split") == "val").alias("val"),
         F.round(F.avg(F.cos(angle)), 4).alias("heading_cos"),
         F.round(F.avg(F.sin(angle)), 4).alias("heading_sin"),
         *[F.round(F.avg(c), 4).alias(c) for c in ("speed_mps", "wp_x0", "wp_x4", "wp_y4")],
-    )
+    ))
 
 
 @query(
@@ -136,7 +154,7 @@ def waypoint_labels(spark, sf_dir):
            CAST(sum(gps_fixes) AS BIGINT), CAST(sum(obd_matched) AS BIGINT), NULL, NULL, round(avg(retained_pct), 6), round(avg(obd_matched_pct), 6) FROM b""",
 )
 def route_report(spark, sf_dir):
-    report = labelling.route_report(labelled(spark, sf_dir))
+    report = labelling.with_total(by_routes(spark, sf_dir, labelling.route_rows))
     return report.withColumns(
         {
             "val_cutoff_t": F.round("val_cutoff_t", 4),

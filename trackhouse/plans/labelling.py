@@ -20,7 +20,7 @@ from trackhouse.operators.ranking import exact_quantiles
 from trackhouse.operators.smoothing import REACH, SHORTEST
 from trackhouse.operators.timeline import Timeline, halo_by_time
 from trackhouse.operators.track import RATIO_LEAST_ROWS, RATIO_LEAST_SPEED, carry_headings, chosen, cut_chunks, number_segments, shape_chunks
-from trackhouse.session import durable, stored
+from trackhouse.session import durable, released, stored
 
 # Fixed values.
 MAX_GAP_S = 0.34
@@ -204,6 +204,10 @@ class Labelled:
     frames: DataFrame
     units: DataFrame
 
+    def release(self) -> None:
+        """Delete the tables of this run, once nothing is read from them any more."""
+        released(self.fixes, self.units)
+
 
 def unknown_units(track: DataFrame, units: DataFrame, bus_routes: DataFrame | None = None) -> DataFrame:
     """Routes that have bus data but no unit for its speed; most often their clock offset is wrong.
@@ -222,11 +226,14 @@ def run(
     require_units: bool = True,
 ) -> Labelled:
     """The whole plan. The fixes, the track, the units and the labels are each written once and read by
-    what follows; ``cameras`` gives the paths of frames (see ``label``).
+    what follows; fixes and track are deleted as soon as that is written. ``cameras`` gives the paths of
+    frames (see ``label``).
 
     With ``require_units``, bus speeds whose unit cannot be told stop the run rather than vanish.
     """
-    track = stored(smoothed_track(stored(synced), rules))
+    synced = stored(synced)
+    track = stored(smoothed_track(synced, rules))
+    released(synced)
     units = stored(speed_units(track))
     if require_units:
         open_routes = unknown_units(track, units, bus_routes)
@@ -236,6 +243,7 @@ def run(
                 f"{open_routes.count()} routes have bus speeds in no known unit (check their clock offset), e.g. {first}"
             )
     fixes = stored(label(track, units, rules, cameras))
+    released(track)
     kept = fixes.where(F.col("drop_reason").isNull()).drop("drop_reason")
     frames = temporal_split(kept, ["route"], "t", rules.val_fraction, rules.chunk_s)
     return Labelled(fixes, frames, units)
@@ -251,6 +259,11 @@ def drop_totals(fixes: DataFrame, by: list[str], reason: str = "drop_reason") ->
 
 def route_report(done: Labelled) -> DataFrame:
     """One row per route plus the grand total (``route`` NULL, percentages averaged)."""
+    return with_total(route_rows(done))
+
+
+def route_rows(done: Labelled) -> DataFrame:
+    """The report's row of every route."""
     count = lambda cond: F.count(F.when(cond, 1))
     kept = F.col("drop_reason").isNull()
     per_fix = done.fixes.groupBy("route").agg(
@@ -265,12 +278,16 @@ def route_report(done: Labelled) -> DataFrame:
         F.first("cutoff").alias("val_cutoff_t"),
     )
     share = lambda c: F.round(100.0 * F.col(c) / F.col("gps_fixes"), 2)
-    rows = (
+    return (
         per_fix.join(per_split, "route", "left")
         .join(done.units.select("route", "unit"), "route", "left")
         .withColumn("retained_pct", share("frames"))
         .withColumn("obd_matched_pct", share("obd_matched"))
     )
+
+
+def with_total(rows: DataFrame) -> DataFrame:
+    """``route_rows`` of all routes and the grand total."""
     sums = ["frames", "train", "val", "segments", "gps_fixes", "obd_matched"]
     total = rows.agg(
         *[F.sum(c).alias(c) for c in sums],

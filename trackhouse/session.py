@@ -5,6 +5,9 @@ from __future__ import annotations
 import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,9 +64,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Asks Spark to remove the shuffle files of an execution when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where ``stored`` put the tables that are still in use.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and continue from it: like ``durable``,
-    for wide rows of which later steps read few columns."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for wide rows of which later steps read few columns. The shuffle files of the write go when it ends.
+    With ``path`` the rows are added to what is there."""
+    path = path or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    with _shuffles_removed(df.sparkSession):
+        df.write.mode("append").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote; nothing that is still read may depend on them."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PLACES.pop(df))
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
