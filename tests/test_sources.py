@@ -435,3 +435,11 @@ def test_waypoint_files_do_not_grow_with_routes(spark):
     assert [r.id for r in waypoints.read_waypoints(spark, place, "07").collect()] == [-1]
     both = waypoints.read_waypoints(spark, place)
     assert both.count() == 1197 and both.columns == ["route", "t", "id"]
+
+
+def test_a_line_is_parsed_once(spark):
+    """One parse of a line for every delimiter, however many columns it has."""
+    path = put(scratch(), "one.csv", "a,b,c,d\n1,2,3,4\n")
+    lines = tables.raw_lines(spark, path)
+    rows = tables.records(lines, tables.sniff(lines))
+    assert optimized(rows).count("from_csv(") == 3 and rows.first().cells == ["1", "2", "3", "4"]

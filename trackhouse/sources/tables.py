@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackhouse.functions.text import clock_seconds, integer, number
 from trackhouse.operators.roles import match_roles, table_kinds
+from trackhouse.session import durable
 from trackhouse.sources.storage import filesystem, qualified
 from trackhouse.sources.tree import walk
 
@@ -120,14 +121,16 @@ def records(lines: DataFrame, tables: DataFrame) -> DataFrame:
     The delimiter and the stripped header found by the sniff are used here too, so tables with
     any of the delimiters read the same. Table facts are one row per file.
     """
-    known = tables.where("error IS NULL").select("path", "header_pos", "delimiter", "columns")
+    # Written, as it is read twice and each time stands for a pass over all lines.
+    known = durable(tables.where("error IS NULL").select("path", "header_pos", "delimiter", "columns"))
     # from_csv takes its separator as a literal: one branch per possible delimiter.
     widest = known.agg(F.max(F.size("columns"))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(widest))
     parsed = None
     for d in DELIMITERS:
         cells = F.from_csv("line", schema, {"sep": d, "ignoreLeadingWhiteSpace": "false"})
-        row = F.array(*[cells[f"c{i}"] for i in range(widest)])
+        # Bound to a lambda, so that a line is parsed once and not once for every column.
+        row = F.get(F.transform(F.array(cells), lambda c: F.array(*[c[f"c{i}"] for i in range(widest)])), 0)
         parsed = F.when(F.col("delimiter") == d, row) if parsed is None else parsed.when(
             F.col("delimiter") == d, row
         )
