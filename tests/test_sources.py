@@ -443,3 +443,13 @@ def test_a_line_is_parsed_once(spark):
     lines = tables.raw_lines(spark, path)
     rows = tables.records(lines, tables.sniff(lines))
     assert optimized(rows).count("from_csv(") == 3 and rows.first().cells == ["1", "2", "3", "4"]
+
+
+def test_latency_reports_are_read_once(spark):
+    from trackhouse.sources import logs
+
+    report = "Throughput: 5 qps\nLatency: min = 1 ms, max = 4 ms, median = 2 ms\nLatency: min = 2 ms, max = 4 ms\nThroughput: 7 qps\nLatency: none\n"
+    found = logs.read_latency_reports(spark, put(scratch(), "r.txt", report))
+    assert optimized(found).count("Relation [") == 1
+    (row,) = found.collect()
+    assert (row.section, row.stats, row.throughput_qps, row.compute_variance_pct) == ("Latency", {"min": 2.0, "max": 4.0}, 5.0, None)

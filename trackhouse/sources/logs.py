@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackhouse.functions.devices import (
@@ -95,25 +95,28 @@ def read_latency_reports(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract_all("body", F.lit(PERCENTILE), F.lit(1)),
         lambda p: p.cast("double").cast("int"),
     )
-    sections = (
+    number = lambda pattern: F.regexp_extract("line", pattern, 1).try_cast("double")
+    at = lambda pattern: F.when(F.regexp_extract("line", pattern, 1) != "", F.col("pos"))
+    # Lines are read once: folded by report and section, those of no section under an empty name, and
+    # what holds for the whole report is then taken from these few rows.
+    parsed = (
         lines.withColumn("section", F.regexp_extract("line", SECTION, 1))
         .withColumn("body", body)
-        .where(F.col("section") != "")
-        .withColumn("stats", F.transform_keys(stats, lambda k, _: F.lower(k)))
-        .withColumn("percentiles", _number_map(F.col("body"), PERCENTILE, levels))
-        .where(F.size("stats") > 0)
-        .groupBy("path", "section")
-        .agg(F.max_by(F.struct("stats", "percentiles"), "pos").alias("s"))
-        .select("path", "section", "s.*")
+        .withColumn("stats", F.when(F.col("section") != "", F.transform_keys(stats, lambda k, _: F.lower(k))))
+        .withColumn("percentiles", F.when(F.col("section") != "", _number_map(F.col("body"), PERCENTILE, levels)))
+        .withColumns({"_tv": number(THROUGHPUT), "_tp": at(THROUGHPUT), "_vv": number(VARIANCE), "_vp": at(VARIANCE)})
     )
-    first = lambda pattern: F.min_by(
-        F.regexp_extract("line", pattern, 1).try_cast("double"),
-        F.when(F.regexp_extract("line", pattern, 1) != "", F.col("pos")),
+    first = lambda c: F.min_by(F.struct(f"_{c}v"), f"_{c}p").alias(f"_{c}")
+    folded = parsed.groupBy("path", "section").agg(
+        F.max_by(F.struct("stats", "percentiles"), F.when(F.size("stats") > 0, F.col("pos"))).alias("s"),
+        F.min("_tp").alias("_tp"), first("t"), F.min("_vp").alias("_vp"), first("v"),
     )
-    overall = lines.groupBy("path").agg(
-        first(THROUGHPUT).alias("throughput_qps"), first(VARIANCE).alias("compute_variance_pct")
+    report = Window.partitionBy("path")
+    whole = lambda c: F.min_by(f"_{c}", f"_{c}p").over(report)[f"_{c}v"]
+    overall = folded.withColumn("throughput_qps", whole("t")).withColumn("compute_variance_pct", whole("v"))
+    return overall.where((F.col("section") != "") & F.col("s").isNotNull()).select(
+        "path", "section", "s.*", "throughput_qps", "compute_variance_pct"
     )
-    return sections.join(overall, "path")
 
 
 def latency_summary(sections: DataFrame) -> DataFrame:
