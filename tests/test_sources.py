@@ -453,3 +453,11 @@ def test_latency_reports_are_read_once(spark):
     assert optimized(found).count("Relation [") == 1
     (row,) = found.collect()
     assert (row.section, row.stats, row.throughput_qps, row.compute_variance_pct) == ("Latency", {"min": 2.0, "max": 4.0}, 5.0, None)
+
+
+def test_files_are_written_by_the_tasks(spark):
+    from trackhouse.catalog.files import _write_files
+
+    root = scratch()
+    _write_files(spark.createDataFrame([(f"d{i % 3}/_f{i}", b"x" * i) for i in range(20)], "rel string, data binary"), root)
+    assert sorted((n, os.path.getsize(os.path.join(d, n))) for d, _, names in os.walk(root) for n in names) == sorted((f"_f{i}", i) for i in range(20))
