@@ -273,3 +273,11 @@ def test_roll_up_names_every_failure_when_asked(spark):
     many = spark.createDataFrame([(f"c{i:02d}", False, "", "warn") for i in range(45)], "name string, ok boolean, detail string, severity string")
     assert checks.roll_up(many, listed=None).first().warnings == [f"c{i:02d}" for i in range(45)]
     assert "<= 20" not in catalog.all_oracles()["d18_check_rollup"]
+
+
+def test_telemetry_evaluates_each_pattern_once(spark):
+    from trackhouse.catalog.scalars import telemetry_derived
+
+    plan = telemetry_derived(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Cores, and names and values of temperatures and of rails.
+    assert plan.count("get_json_object(") == 1 and plan.count("regexp_extract_all(") == 5

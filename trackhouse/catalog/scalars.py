@@ -317,8 +317,9 @@ def budget_status(spark, sf_dir):
 def telemetry_derived(spark, sf_dir):
     from trackhouse.functions.devices import derived_columns, telemetry_columns
 
-    e = events(spark, sf_dir, "event_id", "props")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # Number and line are columns of their own, so that each is made once a row.
+    e = events(spark, sf_dir, "event_id", "props").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k = F.col("k")
     soc = F.concat(
         F.lit("soc0@"), k + 0.5, F.lit("C soc1@"), k * 7 % 90 + 0.25, F.lit("C tj@"), k + 2.5, F.lit("C")
     )
@@ -328,7 +329,7 @@ def telemetry_derived(spark, sf_dir):
         F.lit("%@729,7%@1190] GR3D_FREQ 5% "), F.when(F.col("event_id") % 2 == 0, soc).otherwise(tj),
         F.lit(" VDD_GPU "), k * 10, F.lit("mW/1mW/2mW VIN 250mW/1mW/2mW"),
     )
-    parsed = e.select("event_id", *telemetry_columns(line))
+    parsed = e.select("event_id", line.alias("line")).select("event_id", *telemetry_columns(F.col("line")))
     return parsed.select("event_id", *derived_columns()).select(
         "event_id",
         r6(F.col("ram_used_gb")).alias("ram_used_gb"),

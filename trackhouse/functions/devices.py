@@ -32,11 +32,14 @@ def _all(line: Column, pattern: str, group: int, kind: str) -> Column:
 
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of parallel arrays in which a repeated key keeps its last value."""
-    later_first, of = F.reverse(keys), F.reverse(values)
-    names = F.array_distinct(later_first)
-    return F.map_from_arrays(
-        names, F.transform(names, lambda k: F.get(of, F.array_position(later_first, k).cast("int") - 1))
-    )
+
+    def build(p: Column) -> Column:
+        names = F.array_distinct(p["k"])
+        return F.map_from_arrays(names, F.transform(names, lambda k: F.get(p["v"], F.array_position(p["k"], k).cast("int") - 1)))
+
+    # Both arrays are made once and then bound: what stands inside a lambda is worked out for every element.
+    later_first = F.struct(F.reverse(keys).alias("k"), F.reverse(values).alias("v"))
+    return F.get(F.transform(F.array(later_first), build), 0)
 
 
 def telemetry_columns(line: Column) -> list[Column]:
