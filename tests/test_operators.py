@@ -281,3 +281,10 @@ def test_telemetry_evaluates_each_pattern_once(spark):
     plan = telemetry_derived(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # Cores, and names and values of temperatures and of rails.
     assert plan.count("get_json_object(") == 1 and plan.count("regexp_extract_all(") == 5
+
+
+def test_split_summary_counts_without_expanding_rows(spark):
+    rows = [("a", "s", "k1", 1, 5), ("a", "s", "k1", 255, 2), ("a", "t", "k1", 1, 1), ("a", None, "k2", 255, 3), ("b", "s", "k1", 1, 4)]
+    found = histograms.split_summary(spark.createDataFrame(rows, "split string, sequence string, key string, train_id int, n long"))
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 2, 2, 6, 5), ("b", 1, 1, 4, 0)]

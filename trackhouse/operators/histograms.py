@@ -73,11 +73,17 @@ def split_summary(per_image: DataFrame, split: str = "split") -> DataFrame:
     ``per_image`` has one row per image and class: ``split, sequence, key, train_id, n``.
     """
     labelled = F.col("train_id") != IGNORE_ID
-    return per_image.groupBy(split).agg(
-        F.count_distinct("sequence", "key").alias("samples"),
-        F.count_distinct("sequence").alias("sequences"),
-        F.coalesce(F.sum(F.when(labelled, F.col("n"))), F.lit(0)).alias("labelled_pixels"),
-        F.coalesce(F.sum(F.when(~labelled, F.col("n"))), F.lit(0)).alias("ignore_pixels"),
+    # Level by level, as a distinct count holds every row three times over: images, sequences, splits.
+    images = per_image.groupBy(split, "sequence", "key").agg(
+        F.sum(F.when(labelled, F.col("n"))).alias("labelled_pixels"), F.sum(F.when(~labelled, F.col("n"))).alias("ignore_pixels")
+    )
+    whole = F.col("sequence").isNotNull() & F.col("key").isNotNull()
+    pixels = [F.sum(c).alias(c) for c in ("labelled_pixels", "ignore_pixels")]
+    sequences = images.groupBy(split, "sequence").agg(F.count_if(whole).alias("samples"), *pixels)
+    return sequences.groupBy(split).agg(
+        F.sum("samples").alias("samples"),
+        F.count("sequence").alias("sequences"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("labelled_pixels", "ignore_pixels")],
     )
 
 

@@ -12,6 +12,8 @@ from trackhouse.sources.shards import SAMPLES_PER_SHARD, pack
 
 #: Offending files that an error names; it always tells how many there are.
 LISTED = 20
+#: Rows of counts in a task, of which most may be images of their own.
+TASK_ROWS = 1_000_000
 
 
 def require_known(counts: DataFrame, lut: DataFrame, path: str, id_col: str = "level3_id") -> DataFrame:
@@ -47,7 +49,9 @@ def shard_index(
     """
     if checked:
         require_known(counts, lut, "key")
-    per_image = collapse(counts, lut)
+    # Dealt by image first: aggregates before an exchange would hold nearly every row of a scan's task.
+    tasks = max(counts.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // TASK_ROWS))
+    per_image = collapse(counts.repartition(tasks, "split", "sequence", "key"), lut)
     splits = histograms.split_summary(per_image).withColumn("shards", F.ceil(F.col("samples") / per_shard).cast("bigint"))
     pixels = per_image.where(F.col("train_id") != taxonomy.IGNORE_ID).groupBy("split", "train_id").agg(F.sum("n").alias("n"))
     every = splits.select("split", F.explode(F.array(*[F.lit(c) for c in classes])).alias("train_id"))
