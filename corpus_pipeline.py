@@ -27,6 +27,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without letters or between two languages go."""
+    workers.release(spark)  # of what an earlier job of the session left, such as the packing of another run
     model = language.train(docs.where(remainder("doc_id", 4) != 2))
     return language.predict(docs, model).where(~F.col("rejected")).select(docs.columns)
 
@@ -67,7 +68,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     workers.release(spark)
-    return packing.pack(packing.cut(docs, TOKENIZER))
+    # The pieces are written, so that the encoders' tables can go before the search begins.
+    pieces = durable(packing.cut(docs, TOKENIZER))
+    workers.release(spark)
+    return packing.pack(pieces)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

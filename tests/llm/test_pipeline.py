@@ -7,6 +7,8 @@ from collections import defaultdict
 import corpus_pipeline as p
 import pytest
 
+from trackhouse.llm import bpe, packing, words
+
 from .test_minhash import shingle_set
 from .test_packing import check
 from .test_repeats import brute as repeats_brute
@@ -104,3 +106,28 @@ def test_near_copies_do_not_depend_on_ids(spark, small_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
     got = p.one_of_near_copies(spark, docs, small_dir).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, one + " end"), (5, two), (5, three)]
+
+
+def test_stages_begin_with_workers_that_forgot(spark, small_dir, monkeypatch):
+    """The first stage drops what an earlier run left in the workers, and the search for a packing begins without encoders."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    held = []
+
+    def look(batches):
+        for b in batches:
+            yield type(b).from_pydict({"id": [bpe.encoder.cache_info().currsize + words._powers.cache_info().currsize] * b.num_rows})
+
+    def seen():
+        return {r.id for r in spark.range(0, 8, 1, 8).mapInArrow(look, "id long").collect()}
+
+    def pack(pieces, **options):
+        held.append(seen())
+        return pieces
+
+    packing.cut(docs.repartition(8), p.TOKENIZER).count()
+    assert seen() != {0}
+    p.known_language(spark, docs, small_dir)
+    assert seen() == {0}
+    monkeypatch.setattr(p.packing, "pack", pack)
+    p.packed(spark, docs.repartition(8), small_dir).count()
+    assert held == [{0}]
