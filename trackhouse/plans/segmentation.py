@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackhouse.operators import histograms, taxonomy
+from trackhouse.session import released, stored
 from trackhouse.sources.shards import SAMPLES_PER_SHARD, pack
 
 #: Offending files that an error names; it always tells how many there are.
@@ -90,10 +91,14 @@ def pack_and_index(
     samples: DataFrame, lut: DataFrame, out_dir: str, splits: Sequence[str], classes: Sequence[int], *, per_shard: int = SAMPLES_PER_SHARD, train: str = "train"
 ) -> DataFrame:
     """Masks to index: each of the named ``splits`` of ``samples`` (``split, key, sequence, image, mask, width, height``) is
-    gated, collapsed, counted and packed in one pass, and the index is made from the shards' own counts."""
-    packed = None
+    gated, collapsed, counted and packed in one pass, and the index is made from the shards' own counts.
+
+    The samples are written once, as every split ranks their keys and then reads them again: from a source of
+    small files that would be opening and decoding each file several times a split. The copy goes at the end."""
+    packed, samples = None, stored(samples)
     for split in splits:
         mine = samples.where(F.col("split") == split).drop("split")
         stats = pack(mine, split, out_dir, per_shard=per_shard, lut=lut, classes=classes).withColumn("split", F.lit(split))
         packed = stats if packed is None else packed.unionByName(stats)
+    released(samples)
     return packed_index(packed, classes, train=train)
