@@ -1,5 +1,6 @@
 """Streams give what their batch twins give."""
 
+import datetime
 import os
 import tempfile
 
@@ -258,6 +259,50 @@ def test_alignment_waits_for_far_neighbours(spark):
     assert np.allclose(got.v.to_numpy(float), want.out.to_numpy(float), equal_nan=True, atol=1e-6)
 
 
+def test_alignment_deals_many_routes_over_few_states(spark):
+    """A call costs the same for one row as for thousands: states must not grow with the routes."""
+    rng = np.random.default_rng(5)
+    base = pd.Timestamp("2024-01-01")
+    when = lambda a: [base + pd.Timedelta(seconds=float(x)) for x in a]
+    names = [f"r{i}" for i in range(300)]
+    ft, st = rng.uniform(0, 3000, 900).round(3), rng.uniform(0, 3000, 1500).round(3)
+    fixes = pd.DataFrame({"route": rng.permutation(names * 3), "frame": [f"f{i}" for i in range(900)], "at": when(ft)})
+    obd = pd.DataFrame({"route": rng.choice(names, 1500), "at": when(st), "v": st * 3})
+    cuts = lambda d, n: [d.iloc[i::n] for i in range(n)]
+    far = pd.DataFrame({"route": ["end"], "frame": ["end"], "at": when([9e6])})
+    cast = lambda d: d.withColumn("at", F.col("at").cast("timestamp"))
+    aligned = sensors.align(
+        cast(stream_of(spark, *cuts(fixes, 2), far)), cast(stream_of(spark, *cuts(obd, 3))), "route", "frame", "at", "v",
+        tolerance_s=200.0, late="10 hours", patience_s=1e6, slots=16,
+    )
+    q = aligned.writeStream.format("memory").queryName("few_states").option("checkpointLocation", scratch()).start()
+    q.processAllAvailable()
+    states = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    q.stop()
+    assert 1 <= max(states) <= 16
+    got = spark.table("few_states").where("frame <> 'end'").toPandas().sort_values("frame")
+    rows = spark.createDataFrame(pd.DataFrame({"route": fixes.route, "frame": fixes.frame, "t": ft}))
+    samples = spark.createDataFrame(pd.DataFrame({"route": obd.route, "t": st, "v": obd.v}))
+    want = asof.interpolate(rows, samples, ["route"], "t", "v", 200.0, "out", width=5.0).toPandas().sort_values("frame")
+    assert list(got.frame) == list(want.frame) and list(got.route) == list(want.route)
+    assert 0 < want.out.notna().sum() < 900
+    assert np.allclose(got.v.to_numpy(float), want.out.to_numpy(float), equal_nan=True, atol=1e-6)
+
+
+def test_alignment_keeps_fixes_without_route_or_time(spark):
+    schema = "route bigint, frame bigint, at timestamp, v double"
+    base = datetime.datetime(2024, 1, 1)
+    folder = scratch()
+    big = 2**53 + 1  # not a float
+    fixes = [(big, big, base, None), (None, 1, base, None), (big, 2, None, None), (-1, 3, base + datetime.timedelta(days=99), None)]
+    points = [(big, None, base, 5.0), (None, None, base, 7.0)]
+    spark.createDataFrame(fixes + points, schema).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(schema).parquet(folder)
+    got = drain(sensors.align(source.where("v is null"), source.where("v is not null"), "route", "frame", "at", "v", tolerance_s=1, late="1 day", patience_s=60))
+    plain = lambda x: None if pd.isna(x) else x
+    assert {int(f): plain(v) for f, v in zip(got.frame, got.v) if f != 3} == {big: 5.0, 1: None, 2: None}
+
+
 def test_latest_values_stream(spark):
     pdf = pd.DataFrame({"run": "r", "name": ["l", "l", "m"], "value": [1.0, 2.0, 5.0], "pos": [0, 1, 2]})
     got = drain(runs.latest_values(stream_of(spark, pdf), ["run", "name"], "value", "pos"), "complete")

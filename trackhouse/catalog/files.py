@@ -482,7 +482,7 @@ def stream_alignment(spark, sf_dir):
     One row far ahead closes the stream, so that what still waits for a right neighbour goes out."""
     place, out, state = (scratch(spark, n) for n in ("aligned-in", "aligned", "state"))
     e = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value", F.timestamp_micros("ts_us").alias("at"))
-    e.repartition(4, "event_id").write.parquet(place)
+    e.repartition("event_id").write.parquet(place)
     end = spark.range(1).select(
         (-F.col("id") - 1).alias("event_id"), F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("click").alias("event_type"),
         F.lit(0.0).cast(e.schema["value"].dataType).alias("value"), F.timestamp_seconds(F.lit(4102444800)).alias("at"),
