@@ -266,6 +266,24 @@ def test_rates_give_the_double_nearest_to_a_time(spark):
     assert all(r["first"] == (1_700_000_000_000_000 + 7_654_321 * r.k) / 1e6 for r in got) and len(got) == 200
 
 
+def test_clock_offset_of_users_with_a_single_time(spark, tmp_path):
+    """As in SQL: one click or one view is enough for an offset, equal times and a missing one too."""
+    import duckdb
+    import oracle
+
+    from trackhouse import catalog
+
+    rows = [("click", 1, "00:10:00"), ("view", 1, "00:00:00.0625"), ("view", 1, "00:30:00"), ("click", 2, "05:30:00"), ("click", 2, "05:30:00"),
+            ("view", 2, "00:00:00"), ("click", 3, None), ("view", 3, "00:00:01"), ("click", 4, "00:00:01"), ("click", None, "00:00:01"),
+            ("view", None, "00:00:01"), ("click", 5, "00:00:01"), ("click", 5, "00:00:03"), ("view", 5, "00:00:01"), ("view", 5, "00:00:09")]
+    values = ", ".join(f"({i}, {f'TIMESTAMP {chr(39)}2024-01-01 {t}{chr(39)}' if t else 'NULL'}, {u if u else 'NULL'}, '{k}', 1.0)" for i, (k, u, t) in enumerate(rows))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT v.id::BIGINT AS event_id, v.ts::TIMESTAMP AS ts, v.u::BIGINT AS user_id, v.k AS event_type, v.x::DOUBLE AS value FROM (VALUES {values}) AS v(id, ts, u, k, x)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = catalog.all_queries()["d19_clock_offset"](spark, str(tmp_path))
+    assert found.count() == 4 and oracle.compare(found, con, catalog.all_oracles()["d19_clock_offset"]) is None
+
+
 def test_roll_up_names_every_failure_when_asked(spark):
     from trackhouse import catalog
     from trackhouse.operators import checks

@@ -21,6 +21,21 @@ KNOWN_OFFSETS = (
 )
 
 
+def _in_seconds(value: Column, seconds: float) -> Column:
+    # A millionth is no double, but a million is: a quotient is the double nearest to the time.
+    return value / F.lit(float(round(1 / seconds))) if seconds < 1 else value * seconds
+
+
+def measure_spans(df: DataFrame, keys: Sequence[str], t: str, seconds: float = 1.0) -> DataFrame:
+    """How many times parsed, the first and the last of each table's time column; one time is enough."""
+    return df.groupBy(*keys).agg(
+        F.count(t).alias("parsed"),
+        F.count(F.when(F.col(t).isNull(), 1)).alias("unparsed"),
+        _in_seconds(F.min(t), seconds).alias("first"),
+        _in_seconds(F.max(t), seconds).alias("last"),
+    )
+
+
 def measure_rates(df: DataFrame, keys: Sequence[str], t: str, seconds: float = 1.0) -> DataFrame:
     """First, last, span, median positive step and rate of each table's time column, over all rows.
 
@@ -29,19 +44,12 @@ def measure_rates(df: DataFrame, keys: Sequence[str], t: str, seconds: float = 1
     folded first, since only steps that advance count, and steps are taken per time chunk.
     """
     keys = list(keys)
-    # A millionth is no double, but a million is: a quotient is the double nearest to the time.
-    in_seconds = lambda c: c / F.lit(float(round(1 / seconds))) if seconds < 1 else c * seconds
-    facts = df.groupBy(*keys).agg(
-        F.count(t).alias("parsed"),
-        F.count(F.when(F.col(t).isNull(), 1)).alias("unparsed"),
-        in_seconds(F.min(t)).alias("first"),
-        in_seconds(F.max(t)).alias("last"),
-    )
+    facts = measure_spans(df, keys, t, seconds)
     times = df.where(F.col(t).isNotNull()).select(*keys, t).distinct()
     stepped = previous(times, timeline(times, keys, t, least=1e-6), {t: "_before"})
     steps = stepped.select(*keys, (F.col(t) - F.col("_before")).alias("_step"))
     medians = exact_quantiles(steps, keys, "_step", {"_median": 0.5}, upper=True)
-    median = in_seconds(F.col("_median"))
+    median = _in_seconds(F.col("_median"), seconds)
     return (
         facts.join(medians, keys, "left")
         .withColumn("span_s", F.round(F.col("last") - F.col("first"), 3))
@@ -76,9 +84,10 @@ def nearest_offset(raw: Column, known=KNOWN_OFFSETS) -> Column:
 def propose_offsets(gps: DataFrame, obd: DataFrame, route: str = "route") -> DataFrame:
     """Offset that brings bus times onto the position clock, from the two starts.
 
-    Both inputs are rate rows, one per route; a route with an error on either side has none.
+    Both inputs are one row per route. Of rates, a route with an error on either side has none; spans
+    (``measure_spans``) are all taken as they are.
     """
-    usable = lambda df: df.where(F.col("error").isNull() & F.col("first").isNotNull())
+    usable = lambda df: df.where(F.col("error").isNull() & F.col("first").isNotNull()) if "error" in df.columns else df
     g, o = usable(gps).alias("g"), usable(obd).alias("o")
     raw = F.col("g.first") - F.col("o.first")
     overlap = F.least("g.last", "o.last") - F.greatest("g.first", "o.first")
