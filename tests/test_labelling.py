@@ -192,3 +192,66 @@ def test_shares_of_routes_leave_only_their_summaries(spark, monkeypatch):
     left = [n for n in set(os.listdir(place)) - before if n.startswith("table-")]
     names = {c for n in left for c in spark.read.parquet(f"{place}/{n}").columns}
     assert left and not names & {"lat", "enu_x", "t"}
+
+
+def drives(rng):
+    """Routes with stops, gaps, a route that crosses many chunks, bus samples that are sparse, late, doubled or missing."""
+    fixes, bus = [], []
+    for k, factor in enumerate((None, 1.0, 3.6, 3.6)):
+        pdf = circle(secs=25 + k, route=f"r{k}", v=8.0 + k)
+        stop = (pdf.t > 104) & (pdf.t < 112)
+        pdf.loc[stop, ["lat", "lon"]] = pdf.loc[stop, ["lat", "lon"]].iloc[0].to_numpy()
+        fixes.append(pdf[(pdf.frame < 250) | (pdf.frame > 262)])
+        if factor:
+            t = np.sort(np.append(rng.choice(pdf.t, 9, replace=False), [95.0, 108.25, 108.25]))
+            bus.append(pd.DataFrame({"route": f"r{k}", "t": t, "speed": (8.0 + k) * factor + rng.normal(0, 0.01, len(t))}))
+    return pd.concat(fixes), pd.concat(bus)
+
+
+@pytest.mark.parametrize("chunk_s, slice_rows", [(900.0, 100_000), (3.0, 1), (1.0, 100)])
+def test_packed_chunks_label_as_rows_do(spark, monkeypatch, chunk_s, slice_rows):
+    """Gathered by chunk, with bus speeds found there, the labels are those of the steps on rows."""
+    from trackhouse.operators import packed
+
+    monkeypatch.setattr(packed, "SLICE", slice_rows)
+    gps, obd = (spark.createDataFrame(p) for p in drives(np.random.default_rng(7)))
+    near = spark.createDataFrame([("r2", 0.4), ("r3", 0.0)], "route string, tolerance_s double")
+    rules = plan.Rules(chunk_s=chunk_s)
+    done = plan.run_tables(gps, obd, near, rules, default_tolerance_s=2.0)
+    synced = session.durable(plan.synchronise(gps, obd, near, rules, default_tolerance_s=2.0))
+    track = session.durable(plan.smoothed_track(synced, rules))
+    units = session.durable(plan.speed_units(track))
+    want = plan.label(track, units, rules)
+    assert sorted(done.units.collect(), key=str) == sorted(units.collect(), key=str)
+    assert {r.unit for r in done.units.collect()} == {"m/s", "km/h"}
+    order = lambda df: df.toPandas().sort_values(["route", "t"]).reset_index(drop=True)[want.columns]
+    pd.testing.assert_frame_equal(order(done.fixes), order(want), atol=1e-9)
+    pd.testing.assert_frame_equal(order(plan.run(synced, rules).fixes), order(want), atol=1e-9)
+    few = plan.run_tables(gps, obd, near, rules, default_tolerance_s=2.0, columns=["wp_x4"])
+    assert set(few.fixes.columns) == {*plan.KEYS, "wp_x4"} and few.fixes.count() == want.count()
+
+
+def test_tables_reach_python_chunk_by_chunk(spark):
+    """One exchange of fixes and samples; Python gets one row per chunk, not one per fix."""
+    gps, obd = (spark.createDataFrame(p) for p in drives(np.random.default_rng(7)))
+    from trackhouse.operators.packed import pack_chunks
+
+    tl = timeline.Timeline(("route",), "t", 5.0)
+    packed = pack_chunks(gps.withColumn("_tol", F.lit(1.0)), obd, tl, 340_000, 5.0, 8.0)
+    assert exchanges(packed, "") == 1
+    lost = pd.DataFrame({"route": [None, "r9"], "frame": [0, 0], "t": [1.0, None], "lat": [LAT0] * 2, "lon": [LON0] * 2})
+    chunks = session.durable(pack_chunks(gps.unionByName(spark.createDataFrame(lost, gps.schema)).withColumn("_tol", F.lit(1.0)), obd, tl, 340_000, 5.0, 8.0))
+    assert chunks.count() < 40 < gps.count() and chunks.agg(F.sum(F.col("_hi") - F.col("_lo"))).first()[0] == gps.count()
+    assert chunks.groupBy("route", "_chunk").count().where("count > 1").isEmpty()
+
+
+def test_quantiles_without_folding_move_only_wanted_chunks(spark):
+    from trackhouse.operators.ranking import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 500), "v": np.round(rng.exponential(30, 500), 1)})
+    rows = spark.createDataFrame(pdf)
+    for width in (None, 5.0):
+        got = exact_quantiles(rows, ["k"], "v", {"q": 0.85}, width=width, fold=False).toPandas().set_index("k").q
+        for k, part in pdf.groupby("k"):
+            assert got[k] == pytest.approx(part.v.quantile(0.85))

@@ -22,51 +22,67 @@ FIXES = 64
 BATCH_EVENTS = 1_000_000
 
 
-def fixes(spark, sf_dir, part=0, parts=1):
-    """The fixes of every route, or of one of ``parts`` shares of the routes."""
-    e = events(spark, sf_dir).drop("value", "event_type").where(F.pmod(F.xxhash64("user_id"), F.lit(parts)) == part)
+def drives(spark, sf_dir, part=0, parts=1):
+    """The drive of every event of all routes, or of one of ``parts`` shares of the routes; an event without
+    a user has no route."""
+    e = events(spark, sf_dir, "event_id", "user_id").where(F.pmod(F.xxhash64("user_id"), F.lit(parts)) == part).where("user_id IS NOT NULL")
     e = number_rows(e, timeline(e, ["user_id"], "ts_us", ties=["event_id"]), "k")
-    drive = e.select(
+    angle = F.radians((F.col("event_id") % 360).cast("double"))
+    return e.select(
         F.concat(F.lit("u"), "user_id").alias("route"),
         "k",
         (F.col("event_id") % 12).cast("double").alias("v"),
         ((F.col("event_id") % 7 - 3) * F.lit(0.3)).alias("c"),
-        F.radians((F.col("event_id") % 360).cast("double")).alias("a"),
+        F.cos(angle).alias("cos_a"),
+        F.sin(angle).alias("sin_a"),
     )
-    # A drive becomes 64 fixes: spread the few drives first.
-    drive = drive.repartition(spark.sparkContext.defaultParallelism)
+
+
+def rounded(value, digits):
+    """``value``, not negative, to so many decimals: the double nearest to the whole number of such steps."""
+    return F.floor(value * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
+
+
+def fixes(drive):
+    """The 64 fixes of every drive."""
     rows = drive.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(FIXES - 1))))
     tau = F.col("i") / 15.0
     along, side = F.col("v") * tau, F.col("c") * tau * tau
-    east = along * F.cos("a") - side * F.sin("a")
-    north = along * F.sin("a") + side * F.cos("a")
-    speed = 3.6 * F.sqrt(F.col("v") * F.col("v") + 4 * F.col("c") * F.col("c") * tau * tau)
+    east = along * F.col("cos_a") - side * F.col("sin_a")
+    north = along * F.col("sin_a") + side * F.col("cos_a")
     return rows.select(
         "route",
         ((F.col("k") - 1) * FIXES + F.col("i")).alias("frame"),
-        F.round(F.col("k") * 6 + tau, 6).alias("t"),
-        F.round(17.4962 + north / 111132.0, 7).alias("lat"),
-        F.round(78.4156 + east / 106170.0, 7).alias("lon"),
-        F.when(F.col("i") % 15 == 0, F.round(speed, 1)).alias("speed"),
+        rounded(F.col("k") * 6 + tau, 6).alias("t"),
+        rounded(17.4962 + north / 111132.0, 7).alias("lat"),
+        rounded(78.4156 + east / 106170.0, 7).alias("lon"),
     )
 
 
-def labelled(spark, sf_dir, part=0, parts=1):
-    track = stored(fixes(spark, sf_dir, part, parts))
-    obd = track.where(F.col("speed").isNotNull()).select("route", "t", "speed")
-    synced = labelling.synchronise(track.drop("speed"), obd, None, default_tolerance_s=1.0)
-    done = labelling.run(synced)
-    released(track)
+def samples(drive):
+    """The bus speeds of every drive, at each fifteenth fix."""
+    rows = drive.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(FIXES - 1), F.lit(15))))
+    tau = F.col("i") / 15.0
+    speed = 3.6 * F.sqrt(F.col("v") * F.col("v") + 4 * F.col("c") * F.col("c") * tau * tau)
+    return rows.select("route", rounded(F.col("k") * 6 + tau, 6).alias("t"), rounded(speed, 1).alias("speed"))
+
+
+def labelled(spark, sf_dir, part=0, parts=1, columns=None):
+    # A drive becomes 64 fixes: spread the few drives first.
+    found = drives(spark, sf_dir, part, parts)
+    drive = stored(found.repartition(spark.sparkContext.defaultParallelism))
+    done = labelling.run_tables(fixes(drive), samples(drive), default_tolerance_s=1.0, columns=columns)
+    released(drive)
     return done
 
 
-def by_routes(spark, sf_dir, summary):
-    """``summary`` of every labelling run: routes are labelled share by share, all of them, and only the
+def by_routes(spark, sf_dir, summary, columns):
+    """``summary`` of every labelling run, which reads ``columns`` of the labels: routes are labelled share by share, all of them, and only the
     summaries of a share stay when the next begins."""
     parts = max(1, -(-events(spark, sf_dir, "user_id").count() // BATCH_EVENTS))
     place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/summaries-{uuid.uuid4().hex}"
     for part in range(parts):
-        done = labelled(spark, sf_dir, part, parts)
+        done = labelled(spark, sf_dir, part, parts, columns)
         rows = stored(summary(done), place)
         done.release()
     return rows
@@ -131,14 +147,14 @@ TRACK_SQL = f"""
 def waypoint_labels(spark, sf_dir):
     """Per route and segment: kept frames, validation frames, mean speed, heading, waypoints."""
     # A heading of exactly half a turn may carry either sign; its sine and cosine do not.
-    angle = F.col("heading_rad")
+    angle, means = F.col("heading_rad"), ("speed_mps", "wp_x0", "wp_x4", "wp_y4")
     return by_routes(spark, sf_dir, lambda done: done.frames.groupBy("route", "segment").agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if(F.col("split") == "val").alias("val"),
         F.round(F.avg(F.cos(angle)), 4).alias("heading_cos"),
         F.round(F.avg(F.sin(angle)), 4).alias("heading_sin"),
-        *[F.round(F.avg(c), 4).alias(c) for c in ("speed_mps", "wp_x0", "wp_x4", "wp_y4")],
-    ))
+        *[F.round(F.avg(c), 4).alias(c) for c in means],
+    ), ["heading_rad", *means])
 
 
 @query(
@@ -154,7 +170,7 @@ def waypoint_labels(spark, sf_dir):
            CAST(sum(gps_fixes) AS BIGINT), CAST(sum(obd_matched) AS BIGINT), NULL, NULL, round(avg(retained_pct), 6), round(avg(obd_matched_pct), 6) FROM b""",
 )
 def route_report(spark, sf_dir):
-    report = labelling.with_total(by_routes(spark, sf_dir, labelling.route_rows))
+    report = labelling.with_total(by_routes(spark, sf_dir, labelling.route_rows, ["obd_speed"]))
     return report.withColumns(
         {
             "val_cutoff_t": F.round("val_cutoff_t", 4),

@@ -19,6 +19,7 @@ def exact_quantiles(
     *,
     upper: bool = False,
     width: float | None = None,
+    fold: bool = True,
 ) -> DataFrame:
     """Exact quantiles per key; ``probabilities`` maps output name -> p.
 
@@ -27,12 +28,12 @@ def exact_quantiles(
 
     Equal values are first folded into one row with a count. The folded rows are cut into value
     chunks, chunk counts give every chunk's starting rank, and only the chunks that hold a wanted
-    rank are read again.
+    rank are read again. Values that hardly repeat need no folding (``fold``): then rows are only
+    counted, and no others than those of such chunks are moved. ``df`` is read twice.
     """
     keys = list(keys)
-    folded = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    there = df.where(F.col(value).isNotNull())
+    folded = there.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")) if fold else there.select(*keys, value, F.lit(1).cast("bigint").alias("_n"))
     if width is None:
         width = fit_width(folded, keys, value, least=1e-9)
     tl = Timeline(tuple(keys), value, width)

@@ -32,14 +32,12 @@ FACTS = "_part int, segment int, seg_rows bigint, seg_lat0 double, seg_lon0 doub
 
 
 class Chunks:
-    """Sorted fixes of whole chunks, cut where the chunk changes or a step is longer than ``max_gap``."""
+    """Sorted fixes of whole chunks, cut where the chunk changes (``border``) or a step is longer than
+    ``max_gap``; ``own`` tells them from copies."""
 
-    def __init__(self, table: pa.Table, group: Sequence[str], t: str, own: str, max_gap: int):
-        self.table = table
-        border = borders(table, group)
+    def __init__(self, border: np.ndarray, t: np.ndarray, own: np.ndarray, max_gap: int):
         self.group = np.cumsum(border) - 1
-        self.t = table[t].to_numpy()
-        self.own = np.asarray(table[own].to_numpy(zero_copy_only=False), bool)
+        self.t, self.own = t, own
         self.gaps = np.diff(self.t, prepend=self.t[:1])
         self.new = border | (self.gaps > max_gap)
         self.run = np.cumsum(self.new) - 1
@@ -55,9 +53,19 @@ class Chunks:
         self.place = np.full(len(self.heads) - 1, -1, np.int64)
         self.place[runs] = np.arange(len(runs))
 
-    def column(self, name: str) -> np.ndarray:
-        """Values as doubles; NULL is NaN."""
-        return self.table[name].to_numpy().astype(np.float64)
+    @classmethod
+    def of(cls, table: pa.Table, group: Sequence[str], t: str, own: str, max_gap: int) -> Chunks:
+        mine = np.asarray(table[own].to_numpy(zero_copy_only=False), bool)
+        return cls(borders(table, group), table[t].to_numpy(), mine, max_gap)
+
+    def whole(self) -> np.ndarray:
+        """The runs that begin and end among their chunk's own fixes."""
+        return self.own[self.heads[:-1]] & self.own[self.heads[1:] - 1]
+
+
+def _doubles(table: pa.Table, name: str) -> np.ndarray:
+    """Values as doubles; NULL is NaN."""
+    return table[name].to_numpy().astype(np.float64)
 
 
 def cut_chunks(copies: DataFrame, tl: Timeline, max_gap: int, own: str) -> DataFrame:
@@ -68,8 +76,8 @@ def cut_chunks(copies: DataFrame, tl: Timeline, max_gap: int, own: str) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, tl.group, [tl.order], at_once):
-            chunks = Chunks(table, tl.group, tl.order, own, max_gap)
-            lat, lon = chunks.column("lat"), chunks.column("lon")
+            chunks = Chunks.of(table, tl.group, tl.order, own, max_gap)
+            lat, lon = _doubles(table, "lat"), _doubles(table, "lon")
             inside = np.flatnonzero(chunks.own & ~chunks.new)
             folded, times = np.unique(chunks.place[chunks.run[inside]] * span + chunks.gaps[inside], return_counts=True)
             cuts = pa.array(np.searchsorted(folded // span, np.arange(len(chunks.runs) + 1)).astype(np.int32))
@@ -94,7 +102,12 @@ def number_segments(cuts: DataFrame, tl: Timeline) -> DataFrame:
     """
     (key,) = tl.keys
     along = Window.partitionBy(key).orderBy(tl.chunk, "_part")
-    numbered = cuts.withColumn("segment", (F.sum(F.col("_fresh").cast("int")).over(along) - 1).cast("int"))
+    return segment_facts(cuts.withColumn("segment", (F.sum(F.col("_fresh").cast("int")).over(along) - 1).cast("int")), tl)
+
+
+def segment_facts(numbered: DataFrame, tl: Timeline) -> DataFrame:
+    """``number_segments`` of runs that have the number of their ``segment``."""
+    (key,) = tl.keys
     folded = numbered.select(key, "segment", F.explode(F.arrays_zip("_steps", "_counts")).alias("_s")).select(
         key, "segment", F.col("_s._steps").alias("_step"), F.col("_s._counts").alias("_times")
     )
@@ -129,7 +142,25 @@ def smooth_runs(
     """Smoothed value and change per step of every row of ``values``, whose runs start at ``head`` and
     hold ``size`` rows; NaN in runs that are too short for a fit."""
     table, starts = smoothing_cases(widest, order)
-    rows = np.arange(len(head))
+    # Full windows lie the same way around their row: one sum over shifted rows for all of them.
+    place = np.arange(len(head)) - head
+    half = (widest - 1) // 2
+    inner = (size >= widest) & (place >= half) & (place < size - (widest - 1 - half))
+    middle = [np.ascontiguousarray(x) for x in table[starts[widest] + half]]
+    rows = np.flatnonzero(~inner)
+    out = []
+    for v, (value, rate) in zip(values, _smooth_each(values, rows, head[rows], size[rows], table, starts, widest, order)):
+        whole = (np.zeros(len(head)), np.zeros(len(head)))
+        for of_all, weight, of_rest in zip(whole, middle, (value, rate)):
+            if len(head) >= widest:
+                of_all[half : len(head) - (widest - 1 - half)] = np.correlate(v, weight, "valid")
+            of_all[rows] = of_rest
+        out.append(whole)
+    return out
+
+
+def _smooth_each(values, rows, head, size, table, starts, widest, order) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``smooth_runs`` of the given ``rows``, each with a window of its own."""
     width = np.minimum(widest, size - 1 + size % 2)
     start = np.clip(np.minimum(rows - head - (width - 1) // 2, size - width), 0, None)
     enough = size >= order + 2
@@ -162,6 +193,33 @@ def run_medians(values: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.nda
     return runs, counts, low + 0.5 * (high - low)
 
 
+def motion(
+    chunks: Chunks, lat: np.ndarray, lon: np.ndarray, lat0: np.ndarray, lon0: np.ndarray, dt: np.ndarray, horizons: Sequence[int]
+) -> dict[str, np.ndarray]:
+    """Row by row: metres from ``lat0, lon0`` as measured and smoothed, speed and ``angle`` of the motion,
+    the last time of the run (``seg_end``) and the positions at each horizon, NaN past it."""
+    x = (lon - lon0) * geo.METRES_PER_DEG_LON * np.cos(np.radians(lat0))
+    y = (lat - lat0) * geo.METRES_PER_DEG_LAT
+    # Every row that is seen is smoothed: positions ahead lie among the copies too.
+    head, size = chunks.heads[chunks.run], np.diff(chunks.heads)[chunks.run]
+    (sx, dx), (sy, dy) = smooth_runs([x, y], head, size)
+    vx, vy = dx / dt, dy / dt
+    end = chunks.t[head + size - 1]
+    out = {
+        "seg_end": end, "enu_x_raw": x, "enu_y_raw": y, "enu_x": sx, "enu_y": sy,
+        "sg_speed": np.hypot(vx, vy), "angle": np.arctan2(vy, vx),
+    }
+    # Time from the start of the chunk, chunks one after the other, so that one lookup serves all.
+    starts = np.flatnonzero(np.append(True, np.diff(chunks.group) > 0))
+    since = chunks.t - chunks.t[starts][chunks.group]
+    clock = since + chunks.group * (int(since.max()) + max(horizons, default=0) + 1)
+    for k, h in enumerate(horizons):
+        gone = chunks.t + h > end
+        for axis, line in (("x", sx), ("y", sy)):
+            out[f"enu_{axis}_{k}"] = np.where(gone, np.nan, np.interp(clock + h, clock, line))
+    return out
+
+
 def shape_chunks(
     copies: DataFrame, facts: DataFrame, tl: Timeline, max_gap: int, own: str, horizons: Sequence[int], scales: Sequence[float | None],
     speed: str = "obd_speed",
@@ -195,43 +253,23 @@ def shape_chunks(
                 yield from _table(*_shaped(rows, known, groups[is_fact], groups[~is_fact]), passed, schema).to_batches()
 
     def _shaped(rows: pa.Table, known: pa.Table, fact_group: np.ndarray, row_group: np.ndarray) -> tuple[pa.Table, dict[str, np.ndarray]]:
-        chunks = Chunks(rows, tl.group, tl.order, own, max_gap)
+        chunks = Chunks.of(rows, tl.group, tl.order, own, max_gap)
         fact = lambda name: known[name].to_numpy()
         # The fact of a run: the facts of its chunk begin somewhere, and it has a number among them.
         begins = np.searchsorted(fact_group, row_group)
         of_run = np.append(chunks.part, -1)[chunks.place[chunks.run]]
         at = np.clip(begins + of_run, 0, known.num_rows - 1)
-        lat0, lon0 = fact("seg_lat0")[at], fact("seg_lon0")[at]
-        x = (chunks.column("lon") - lon0) * geo.METRES_PER_DEG_LON * np.cos(np.radians(lat0))
-        y = (chunks.column("lat") - lat0) * geo.METRES_PER_DEG_LAT
-        # Every row that is seen is smoothed: positions ahead lie among the copies too.
-        head, size = chunks.heads[chunks.run], np.diff(chunks.heads)[chunks.run]
-        (sx, dx), (sy, dy) = smooth_runs([x, y], head, size)
-        step = fact("dt")[at].astype(np.float64)
-        vx, vy = dx / step, dy / step
-        track = np.hypot(vx, vy)
-        bus = chunks.column(speed)
-        end = chunks.t[head + size - 1]
-        out = {
-            "segment": fact("segment")[at], "seg_rows": fact("seg_rows")[at], "seg_end": end,
-            "enu_x_raw": x, "enu_y_raw": y, "enu_x": sx, "enu_y": sy, "sg_speed": track,
-        }
-        # Time from the start of the chunk, chunks one after the other, so that one lookup serves all.
-        starts = np.flatnonzero(np.append(True, np.diff(chunks.group) > 0))
-        since = chunks.t - chunks.t[starts][chunks.group]
-        clock = since + chunks.group * (int(since.max()) + max(horizons, default=0) + 1)
-        for k, h in enumerate(horizons):
-            gone = chunks.t + h > end
-            for axis, line in (("x", sx), ("y", sy)):
-                out[f"enu_{axis}_{k}"] = np.where(gone, np.nan, np.interp(clock + h, clock, line))
+        moved = motion(chunks, _doubles(rows, "lat"), _doubles(rows, "lon"), fact("seg_lat0")[at], fact("seg_lon0")[at], fact("dt")[at].astype(np.float64), horizons)
+        track, angle, size = moved["sg_speed"], moved.pop("angle"), np.diff(chunks.heads)[chunks.run]
+        bus = _doubles(rows, speed)
+        out = {"segment": fact("segment")[at], "seg_rows": fact("seg_rows")[at], **moved}
         n = len(chunks.t)
         every = np.arange(n)
         first_own = np.append(chunks.low, n)[chunks.place[chunks.run]]
         edge = np.zeros(n, bool)
         edge[chunks.high - 1] = True
         out["_edge"] = edge
-        out["_whole"] = chunks.own[head] & chunks.own[head + size - 1]
-        angle = np.arctan2(vy, vx)
+        out["_whole"] = chunks.whole()[chunks.run]
         for k, scale in enumerate(scales):
             fused = track if scale is None else np.where(np.isnan(bus), track, (1 - geo.FUSION_WEIGHT) * track + geo.FUSION_WEIGHT * (bus * scale))
             valid = (fused >= geo.HEADING_MIN_SPEED) & chunks.own

@@ -1,13 +1,16 @@
 """From synchronised fixes to waypoint labels.
 
-Fixes near a border of ``(route, chunk)`` are copied into the neighbour before the exchange. One Arrow
-pass counts the breaks of every chunk, a scan over these short rows numbers the segments, and a second
-pass smooths, holds headings and looks ahead (``operators/track.py``). A route of any length is spread
-over its chunks, and no written table takes more than two exchanges of fixes.
+Fixes near a border of ``(route, chunk)`` are copied into the neighbour before the exchange. ``run`` and
+``run_tables`` exchange fixes and bus samples once and go on with one row per chunk (``operators/packed.py``):
+a scan over these rows numbers the segments, one pass tells units and headings, another writes the labels.
+``smoothed_track`` and ``label`` are the same steps on rows: one Arrow pass counts the breaks of every chunk,
+a second smooths, holds headings and looks ahead (``operators/track.py``). A route of any length is spread
+over its chunks either way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from trackhouse.functions import geometry as geo
 from trackhouse.functions.text import frame_path
 from trackhouse.operators.asof import interpolate
+from trackhouse.operators.packed import label_chunks, link_chunks, pack_chunks, survey
 from trackhouse.operators.ranking import exact_quantiles
 from trackhouse.operators.smoothing import REACH, SHORTEST
 from trackhouse.operators.timeline import Timeline, halo_by_time
@@ -26,9 +30,13 @@ from trackhouse.session import durable, released, stored
 MAX_GAP_S = 0.34
 VAL_FRACTION = 0.15
 UNIT_LEAST_ROWS = 20
+#: Seconds of a route whose kept fixes are counted together, to tell where its split lies.
+SPLIT_CHUNK_S = 60.0
 #: Value chunk for the exact median of speed ratios, which lie around 1 or 3.6.
 RATIO_CHUNK = 1e-5
 UNIT_BANDS = (("m/s", 0.7, 1.4, 1.0), ("km/h", 2.9, 4.3, geo.KMH_TO_MPS))
+#: What the split and the totals of labels are told from.
+KEYS = ("route", "segment", "t", "drop_reason")
 #: The ways in which a bus speed may count: not at all, or in one of the units.
 UNITS = (None, *(name for name, *_ in UNIT_BANDS))
 SCALES = (None, *(factor for *_, factor in UNIT_BANDS))
@@ -54,18 +62,22 @@ class Rules:
 def synchronise(gps: DataFrame, obd: DataFrame, tolerances: DataFrame | None, rules=Rules(),
                 default_tolerance_s: float = 0.1) -> DataFrame:
     """Fixes with ``obd_speed`` interpolated onto them (NULL where no sample is near)."""
-    rows = gps.withColumn("_tol", F.lit(default_tolerance_s))
-    if tolerances is not None:
-        # A tolerance of 0 counts as not set.
-        given = tolerances.select("route", F.nullif("tolerance_s", F.lit(0.0)).alias("_given"))
-        rows = rows.join(given, "route", "left").withColumn("_tol", F.coalesce("_given", "_tol"))
-        rows = rows.drop("_given")
+    rows = _with_tolerance(gps, tolerances, default_tolerance_s)
     samples = obd.groupBy("route", "t").agg(F.max("speed").alias("speed"))
     return interpolate(
         rows, samples, ["route"], "t", "speed", F.col("_tol"), "obd_speed", width=rules.chunk_s
     ).drop("_tol")
 
 
+def _with_tolerance(gps: DataFrame, tolerances: DataFrame | None, default_s: float) -> DataFrame:
+    rows = gps.withColumn("_tol", F.lit(default_s))
+    if tolerances is None:
+        return rows
+    # A tolerance of 0 counts as not set.
+    given = tolerances.select("route", F.nullif("tolerance_s", F.lit(0.0)).alias("_given"))
+    return rows.join(given, "route", "left").withColumn("_tol", F.coalesce("_given", "_tol")).drop("_given")
+
+
 def smoothed_track(synced: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Segments, local metres, smoothed position and velocity, positions ahead, and the headings that
     every chunk can tell for itself.
@@ -184,9 +196,10 @@ def temporal_split(
     t: str,
     fraction: float = VAL_FRACTION,
     width: float | None = None,
+    fold: bool = True,
 ) -> DataFrame:
     """Add ``cutoff`` and ``split``: the last ``fraction`` of each key by time is ``val``."""
-    cutoffs = stored(exact_quantiles(kept, keys, t, {"cutoff": 1.0 - fraction}, width=width))
+    cutoffs = stored(exact_quantiles(kept, keys, t, {"cutoff": 1.0 - fraction}, width=width, fold=fold))
     return kept.join(cutoffs, keys).withColumn(
         "split", F.when(F.col(t) >= F.col("cutoff"), "val").otherwise("train")
     )
@@ -223,30 +236,69 @@ def unknown_units(track: DataFrame, units: DataFrame, bus_routes: DataFrame | No
 
 def run(
     synced: DataFrame, rules: Rules = Rules(), *, cameras: DataFrame | None = None, bus_routes: DataFrame | None = None,
-    require_units: bool = True,
+    require_units: bool = True, columns: Sequence[str] | None = None,
 ) -> Labelled:
-    """The whole plan. The fixes, the track, the units and the labels are each written once and read by
-    what follows; fixes and track are deleted as soon as that is written. ``cameras`` gives the paths of
-    frames (see ``label``).
+    """The whole plan on fixes with ``obd_speed``. ``cameras`` gives the paths of frames (see ``label``).
 
-    With ``require_units``, bus speeds whose unit cannot be told stop the run rather than vanish.
+    With ``require_units``, bus speeds whose unit cannot be told stop the run rather than vanish. All labels
+    are made; of their columns all are written, or those in ``columns`` (at least ``KEYS``).
     """
-    synced = stored(synced)
-    track = stored(smoothed_track(synced, rules))
-    released(synced)
-    units = stored(speed_units(track))
+    return _labelled(synced, None, rules, cameras, bus_routes, require_units, columns)
+
+
+def run_tables(
+    gps: DataFrame, obd: DataFrame, tolerances: DataFrame | None = None, rules: Rules = Rules(), *, default_tolerance_s: float = 0.1,
+    cameras: DataFrame | None = None, bus_routes: DataFrame | None = None, require_units: bool = True, columns: Sequence[str] | None = None,
+) -> Labelled:
+    """``synchronise`` and ``run`` in one: the bus speeds are found where the fixes are dealt anyway."""
+    return _labelled(_with_tolerance(gps, tolerances, default_tolerance_s), obd, rules, cameras, bus_routes, require_units, columns)
+
+
+def _labelled(
+    fixes: DataFrame, samples: DataFrame | None, rules: Rules, cameras: DataFrame | None, bus_routes: DataFrame | None, require_units: bool,
+    columns: Sequence[str] | None,
+) -> Labelled:
+    """The packed chunks, the units and the labels are each written once; the chunks are deleted as soon as
+    the labels are written."""
+    tl, gap, sampled = Timeline(("route",), "t", rules.chunk_s), rules.us(rules.max_gap_s), samples is not None
+    # A thousandth of a second more than is needed: times are rounded to microseconds only in the chunk.
+    behind = REACH * rules.max_gap_s + 1e-3
+    ahead = max(rules.horizons_s) + rules.max_gap_s + behind
+    packed = stored(pack_chunks(fixes, samples, tl, gap, behind, ahead))
+    links = stored(link_chunks(packed, tl))
+    chunks = packed.drop("_wide", "_runs", "_fresh")
+    seen = stored(survey(chunks.drop("frame").join(links, tl.group), tl, gap, SCALES, sampled))
+    units = stored(chunk_units(seen))
     if require_units:
-        open_routes = unknown_units(track, units, bus_routes)
+        open_routes = unknown_units(seen, units, bus_routes)
         first = [r.route for r in open_routes.orderBy("route").limit(LISTED).collect()]
         if first:
             raise ValueError(
                 f"{open_routes.count()} routes have bus speeds in no known unit (check their clock offset), e.g. {first}"
             )
-    fixes = stored(label(track, units, rules, cameras))
-    released(track)
-    kept = fixes.where(F.col("drop_reason").isNull()).drop("drop_reason")
-    frames = temporal_split(kept, ["route"], "t", rules.val_fraction, rules.chunk_s)
-    return Labelled(fixes, frames, units)
+    edges = seen.select(*tl.group, F.explode("_edges").alias("_e")).select(*tl.group, "_e.*", F.lit(True).alias("_edge"))
+    held = carry_headings(edges, units, tl, UNITS).groupBy(*tl.group).agg(F.sort_array(F.collect_list(F.struct("segment", "_before", "_first"))).alias("_held"))
+    known = stored(links.join(units.select("route", "scale"), "route", "left").join(held, tl.group, "left"))
+    paths = columns is None or "frame_path" in columns
+    made = None if columns is None else {*columns, *KEYS, *(("frame",) if paths else ())}
+    labels = label_chunks(chunks.join(known, tl.group), tl, gap, [rules.us(h) for h in rules.horizons_s], sampled, made)
+    if paths and cameras is not None:
+        labels = with_frame_paths(labels, cameras)
+    elif paths:
+        labels = labels.withColumn("frame_path", F.lit(None).cast("string"))
+    first = [c for c in ("frame_path",) if paths]
+    done = stored(labels.select(*first, *[c for c in labels.columns if c not in first]))
+    released(packed, links, seen, known)
+    kept = done.where(F.col("drop_reason").isNull()).drop("drop_reason")
+    frames = temporal_split(kept, ["route"], "t", rules.val_fraction, SPLIT_CHUNK_S, fold=False)
+    return Labelled(done, frames, units)
+
+
+def chunk_units(seen: DataFrame) -> DataFrame:
+    """``speed_units`` from what ``survey`` found in the chunks."""
+    whole = seen.select("route", F.explode("_ratios").alias("_r")).select("route", "_r.segment", "_r.median", "_r.n", "_r.size")
+    wide = seen.select("route", F.explode("_wide_ratios").alias("_r")).select("route", "_r.*")
+    return judge_units(whole.unionByName(segment_ratios(wide, "route", "segment", "size", "ratio")), "route", "segment")
 
 
 def drop_totals(fixes: DataFrame, by: list[str], reason: str = "drop_reason") -> DataFrame:
