@@ -270,11 +270,11 @@ def survey(packed: DataFrame, tl: Timeline, max_gap: int, scales: Sequence[float
             runs, n = o.runs, table.num_rows
             m = motion(runs, o.lat, o.lon, o.each(o.lat0), o.each(o.lon0), o.each(o.dt), ())
             size, whole = o.each(o.seg_rows), o.each(o.whole)
-            usable = runs_usable = o.own & (size >= RATIO_LEAST_ROWS) & (m["sg_speed"] > RATIO_LEAST_SPEED) & (o.bus > 0)
+            usable = o.own & (size >= RATIO_LEAST_ROWS) & (m["sg_speed"] > RATIO_LEAST_SPEED) & (o.bus > 0)
             ratio = np.where(usable, o.bus / np.where(usable, m["sg_speed"], 1), np.nan)
             found, counts, medians = run_medians(np.where(whole, ratio, np.nan), runs.run)
             ratios = _lists(n, o.chunk[runs.heads[found]], {"segment": o.segment[found].astype(np.int32), "size": o.seg_rows[found], "n": counts, "median": medians})
-            wide = np.flatnonzero(runs_usable & ~whole)
+            wide = np.flatnonzero(usable & ~whole)
             wide_ratios = _lists(n, o.chunk[wide], {"segment": o.each(o.segment)[wide].astype(np.int32), "size": size[wide], "ratio": ratio[wide]})
             # The last own fix of every wide run.
             crossing = np.flatnonzero(~o.whole[runs.runs])
